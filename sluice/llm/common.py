@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from spark.checkpoint.dir; a temporary one is set only where none is, as in local tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table to the shared folder and read back: like saved(), for larger results of which columns are read apart."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back from it.
 
     Cuts the lineage, so what follows never repeats the work before it, and
-    survives the loss of executors.  The folder is the session's
-    spark.checkpoint.dir; a temporary one is set only where none is, as in
-    local tests.
+    survives the loss of executors.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, fingerprint, mixing, quality, secrets, simhash, topk, toxicity, wrapper
+from sluice.llm import bpe, fingerprint, lines, mixing, quality, secrets, simhash, topk, toxicity, wrapper
 from sluice.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -65,8 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_lines": op9_lines,
     "op10_fingerprint": op10_fingerprint,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE}

@@ -15,7 +15,7 @@ from itertools import combinations, islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import saved, whole_text
@@ -228,7 +228,28 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_column: str
     """
     rows = saved(with_fingerprint(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), words).select("doc_id", "fp"))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes.join(roots_of(rows, radius), "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.select("fp", "root").join(groups, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def roots_of(fingerprints: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, root): each different fingerprint of a column fp, and the one that its group is known by."""
+    classes = fingerprints.select("fp").distinct()
+    roots = connected_components(near_links(classes, radius)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without all but one row of each group of near copies: the one of least id, null ids last.
+
+    Rows of one id and one fingerprint count as copies too: of these the text of
+    least hash stays.  All empty texts are one group.  Columns are passed on as
+    they are.
+    """
+    marked = with_fingerprint(docs, words, text_column, "_fp").withColumn("_key", F.xxhash64(id_column, "_fp"))
+    rows = saved(marked.select(F.col(id_column).alias("doc_id"), F.col("_fp").alias("fp"), "_key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_key")
+    stay = rows.join(roots_of(rows, radius), "fp").groupBy("root").agg(F.min(order).alias("least")).select("least._key")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_column)))
+    return marked.join(stay, "_key", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)

@@ -38,10 +38,11 @@ def bind(rows: DataFrame, given: str, options: list[Option]) -> DataFrame:
 
 def merged(*maps: Column) -> Column:
     """Option maps merged; later ones win."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+    first, *rest = maps
+    if not rest:
+        return first
+    later = merged(*rest)
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(later, k)), later)
 
 
 def resolved(options: DataFrame, most: int = 64) -> DataFrame:

@@ -30,7 +30,7 @@ def status(launched: Column, live: Column, finished: Column, total: Column, runn
     )
 
 
-def exit_code(rows: DataFrame, column: str = "status") -> Column:
+def exit_code(column: str = "status") -> Column:
     """0 if all have finished, 2 if any is in progress, else 3, as an aggregate."""
     all_done = F.bool_and(F.col(column) == "FINISHED")
     any_live = F.bool_or(F.col(column) == "IN-PROGRESS")
@@ -46,7 +46,7 @@ def one_row(rows: DataFrame, width: int, column: str = "status") -> DataFrame:
     """One row: each status's count in fixed width, the whole percentage that has not finished, and the program's exit code."""
     counts = {s: F.count(F.when(F.col(column) == s, True)) for s in STATUSES}
     left = F.floor((F.count("*") - counts["FINISHED"]) * 100 / F.greatest(F.count("*"), F.lit(1))).cast("long")
-    return rows.agg(*[fixed_width(n, width).alias(s.lower().replace("-", "_")) for s, n in counts.items()], left.alias("unfinished_percent"), exit_code(rows, column).cast("int").alias("exit_code"))
+    return rows.agg(*[fixed_width(n, width).alias(s.lower().replace("-", "_")) for s, n in counts.items()], left.alias("unfinished_percent"), exit_code(column).cast("int").alias("exit_code"))
 
 
 def holds(kind: Column, state: Column) -> Column:

@@ -115,7 +115,7 @@ def test_status_and_dependencies(spark):
         "consumer string, producer string, deptype string, conj string",
     )
     assert {r["consumer"]: r["ready"] for r in status.dependency_check(deps, states).collect()} == {"p": True, "q": True, "r": False, "s": True, "t": False}
-    code = lambda *s: spark.createDataFrame([(x,) for x in s], "status string").agg(status.exit_code(None)).first()[0]
+    code = lambda *s: spark.createDataFrame([(x,) for x in s], "status string").agg(status.exit_code()).first()[0]
     assert [code("FINISHED"), code("FINISHED", "IN-PROGRESS"), code("TO-DO")] == [0, 2, 3]
 
 

@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op4_secrets": secrets.oracle(), "op6_topk": topk.ORACLE, "op9_lines": lines.ORACLE}

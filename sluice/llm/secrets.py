@@ -205,3 +205,26 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         F.sha2(written(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
     )
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL with the rows of secret_report over the table documents."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS rule, {quoted(r.kind)} AS kind, {r.least} AS least, {str(r.base).lower()} AS base, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS w, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS v, regexp_split_to_array(t, {quoted(r.pattern)}) AS g FROM d"
+        for n, r in enumerate(rules)
+    )
+    written = "coalesce(string_agg(concat(kind, ':', CAST(a AS VARCHAR), ':', CAST(a + n AS VARCHAR)), ',' ORDER BY a, rule)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({each}),
+k AS (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM m),
+s AS (
+  SELECT doc_id, rule, kind, base, length(w[k]) AS n,
+    list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0) AS a
+  FROM k WHERE length(v[k]) >= least)
+SELECT d.doc_id, {counts},
+  sha256({written} FILTER (base), '')) AS base_sha256, {written} FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -174,3 +174,13 @@ def top_products(vectors: DataFrame, is_query: Callable, k: int = 5, scale: int
     second = matched(asked.join(known, ["qid", "qcopy"], "left"), blocks, others, parts, k)
     both = first.drop("rank").unionByName(second)
     return best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+#: DuckDB SQL with the rows of top_products over the table embeddings, for ids divisible by 50.
+ORACLE = """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM e WHERE vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""

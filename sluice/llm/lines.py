@@ -1,35 +1,43 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
 The tokens of a line (its different words) are ordered by rarity.  Lines of
-Jaccard similarity t or more share at least two of their first
-n - ceil(t n) + 2 tokens (all that they share, if that is less), so only lines
-that meet in the postings of those prefixes are compared, after length and
-positional filters; the full token sets verify.  Of matching lines the later
-ones go.
-
-Equal lines are one class, compared once.  A first round compares each class
-with the earliest few of its postings, which settles the members of large groups
-of near copies; a second one compares what is left with all earlier postings.
+Jaccard similarity t or more share at least one of their first
+n - ceil(t n) + 1 tokens, so only lines that meet in the postings of those
+prefixes are compared: by their sizes, by the places of the shared token, and by
+bitmaps that bound how many tokens they can share; the full token sets verify.
+Of matching lines the later ones go.  Equal lines are one class, compared once.
+Long postings, those of large groups of near copies, take two rounds: the first
+compares each line with the earliest few, which settles most of the group, and
+the second compares what is left with all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.llm.common import saved, stored, whole_text
+from sluice.llm.common import stored, whole_text
 
 BLANKS = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
-#: Earliest postings that the first round compares with.
-LEADERS = 3
-#: Tokens that lines share in their prefixes, at least.
-SHARED = 2
-#: Bounds on the bits of the table of token frequencies: up to 4 MB, whatever the input.
-LEAST_BITS, MOST_BITS = 12, 22
+#: Postings of one token that are all compared with one another, and how many of them all later ones are compared with at once.
+LISTED, LEADERS = 256, 8
+#: Bits of a number that hold a line's place in its document, where ids and texts allow to keep both in one.
+LINE_BITS, ID_BITS = 22, 40
+#: Occurrences from which a word is frequent.
+FREQUENT = 64
+#: Bits of the table of frequent words: 256 kB, whatever the input.
+TABLE_BITS = 18
 #: Frequencies are kept as classes of their logarithm.
 CLASSES = 126
+#: Lines of more tokens have two bitmaps.
+LONG_LINE = 80
+#: A sieve of lines has two to the power of this many bits, a megabyte, whatever the input.
+SIEVE_BITS = 23
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,31 +47,54 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def tokens_of(line: Column) -> Column:
-    """The different words of a line, each as 56 bits of its hash."""
-    words = F.filter(F.split(line, BLANKS, -1), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
+    """The hashes of the different words of a line."""
+    plain = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]")), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.array_distinct(F.transform(F.array_remove(F.split(plain, " ", -1), ""), lambda w: F.xxhash64(w)))
 
 
-def rarity(docs: DataFrame) -> tuple[bytearray, int]:
-    """A table of classes of frequency by hashed word, counted over all documents, and its bits.
+@dataclass
+class Corpus:
+    """What is known of a table of texts: its documents, a table of classes of frequency by hashed word, and how lines are named."""
 
-    Words that share an entry share a class: the order of tokens stays one for
-    all lines, which is all that a prefix needs to be exact.
-    """
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, size.bit_length() - 11))
-    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("w"))
-    entry = F.shiftrightunsigned(F.xxhash64("w"), 8).bitwiseAND((1 << bits) - 1)
-    counts = words.select(entry.cast("int").alias("at")).groupBy("at").agg(F.count("*").alias("n")).toPandas()
-    table = np.zeros(1 << bits)
-    table[counts["at"].to_numpy(np.int64)] = np.log1p(counts["n"].to_numpy(float))
-    return bytearray((table * (CLASSES / max(table.max(), 1e-9))).astype(np.uint8).tobytes()), bits
+    docs: DataFrame
+    table: bytearray
+    packed: bool
+
+    def place(self) -> Column:
+        """A line's place in the order of all lines, which names it: one number where ids and line numbers allow, else all that tells lines apart."""
+        return F.shiftleft("doc_id", LINE_BITS).bitwiseOR(F.col("line_no")) if self.packed else F.struct("doc_id", "line_no", "class")
+
+    def lines(self) -> DataFrame:
+        """Rows (doc_id, line_no, line, class, place)."""
+        return lines_of(self.docs).withColumn("place", self.place())
 
+    def by_rarity(self, tokens: Column) -> Column:
+        """Tokens with the class of their frequency in front, rarest first."""
+        entry = lambda t: F.substring(F.lit(self.table), (t.bitwiseAND((1 << TABLE_BITS) - 1) + 1).cast("int"), F.lit(1))
+        return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.ascii(entry(t).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
-def by_rarity(tokens: Column, table: bytearray, bits: int) -> Column:
-    """Tokens, rarest first, as numbers with the class of frequency in front."""
-    entry = lambda t: F.substring(F.lit(table), (t.bitwiseAND((1 << bits) - 1) + 1).cast("int"), F.lit(1))
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.ascii(entry(t).cast("string")).cast("long"), 56).bitwiseOR(t)))
+
+def surveyed(docs: DataFrame) -> Corpus:
+    """Counts hashed words over all documents, and tabulates the frequent ones.
+
+    Words that share an entry of the table share its class: the order of tokens
+    stays one for all lines, which is all that a prefix needs to be exact.  Only
+    entries of FREQUENT occurrences or more come to the driver, and of a large
+    corpus those of about a millionth of all words or more.
+    """
+    size, longest = docs.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    packed = False
+    if docs.schema["doc_id"].dataType == T.LongType() and (longest or 0) < 1 << LINE_BITS:
+        low, high, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+        packed = low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
+        packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 7))
+    words = docs.select(F.explode(F.split("text", BLANKS, -1)).alias("w"))
+    entries = words.select(F.xxhash64("w").bitwiseAND((1 << fine) - 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    frequent = entries.where(F.col("n") >= max(FREQUENT, (size or 0) >> 23)).toPandas()
+    table = np.zeros(1 << TABLE_BITS)
+    np.maximum.at(table, frequent["at"].to_numpy(np.int64) & ((1 << TABLE_BITS) - 1), np.log(frequent["n"].to_numpy(float)))
+    return Corpus(docs, bytearray((table * (CLASSES / max(table.max(), 1e-9))).astype(np.uint8).tobytes()), packed)
 
 
 def overlap(n: Column, other: Column, threshold: float) -> Column:
@@ -71,64 +102,125 @@ def overlap(n: Column, other: Column, threshold: float) -> Column:
     return F.ceil((n + other) * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
-def postings(docs: DataFrame, threshold: float) -> DataFrame:
-    """Rows (token, class, n, i, doc_id, line_no, rn, leaders): the prefix tokens that at least two classes have.
+def postings(corpus: Corpus, threshold: float) -> DataFrame:
+    """Rows (token, place, size, bitmap, half): the prefix tokens of each class of lines.
 
-    i: the token's place in its line; doc_id and line_no: the first line of the
-    class; rn: the place in the token's postings by first line; leaders: the
-    earliest of those before it.
+    place: its first line.  size: how many tokens it has, and in the lower half
+    the token's place among them.  bitmap: bit b is set if an odd number of its
+    tokens hash to b; as many tokens at least tell two lines apart as their
+    bitmaps have different bits.  half: for long lines, the same for half of
+    the tokens only, so that two bitmaps count apart.
     """
-    table, bits = rarity(docs)
-    keyed = lines_of(docs).withColumn("tokens", by_rarity(tokens_of(F.col("line")), table, bits)).withColumn("n", F.size("tokens"))
-    length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + SHARED)
-    heads = keyed.select("class", "n", F.slice("tokens", F.lit(1), length).alias("prefix"), F.struct("doc_id", "line_no").alias("first"))
-    classes = heads.groupBy("class", "n", "prefix").agg(F.min("first").alias("first"))
-    each = classes.select("class", "n", "first.doc_id", "first.line_no", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    order = Window.partitionBy("token").orderBy("doc_id", "line_no", "class")
+    keyed = corpus.lines().withColumn("tokens", corpus.by_rarity(tokens_of(F.col("line")))).withColumn("n", F.size("tokens"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    none = F.lit(0).cast("long")
+    bitmap = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
+    half = F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    # What stands in the postings is half a hash: words that share it only bring candidates that fail later.
+    prefix = F.transform(F.slice("tokens", F.lit(1), length), lambda t: F.hash(t))
+    heads = keyed.select("class", "n", bitmap.alias("bitmap"), F.when(F.col("n") > LONG_LINE, half).otherwise(none).alias("half"), prefix.alias("prefix"), "place")
+    classes = heads.groupBy("class", "n", "bitmap", "half", "prefix").agg(F.min("place").alias("place"))
+    each = classes.select("n", "bitmap", "half", "place", F.posexplode("prefix").alias("i", "token"))
+    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), "bitmap", "half")
+
+
+def passes(a: str, b: str, threshold: float) -> Column:
+    """Whether postings a and b of one token may belong to lines that reach the threshold: by sizes, places in the lines, and bitmaps."""
+    n, n2 = size_of(a), size_of(b)
+    i, i2 = (F.col(f"{x}.size").bitwiseAND((1 << 32) - 1).cast("int") for x in (a, b))
+    need = overlap(n, n2, threshold)
+    sized = (n2 >= n * threshold - 1e-9) & (n >= n2 * threshold - 1e-9)
+    reach = F.least(i, i2) + F.least(n - i, n2 - i2) >= need
+    return sized & reach & (n + n2 - apart(a, b) >= 2 * need)
+
+
+def apart(a: str, b: str) -> Column:
+    """In how many bits the bitmaps of two postings differ."""
+    whole, half = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in ("bitmap", "half"))
+    both = (F.col(f"{a}.half") != 0) & (F.col(f"{b}.half") != 0)
+    return F.when(both, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+
+
+def size_of(side: str) -> Column:
+    return F.shiftright(f"{side}.size", 32).cast("int")
+
+
+def pair_columns() -> list[Column]:
+    """The places and sizes of two postings a and b."""
+    return [F.col("a.place").alias("place"), size_of("a").alias("n"), F.col("b.place").alias("place2"), size_of("b").alias("n2")]
+
+
+def first_round(posts: DataFrame, threshold: float) -> DataFrame:
+    """Rows (place, n, place2, n2, later): pairs of classes that pass all filters, the later one first.
+
+    Of a token's postings the first LISTED are compared with one another, and
+    the others with the first LEADERS.  Each posting of a longer list is a row
+    too, with itself as `later`, for the second round.
+    """
+    order = Window.partitionBy("token").orderBy("place")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = [F.nth_value(F.struct("class", "n", "i", "doc_id"), k).over(so_far) for k in range(1, LEADERS + 1)]
-    ranked = each.withColumns({"rn": F.row_number().over(order), "_more": F.lead("class").over(order).isNotNull(), "leaders": F.array(*leader)})
-    return ranked.where("rn > 1 or _more").drop("_more")
+    a = posts.withColumns({"rn": F.row_number().over(order), "count": F.count("*").over(Window.partitionBy("token")), "lead": F.nth_value("place", LEADERS).over(so_far)}).alias("a")
+    b = posts.alias("b")
+    earlier = (F.col("b.place") < F.col("a.place")) & ((F.col("a.rn") <= LISTED) | (F.col("b.place") <= F.col("a.lead")))
+    itself = (F.col("a.place") == F.col("b.place")) & (F.col("a.count") > LISTED)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & ((earlier & passes("a", "b", threshold)) | itself))
+    later = F.when(F.col("a.place") == F.col("b.place"), F.struct("a.token", "a.place", "a.size", "a.bitmap", "a.half", "a.rn"))
+    return met.select(*pair_columns(), later.alias("later")).distinct()
+
 
+def second_round(hot: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """Pairs like those of the first round: what it has neither settled nor compared, with all earlier postings of the token."""
+    left = hot.where(F.col("rn") > LISTED).join(settled, "place", "left_anti")
+    a, b = left.alias("a"), hot.where(F.col("rn") > LEADERS).alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place")) & passes("a", "b", threshold))
+    return met.select(*pair_columns()).distinct()
 
-def likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs of postings (class, n, i, doc_id, class2, n2, i2, doc2), the pairs of classes that pass all filters."""
-    need = overlap(F.col("n"), F.col("n2"), threshold)
-    reach = F.least("i", "i2") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
-    sized = (F.col("n2") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("n2") * threshold - 1e-9)
-    near = pairs.where((F.col("class") != F.col("class2")) & sized & (reach >= need))
-    met = near.groupBy("class", "class2", "n", "n2", "doc_id", "doc2").agg(F.count("*").alias("shared"))
-    return met.where(F.col("shared") >= F.least(F.lit(SHARED), need)).drop("shared")
 
+def sifted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose place is wanted, and few others while the wanted are not many.
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The classes of pairs (class, class2, ...) whose token sets reach the threshold.
+    What is broadcast has 2 ** SIEVE_BITS bits at most, whatever the input; a
+    full sieve lets all lines through.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64("place"), 64 - SIEVE_BITS)
+    row, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    table = wanted.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits"))
+    return lines.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(table), "_row").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_row", "_bit", "_bits")
+
+
+def verified(pairs: DataFrame, corpus: Corpus, threshold: float) -> DataFrame:
+    """The places (place) of pairs whose token sets reach the threshold.
 
     Their lines are taken from the documents again, so that tokens never move
-    for lines that nothing is like.
+    for lines that nothing is like.  Sixteen bits of each token go first: what
+    they leave of the pairs is compared by whole tokens.
     """
-    ends = pairs.select("class", "doc_id").unionByName(pairs.select(F.col("class2").alias("class"), F.col("doc2").alias("doc_id")))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("class").alias("wanted"))
-    found = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.wanted")
-    lines = found.select("wanted", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("class", F.xxhash64("line"))
-    sets = saved(lines.where(F.array_contains("wanted", F.col("class"))).groupBy("class").agg(F.first("line").alias("line")).select("class", tokens_of(F.col("line")).alias("tokens")))
-    one = pairs.join(sets, "class")
-    two = one.join(sets.select(F.col("class").alias("class2"), F.col("tokens").alias("tokens2")), "class2")
-    common = F.size(F.array_intersect("tokens", "tokens2"))
-    return two.where(common >= overlap(F.col("n"), F.col("n2"), threshold)).select("class").distinct()
-
-
-def matched_classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """The classes of lines that another, earlier class is like."""
-    posts = stored(postings(docs, threshold))
-    lead = F.explode("leaders").alias("o")
-    first = posts.where("rn > 1").select("class", "n", "i", "doc_id", "rn", lead).where("o is not null")
-    first = first.select("class", "n", "i", "doc_id", F.col("o.class").alias("class2"), F.col("o.n").alias("n2"), F.col("o.i").alias("i2"), F.col("o.doc_id").alias("doc2"))
-    settled = saved(verified(saved(likely(first, threshold)), docs, threshold))
-    left = posts.where("rn > 1").join(settled, "class", "left_anti").select("token", "class", "n", "i", "doc_id", "rn")
-    earlier = posts.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "i", "rn")], F.col("doc_id").alias("doc2"))
-    second = left.join(earlier, "token").where("rn2 < rn")
-    return settled.unionByName(verified(saved(likely(second, threshold)), docs, threshold))
+    wanted = stored(pairs.select("place").unionByName(pairs.select(F.col("place2").alias("place"))).distinct())
+    sets = stored(sifted(corpus.lines().select("place", "line"), wanted).join(wanted, "place", "left_semi"))
+    tokens = tokens_of(F.col("line"))
+    short = F.array_distinct(F.transform(tokens, lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
+    likely = alike(pairs, sets.select("place", short.alias("tokens")), threshold)
+    return alike(stored(likely), sets.select("place", tokens.alias("tokens")), threshold).select("place").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose tokens in sets reach the threshold, or may do so where several tokens of a line are one in sets."""
+    other = sets.select(F.col("place").alias("place2"), F.col("tokens").alias("tokens2"))
+    both = pairs.select("place", "n", "place2", "n2").join(sets, "place").join(other, "place2")
+    common = F.size(F.array_intersect("tokens", "tokens2")) + F.col("n") - F.size("tokens")
+    return both.where(common >= overlap(F.col("n"), F.col("n2"), threshold)).select("place", "n", "place2", "n2")
+
+
+def matched_lines(corpus: Corpus, threshold: float) -> DataFrame:
+    """The places of the first lines of their classes that an earlier line is like."""
+    first = stored(first_round(postings(corpus, threshold), threshold))
+    settled = stored(verified(first.where("later is null").drop("later"), corpus, threshold))
+    hot = first.where("later is not null").select("later.*")
+    if hot.isEmpty():
+        return settled
+    second = stored(second_round(hot, settled, threshold))
+    return settled if second.isEmpty() else settled.unionByName(verified(second, corpus, threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -137,12 +229,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs: doc_id and text, without null texts.  Lines are ordered by doc_id
     (null first) and their number.
     """
-    lines = lines_of(docs).select("doc_id", "line_no", "class")
-    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"))
-    matched = matched_classes(docs, threshold).withColumn("matched", F.lit(True))
-    judged = first.join(matched, "class", "left").where("times > 1 or matched").drop("times")
-    own = F.struct("doc_id", "line_no")
-    gone = lines.join(judged, "class").where(F.col("matched").isNotNull() | ~own.eqNullSafe(F.col("first")))
+    corpus = surveyed(docs)
+    lines = corpus.lines().select("doc_id", "line_no", "class", "place")
+    first = lines.groupBy("class").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+    matched = matched_lines(corpus, threshold).select(F.col("place").alias("first"), F.lit(True).alias("matched"))
+    judged = first.join(matched, "first", "left").where("times > 1 or matched").drop("times")
+    gone = lines.join(judged, "class").where(F.col("matched").isNotNull() | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class")).alias("gone"))
 
 

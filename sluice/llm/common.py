@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,10 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as a Parquet table to the shared folder and read back: like saved(), for larger results of which columns are read apart."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """df, written as a Parquet table to the shared folder and read back: like saved(), for larger results of which columns are read apart.
+
+    Spark deletes shuffle files once the driver has collected the plans that
+    made them as garbage; asking for that here frees their disk at once.
+    """
+    session = df.sparkSession
+    path = f"{shared_folder(session)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    del df
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+    return session.read.parquet(path)
 
 
 def saved(df: DataFrame) -> DataFrame:

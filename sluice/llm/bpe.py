@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 #: How this kind of vocabulary cuts text into pieces.  Fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers; memory that no input can grow.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer pieces aren't remembered.
 LONG = 64
 #: Characters of text encoded before a batch is passed on.

@@ -28,7 +28,7 @@ SIZE, ENTRIES, WORDS = 48, 4, 1 << 14
 HIDDEN, STEPS, RATE = 24, 400, 0.02
 #: Documents of each label that are learned from, at most.
 SAMPLE = 1500
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Neighbours on each side that make up a word's context.
 WINDOW = 2
 #: Words beyond the vocabulary that mark repetition.

@@ -197,7 +197,8 @@ def verified(pairs: DataFrame, corpus: Corpus, threshold: float) -> DataFrame:
     they leave of the pairs is compared by whole tokens.
     """
     wanted = stored(pairs.select("place").unionByName(pairs.select(F.col("place2").alias("place"))).distinct())
-    sets = stored(sifted(corpus.lines().select("place", "line"), wanted).join(wanted, "place", "left_semi"))
+    # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
+    sets = stored(sifted(corpus.lines().select("place", "line"), wanted).join(wanted, "place"))
     tokens = tokens_of(F.col("line"))
     short = F.array_distinct(F.transform(tokens, lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
     likely = alike(pairs, sets.select("place", short.alias("tokens")), threshold)

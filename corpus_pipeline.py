@@ -42,12 +42,18 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document its token ids, and digests of them and of the text that they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe_path()).drop("text")
+    """For each document its place in the mix, its token ids, and a digest of the text that they decode to.
+
+    The place is computed on this stage's rows, as it depends on ids, sources
+    and texts only: rows that are written and read again have no order.
+    """
+    encoded = bpe.encode(mixing.mixed(docs.select("doc_id", "source", "text")), byte_bpe_path()).drop("text")
     both = bpe.decode(encoded, byte_bpe_path())
     return both.select(
         "doc_id",
         "source",
+        "slot",
+        "slot_rank",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

@@ -50,3 +50,17 @@ def test_pipeline(spark, small):
     done = corpus_pipeline.run(spark, small)
     assert {r["doc_id"] for r in done.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert 0 < done.count() <= docs.count()
+
+
+def test_pipeline_keeps_the_mix(spark, small):
+    import corpus_pipeline
+    from sluice.llm import mixing
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('word ', 200) AS text", "CASE WHEN id % 5 = 0 THEN 'small' ELSE 'big' END AS source")
+    got = corpus_pipeline.token_ids(spark, docs.repartition(7), small).toPandas()
+    assert len(got) == 1000 and (got["n_tokens"] == got["ids"].map(len)).all()
+    order = got.sort_values(["slot", "slot_rank"])["source"].to_numpy() == "small"
+    # Weights are roots of sizes: one to two until the small source has run out.
+    prefix = slice(0, max(order.nonzero()[0]))
+    drift = 1001 * (order.cumsum() - (order.cumsum() + (~order).cumsum()) / 3)
+    assert abs(drift[prefix]).max() <= mixing.BLOCK_CHARS + 2 * 1001

@@ -4,23 +4,28 @@ Each source's documents, in a shuffled order, are cut into blocks of about
 `block_chars` characters.  Block k of a source of weight w may not start before
 slot floor(k / w) and must be done by slot ceil((k + 1) / w); earliest deadline
 first among the released blocks then keeps every source within less than one
-block of its share at every slot.  Weights are whole parts of a period, so the
-schedule repeats, and one period of it tells the slot of every block: no job
-walks through all blocks one after another.
+block of its share at every slot.  The driver schedules the blocks of all
+sources, at most BLOCKS and one a source, from the exact weights; no job walks
+through documents one after another.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from heapq import heappop, heappush
+from math import lcm
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import saved, whole_text
 
-#: Slots after which a schedule repeats; weights are rounded to whole parts of it.
+#: Slots of a period of `shares`.
 PERIOD = 1000
 BLOCK_CHARS = 50_000
+#: Blocks that the driver schedules at most, besides one for each source; beyond 50 GB blocks get larger.
+BLOCKS = 1 << 20
 #: Documents of a source whose running sum is one task's work, about.
 RUN = 5000
 
@@ -48,23 +53,47 @@ def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str |
     return parts
 
 
-def schedule(parts: dict[str | None, int]) -> list[str | None]:
-    """The source of each slot of one period: earliest deadline first among the released blocks, ties by name."""
-    period = sum(parts.values())
-    done = dict.fromkeys(parts, 0)
-    out = []
-    for slot in range(period):
-        ready = [(-(-(k + 1) * period // parts[s]), s is not None, s or "", s) for s, k in done.items() if k < parts[s] and k * period // parts[s] <= slot]
-        source = min(ready)[-1]
-        done[source] += 1
-        out.append(source)
+def slots_of(weights: dict[str | None, float], blocks: dict[str | None, int]) -> dict[str | None, list[int]]:
+    """For each source the places of its blocks in the order of all blocks: earliest deadline first among the released ones, ties by name.
+
+    Weights are taken as they are, as fractions of their sum.  Block k of a
+    source is released at floor(k / w) and due at ceil((k + 1) / w).  Time goes
+    on by a slot with each block, and to the next release if none is released.
+    """
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: w.numerator * (common // w.denominator) for s, w in exact.items()}
+    total, out = sum(whole.values()), {s: [] for s in weights}
+    names = sorted(weights, key=lambda s: (s is not None, s or ""))
+    waiting = [(0, n) for n, s in enumerate(names) if blocks[s]]
+    ready: list[tuple[int, int]] = []
+    time = place = 0
+    while waiting or ready:
+        if not ready:
+            time = max(time, waiting[0][0])
+        while waiting and waiting[0][0] <= time:
+            n = heappop(waiting)[1]
+            heappush(ready, (-(-(len(out[names[n]]) + 1) * total // whole[names[n]]), n))
+        n = heappop(ready)[1]
+        s, own = names[n], out[names[n]]
+        own.append(place)
+        time, place = time + 1, place + 1
+        if len(own) < blocks[s]:
+            heappush(waiting, (len(own) * total // whole[s], n))
     return out
 
 
-def source_weights(docs: DataFrame, power: float = 0.5, source: str = "source", text: str = "text") -> dict[str | None, float]:
-    """A target weight for each source: its share of characters to a power, over all documents.  One row a source comes to the driver."""
-    sizes = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum(F.length(whole_text(text)) + 1).alias("n")).collect()
-    return {r["s"]: float(r["n"]) ** power for r in sizes}
+def schedule(parts: dict[str | None, int]) -> list[str | None]:
+    """The source of each slot of one period, where each source has as many blocks as parts."""
+    return [s for _, s in sorted((slot, s) for s, slots in slots_of(parts, parts).items() for slot in slots)]
+
+
+def source_sizes(docs: DataFrame, source: str = "source", text: str = "text") -> dict[str | None, int]:
+    """The characters of each source over all documents, and one more for each document.  One row a source comes to the driver."""
+    sizes = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum(F.length(whole_text(text)).cast("long") + 1).alias("n")).collect()
+    return {r["s"]: r["n"] for r in sizes}
 
 
 def with_blocks(docs: DataFrame, block_chars: int, source: str, id_column: str, text: str, seed: int) -> DataFrame:
@@ -95,27 +124,23 @@ def with_blocks(docs: DataFrame, block_chars: int, source: str, id_column: str,
     return running.withColumn("_block", F.floor(F.col("_start") / block_chars).cast("long")).drop("_stretch", "_offset", "_start", "_n")
 
 
-def slot_of(parts: dict[str | None, int]) -> Column:
-    """The slot of `_block` of source `_s`: whole periods, and the place in the period's schedule."""
-    table: dict[str | None, list[int]] = {s: [] for s in parts}
-    for slot, s in enumerate(schedule(parts)):
-        table[s].append(slot)
-    period = sum(parts.values())
-    out = F.lit(None).cast("long")
-    for s, slots in table.items():
-        same = F.col("_s").isNull() if s is None else F.col("_s") == s
-        own = F.array(*[F.lit(x) for x in slots])
-        at = F.floor(F.col("_block") / len(slots)).cast("long") * period + F.element_at(own, (F.pmod(F.col("_block"), F.lit(len(slots))) + 1).cast("int"))
-        out = F.when(same, at.cast("long")).otherwise(out)
-    return out
+def with_slots(blocks: DataFrame, slots: dict[str | None, list[int]]) -> DataFrame:
+    """blocks with `slot`, the place of `_block` of source `_s`, from a table of the slots of each source."""
+    rows = pa.table({"_source": pa.array(slots.keys(), pa.string()), "_slots": pa.array(slots.values(), pa.list_(pa.int64()))})
+    own = saved(blocks.sparkSession.createDataFrame(rows))
+    placed = blocks.join(F.broadcast(own), F.col("_s").eqNullSafe(F.col("_source")))
+    return placed.withColumn("slot", F.element_at("_slots", (F.col("_block") + 1).cast("int"))).drop("_source", "_slots")
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source: str = "source", id_column: str = "doc_id", text: str = "text", period: int = PERIOD, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source: str = "source", id_column: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
     """Every row of docs once, with its `slot` (bigint) and `slot_rank` (bigint), the order within the slot.
 
-    Ordered by (slot, slot_rank), any prefix holds each source's target share
-    of characters to within a block and the document that straddles its end,
-    until a source runs out; the others then go on among themselves.  Null
+    Ordered by (slot, slot_rank), any prefix holds each source's share of
+    characters by the given weights, as they are and however many sources there
+    are, to within a block and the document that straddles its end, until a
+    source runs out; the others then go on among themselves.  A block is
+    `block_chars` characters, or the BLOCKS-th part of all if that is more.
+    Without weights, each source's is the square root of its characters.  Null
     sources are a source of their own; sources that `weights` does not name get
     the least weight named.  Null and empty texts count one character, as each
     document has a mark after it.  Rows of one id, equal ones too, are placed
@@ -123,14 +148,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     table gives an empty one.
     """
     docs = docs.drop("slot", "slot_rank")
-    found = source_weights(docs, source=source, text=text)
-    if weights is not None:
-        least = min(weights.values())
-        found = {s: weights.get(s, least) for s in found}
-    if not found:
+    sizes = source_sizes(docs, source, text)
+    if not sizes:
         return docs.withColumns({"slot": F.lit(None).cast("long"), "slot_rank": F.lit(None).cast("long")})
+    least = min(weights.values()) if weights is not None else None
+    found = {s: float(n) ** 0.5 if weights is None else weights.get(s, least) for s, n in sizes.items()}
+    block_chars = max(block_chars, -(-sum(sizes.values()) // BLOCKS))
+    slots = slots_of(found, {s: (n - 1) // block_chars + 1 for s, n in sizes.items()})
     blocks = with_blocks(docs, block_chars, source, id_column, text, seed)
-    return blocks.withColumn("slot", slot_of(shares(found, period))).withColumn("slot_rank", F.col("_h")).drop("_s", "_h", "_block")
+    return with_slots(blocks, slots).withColumn("slot_rank", F.col("_h")).drop("_s", "_h", "_block")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

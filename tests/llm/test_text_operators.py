@@ -219,3 +219,23 @@ def test_mixing(spark, odd_documents, no_documents):
     assert mixing.in_mixed_order(no_documents).count() == 0
     with pytest.raises(ValueError, match="positive"):
         mixing.shares({"a": 0.0})
+
+
+def test_mixing_keeps_to_exact_weights():
+    many = {f"s{k}": 1.0 for k in range(1500)} | {"third": 750.0}
+    slots = mixing.slots_of(many, dict.fromkeys(many, 1) | {"third": 700})
+    assert sorted(itertools.chain(*slots.values())) == [*range(2200)]
+    assert all(abs(k + 1 - (slot + 1) / 3) <= 1 for k, slot in enumerate(slots["third"]))
+    odd = {"a": 0.33349, "b": 0.66651 - 1e-5, "c": 1e-5}
+    slots = mixing.slots_of(odd, {"a": 33349, "b": 66650, "c": 1})
+    assert all(abs(k + 1 - odd[s] * (slot + 1)) <= 1 + 1e-9 for s in odd for k, slot in enumerate(slots[s]))
+    with pytest.raises(ValueError, match="positive"):
+        mixing.slots_of({"a": 0.0}, {"a": 1})
+
+
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 99) AS text", "CASE WHEN id < 3000 THEN 'big' ELSE concat('s', id % 1500) END AS source")
+    weights = {f"s{k}": 1.0 for k in range(1500)} | {"big": 1500.0}
+    got = mixing.mixed(docs, weights, block_chars=200).toPandas().sort_values(["slot", "slot_rank"])
+    big = (got["source"] == "big").to_numpy()
+    assert len(got) == 6000 and abs(100 * (big.cumsum() - (np.arange(6000) + 1) / 2)).max() <= 200 + 2 * 100

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, lines, mixing, quality, simhash
+from sluice.llm import alike, bpe, lines, mixing, quality
 from sluice.llm.common import shared_folder, table
 from sluice.llm.queries import byte_bpe_path
 
@@ -32,8 +32,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles of similarity 0.8 or more."""
+    return alike.one_of_alike(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

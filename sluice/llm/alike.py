@@ -1,0 +1,150 @@
+"""Near copies of documents as an exact set-similarity join of their word shingles.
+
+A document's set is the 64-bit hashes of its different shingles.  In any fixed
+order of shingles, sets of Jaccard similarity 4/5 or more share one of their
+first n - ceil(4 n / 5) + 1, so only sets that meet in the postings of those are
+compared, and each found pair is verified by its whole sets.  Of a posting all
+sets are first compared with one of them; then only sets that have not been
+linked to the same one meet in pairs, long postings in chunks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sluice.llm.common import stored, whole_text
+from sluice.llm.components import connected_components
+
+#: One of so many different texts is read for the frequent shingles, which come last in the order; this affects speed only.
+SAMPLED = 32
+#: Times in the sample from which a shingle is frequent, and how many are known.
+OFTEN, FREQUENT = 4, 30_000
+#: Sets of a posting that meet in one task.
+CHUNK = 256
+#: Parity bits of a set.
+BITS = 1024
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The different hashes of the text's shingles in ascending order; a text of fewer words is one shingle, an empty one none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases A-Z and splits at the six ASCII blanks only
+    if len(found) < words:
+        grams = [b" ".join(found)] if found else []
+    else:
+        grams = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64))
+
+
+def with_shingles(texts: DataFrame, words: int, column: str) -> DataFrame:
+    """texts with its shingles in an array<bigint> column `_shingles`."""
+
+    @F.pandas_udf("array<long>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingles(x, words).view(np.int64) for x in batch])
+
+    return texts.withColumn("_shingles", found(whole_text(column)))
+
+
+def frequent(docs: DataFrame, words: int, column: str) -> np.ndarray:
+    """Frequent shingles, the rarest first."""
+    texts = docs.select(whole_text(column).alias("text")).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(SAMPLED)) == 0).dropDuplicates(["h"])
+    counts = with_shingles(texts, words, "text").select(F.explode("_shingles").alias("s")).groupBy("s").count()
+    rows = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
+    return np.array([r["s"] for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of shingles fall on k: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def with_prefix(docs: DataFrame, words: int, column: str, last: np.ndarray) -> DataFrame:
+    """docs with `set` (a hash of its whole set), `n` (its size), `prefix` (the shingles that it is found by) and `bits` (its parities)."""
+    order = np.argsort(last)
+    known = last[order]
+
+    def prefix_of(own: np.ndarray) -> np.ndarray:
+        n = len(own)
+        take = n + (-4 * n) // 5 + 1 if n else 0
+        if not len(known):
+            return own[:take]
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        often = known[at] == own
+        return np.concatenate([own[~often], last[np.sort(order[at[often]])]])[:take]
+
+    @F.pandas_udf("set long, n int, prefix array<long>, bits array<long>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(x, words) for x in batch]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"set": keys, "n": np.array([len(x) for x in sets], np.int32), "prefix": [prefix_of(x).view(np.int64) for x in sets], "bits": [parities(x) for x in sets]})
+
+    return docs.withColumn("_found", found(whole_text(column))).select(*docs.columns, "_found.*")
+
+
+def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, words: int, column: str) -> DataFrame:
+    """The different pairs (a, b) whose sets have a Jaccard similarity of 4/5 or more.  named: _key, set, n and bits of each set.
+
+    Pairs that sizes and parities exclude are dropped before texts are fetched.
+    """
+    one, two = (named.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")).dropDuplicates([x]) for x in "ab")
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    may = (5 * F.least("na", "nb").cast("long") >= 4 * F.greatest("na", "nb").cast("long")) & (9 * apart.cast("long") <= F.col("na").cast("long") + F.col("nb"))
+    left = stored(pairs.distinct().join(one, "a").join(two, "b").where(may).select("a", "b"))
+    ends = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    texts = docs.join(named.join(ends, "set", "left_semi").select("_key", "set"), "_key").dropDuplicates(["set"])
+    sets = stored(with_shingles(texts, words, column).select("set", F.col("_shingles").alias("shingles")))
+    both = left.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    alike = 9 * F.size(F.array_intersect("x", "y")).cast("long") >= 4 * (F.size("x").cast("long") + F.size("y"))
+    return stored(both.where(alike).select("a", "b"))
+
+
+def links(docs: DataFrame, rows: DataFrame, words: int, column: str) -> DataFrame:
+    """Links (a, b) of sets, whose components are those of all pairs that are alike.  rows: _key and what with_prefix() adds, of each row of docs."""
+    named = rows.join(rows.groupBy("set").agg(F.min("_key").alias("_key")).select("_key"), "_key", "left_semi")
+    postings = named.select("set", "n", F.posexplode("prefix").alias("at", "token"))
+    heads = postings.groupBy("token").agg(F.min("set").alias("head"), F.max("set").alias("most")).where("head < most").select("token", "head")
+    shared = stored(postings.join(heads, "token"))
+    known = named.select("_key", "set", "n", "bits")
+    first = verified(shared.where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b")), known, docs, words, column)
+    # Sets of one label are linked already.
+    labels = first.groupBy(F.col("b").alias("set")).agg(F.min("a").alias("label"))
+    labelled = shared.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    parts = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("low < high")
+    dealt = (
+        labelled.join(parts.select("token", "chunks"), "token")
+        .withColumn("own", F.pmod(F.xxhash64("set", F.lit("chunk")), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("set", "n", "at", "label", "head", "own", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    )
+    # A pair's first shared shingle leaves room for enough others.
+    room = "x.set < y.set AND x.set <> x.head AND x.label <> y.label AND (x.lo = x.hi OR x.own <> y.own) AND 9L * least(x.n - x.at, y.n - y.at) >= 4L * (x.n + y.n)"
+    meeting = dealt.alias("x").join(dealt.alias("y"), ["token", "lo", "hi"]).where(room)
+    return first.unionByName(verified(meeting.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")), known, docs, words, column))
+
+
+def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without all but one row of each group of near copies: the one of least id, null ids last.
+
+    Near copies are rows of which the different shingles of `words` words have a
+    Jaccard similarity of 0.8 or more, and a group is all that such pairs reach.
+    All texts without words are one group.  Of equal rows one stays.  Columns
+    are passed on as they are.
+    """
+    marked = docs.withColumn("_key", F.xxhash64(id_column, whole_text(text_column)))
+    keyed = marked.select(F.col(id_column).alias("doc_id"), "_key", F.col(text_column).alias("text"))
+    rows = stored(with_prefix(keyed, words, "text", frequent(keyed, words, "text")).drop("text"))
+    roots = connected_components(links(keyed.select("_key", "text"), rows, words, "text")).withColumnRenamed("node", "set")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "set", "_key")
+    stay = rows.select("doc_id", "set", "_key").join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min(order).alias("least")).select("least._key")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_column)))
+    return marked.join(stay, "_key", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)

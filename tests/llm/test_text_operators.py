@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import bpe, fingerprint, lines, mixing, secrets, simhash
+from sluice.llm import alike, bpe, fingerprint, lines, mixing, secrets, simhash
 from sluice.llm.components import connected_components
 from sluice.llm.queries import byte_bpe_path
 
@@ -239,3 +239,52 @@ def test_mixing_of_many_sources(spark):
     got = mixing.mixed(docs, weights, block_chars=200).toPandas().sort_values(["slot", "slot_rank"])
     big = (got["source"] == "big").to_numpy()
     assert len(got) == 6000 and abs(100 * (big.cumsum() - (np.arange(6000) + 1) / 2)).max() <= 200 + 2 * 100
+
+
+def brute_alike(rows: list[tuple[int, str | None]]) -> list[int]:
+    """The ids that stay of documents with different ids."""
+    sets = []
+    for _, text in rows:
+        words = [w for w in BLANK.split(text or "") if w]
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([tuple(words)] if words else []))
+    root = [*range(len(rows))]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            old, new = root[i], root[j]
+            root = [new if r == old else r for r in root]
+    return sorted(min(d for (d, _), r in zip(rows, root, strict=True) if r == k) for k in set(root))
+
+
+@pytest.mark.parametrize("often", [0, 4])
+def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents, often):
+    if not often:  # all shingles of the texts are ordered, and every posting is dealt out
+        monkeypatch.setattr(alike, "SAMPLED", 1)
+        monkeypatch.setattr(alike, "OFTEN", 1)
+        monkeypatch.setattr(alike, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "one two three"), (1004, "one two")]
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(int(rng.integers(20, 120)))]
+        for _ in range(12):
+            own = list(base)
+            for at in rng.choice(len(own), rng.integers(0, 4), replace=False):
+                own[at] = f"x{rng.integers(0, 1000)}"
+            rows.append((len(rows), " ".join(own[: len(own) - int(rng.integers(0, 6))])))
+    want = brute_alike(rows)
+    assert len(want) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in alike.one_of_alike(docs).collect()) == want
+    odd = alike.one_of_alike(odd_documents)
+    assert odd.columns == odd_documents.columns
+    assert sorted(r["doc_id"] for r in odd.where("doc_id is not null").collect()) == [0, 3, 4, 6, 7, 8, 9]
+    assert alike.one_of_alike(no_documents).count() == 0
+
+
+def test_pipeline_drops_scattered_edits(spark, small):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(400)]
+    rows = [(n, " ".join(f"x{n}" if k % 100 == 50 + 7 * n else w for k, w in enumerate(base)), "en", "s", 1) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert brute_alike([r[:2] for r in rows]) == [0]
+    assert [r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, small).collect()] == [0]

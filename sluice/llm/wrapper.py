@@ -60,6 +60,9 @@ OTHER = frozenset(
     "comment comments reply replies disqus pagination pager copyright contentinfo complementary toolbar skip hidden tags byline".split()
 )
 LIKELY = frozenset("article content main post entry story body text".split())
+#: Elements that hold the article whatever their names say, and forms, which may hold a whole page.
+WHOLE = frozenset("root html body main".split())
+FORMS = frozenset("form fieldset".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|[\"'][^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
@@ -151,6 +154,33 @@ class Slot:
     text: int | None = None
     chars: int = 0
     linked: int = 0
+    most: bool = False
+
+
+def opened(root: Node) -> Node:
+    """The tree, in which a form that holds most of the page's text without links is a block like any other."""
+    sizes: dict[int, int] = {}
+
+    def size(node: Node) -> int:
+        total = 0
+        for c in node.children:
+            if isinstance(c, str):
+                total += len("".join(c.split()))
+            elif not c.gone and c.tag != "a" and (c.tag in FORMS or c.tag not in SILENT):
+                total += size(c)
+        sizes[id(node)] = total
+        return total
+
+    def open_below(node: Node, whole: int) -> None:
+        for c in node.children:
+            if isinstance(c, str) or 2 * sizes.get(id(c), 0) <= whole:
+                continue
+            if c.tag in FORMS:
+                c.tag, c.label = "div", ".".join(["div", *sorted(c.words)])
+            open_below(c, whole)
+
+    open_below(root, size(root))
+    return root
 
 
 def shape(node: Node) -> tuple:
@@ -275,9 +305,26 @@ def other(slot: Slot, inside: bool) -> bool:
     """Whether a slot is a menu, notice, advert or the like by its element, its names or its links."""
     if slot.tag in ASIDE or (slot.tag == "header" and not inside):
         return True
-    if slot.words & OTHER and not (slot.words & LIKELY and slot.tag in MAIN):
-        return True
-    return False
+    return bool(slot.words & OTHER) and slot.tag not in WHOLE and not slot.most and not (slot.words & LIKELY and slot.tag in MAIN)
+
+
+def mark_most(root: Slot) -> None:
+    """Marks the slots that hold most of the varying text without links, counted before any is excluded by name; of pages that do not vary, most of all text."""
+    sizes: dict[int, int] = {}
+
+    def size(slot: Slot, varying: bool) -> int:
+        own = 0 if varying and slot.same and slot.pages >= ALIKE else max(0, slot.chars - slot.linked)
+        sizes[id(slot)] = own + sum(size(c, varying) for c in slot.children)
+        return sizes[id(slot)]
+
+    def mark(slot: Slot) -> None:
+        for c in slot.children:
+            if 2 * sizes[id(c)] > whole:
+                c.most = True
+                mark(c)
+
+    whole = size(root, True) or size(root, False)
+    mark(root)
 
 
 def mass(slot: Slot, inside: bool = False) -> int:
@@ -372,13 +419,14 @@ def fresh(texts: list[str]) -> int:
 
 def extracted(pages: list[str]) -> list[str]:
     """The main texts of pages of one host, by the wrapper that all of them make."""
-    trees = [parsed(p) for p in pages]
+    trees = [opened(parsed(p)) for p in pages]
     root = Slot("root", "root", frozenset())
     assigned: list[dict[int, Slot]] = []
     for tree in trees:
         own: dict[int, Slot] = {}
         merge(root, ("root", [tree], skeleton([tree])), own)
         assigned.append(own)
+    mark_most(root)
     content = marked(root, fresh(pages) if any_alike(root) else len(pages))
     texts = []
     for tree, own in zip(trees, assigned, strict=True):

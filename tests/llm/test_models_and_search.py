@@ -105,3 +105,15 @@ def test_page_rows(spark, small):
     assert len(got) == len(rows) and {r["text"] for r in got if r["page_id"] == 2} == {""}
     assert len({r["text"] for r in got if r["page_id"] == 1}) == 1
     assert wrapper.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "around",
+    ["<body class='single has-sidebar'>{}</body>", "<html class='header-fixed'><body>{}</body></html>", "<div id='page' class='with-sidebar'>{}</div>", "<div class='content hide-comments'>{}</div>", "<main class='page no-header'>{}</main>", "<form action='x'><input name='v'>{}</form>"],
+)
+@pytest.mark.parametrize("n", [1, 5])
+def test_names_around_the_article_do_not_hide_it(around, n):
+    page = "<h1>Title {k}</h1><p>{words}</p><div class='sidebar'>aside {k}</div>"
+    pages = [around.format(page.format(k=k, words=f"some words of page {k} " * 20)) for k in range(n)]
+    for k, text in enumerate(wrapper.extracted(pages)):
+        assert text == " ".join([f"Title {k}", *[f"some words of page {k}"] * 20])

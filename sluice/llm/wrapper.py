@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import whole_text
+from sluice.llm.common import saved, whole_text
 
 #: Pages of a host that are aligned with one another; a larger host has several such groups, each with a wrapper.
 GROUP = 128
-#: Bytes of pages in a group from which it is cut off.
+#: Characters of pages in a group from which it is cut.
 GROUP_CHARS = 16 << 20
 #: Pages that must have a node, all with the same text, for it to be template.
 ALIKE = 3
+#: Varying words of a page, below which they do not tell whether it differs as a whole.
+FEW = 8
 #: Nesting that is followed; deeper elements count as their ancestor's.
 DEEP = 200
 #: A region that holds this share of a node's varying text takes its place.
@@ -408,15 +410,44 @@ def written(node: Node, assigned: dict[int, Slot], content: dict[int, bool], out
             out.append("\n")
 
 
-def fresh(texts: list[str]) -> int:
-    """How many of the pages differ as a whole: near copies share the word of least hash in most places and count once."""
+def own_words(node: Node, assigned: dict[int, Slot], whole: bool = False) -> list[str]:
+    """The words of a page's nodes whose text varies between the pages, or of all its nodes."""
+    slot, out = assigned.get(id(node)), []
+    if slot is not None and (whole or not slot.same or slot.pages < ALIKE):
+        parts: list[str] = []
+        text_of(node, parts)
+        out = "".join(parts).split()
+
+    def below(x: Node) -> None:
+        for c in x.children:
+            if isinstance(c, str) or c.tag in SILENT or c.gone:
+                continue
+            if id(c) in assigned:
+                out.extend(own_words(c, assigned, whole))
+            else:
+                below(c)
+
+    below(node)
+    return out
+
+
+def fresh(pages: list[list[str]]) -> int:
+    """How many of the pages, by their words, differ as a whole: near copies share the run of three words of least hash in most places and count once."""
     seen = set()
-    for t in texts:
-        words = set(t.split())
-        seen.add(min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=0))
+    for words in pages:
+        runs = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+        seen.add(min(zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs))
     return len(seen)
 
 
+def differing(trees: list[Node], assigned: list[dict[int, Slot]]) -> int:
+    """How many pages differ as a whole, by what varies; where that is but a few words, such as a date, by all words."""
+    own = [own_words(t, a) for t, a in zip(trees, assigned, strict=True)]
+    if sorted(map(len, own))[len(own) // 2] < FEW:
+        own = [own_words(t, a, True) for t, a in zip(trees, assigned, strict=True)]
+    return fresh(own)
+
+
 def extracted(pages: list[str]) -> list[str]:
     """The main texts of pages of one host, by the wrapper that all of them make."""
     trees = [opened(parsed(p)) for p in pages]
@@ -427,7 +458,7 @@ def extracted(pages: list[str]) -> list[str]:
         merge(root, ("root", [tree], skeleton([tree])), own)
         assigned.append(own)
     mark_most(root)
-    content = marked(root, fresh(pages) if any_alike(root) else len(pages))
+    content = marked(root, differing(trees, assigned) if any_alike(root) else len(pages))
     texts = []
     for tree, own in zip(trees, assigned, strict=True):
         out: list[str] = []
@@ -443,40 +474,54 @@ def any_alike(slot: Slot) -> bool:
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", name: str = "text", group: int = GROUP) -> DataFrame:
     """A row for each row of pages: its id and url, and the main text of its whole html (empty if there is none).
 
-    Null html counts as empty.  Pages are dealt by host and hashed id, so a
-    large host is spread over many tasks, and aligned in groups of at most
-    `group` pages; null and odd urls make a host of their own.  Equal rows are
+    Null html counts as empty.  The pages of each host are counted and dealt by
+    hashed id into balanced groups of about `group` pages at most, so a large
+    host is spread over many tasks; groups are the same for any partitioning.
+    A group of many bytes is cut into parts of ALIKE pages at least.  Null and odd urls make a host of their own.  Equal rows are
     aligned like any others and get equal texts.  Further columns of pages are
     not read.  Ids may repeat or be null.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"), whole_text(html).alias("html"), host.alias("host"))
     rows = rows.withColumn("h", F.xxhash64("page_id", "url"))
-    dealt = rows.repartitionByRange("host", "h").sortWithinPartitions("host", "h", "page_id")
+    # At most one row for every `group` pages: only hosts of several groups.
+    groups = saved(rows.groupBy("host").agg(F.ceil(F.count("*") / group).alias("groups")).where("groups > 1"))
+    part = F.pmod(F.xxhash64("h", F.lit("group")), F.coalesce("groups", F.lit(1).cast("long")))
+    rows = rows.join(F.broadcast(groups), "host", "left").withColumn("part", part).drop("groups")
+    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "h", "page_id", F.xxhash64("html"))
     kind = pages.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[pd.DataFrame] = []
-        current, count, chars = None, 0, 0
-
-        def done() -> pd.DataFrame:
+        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
             rows = pd.concat(parts, ignore_index=True)
             return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], name: extracted(rows["html"].tolist())})
 
+        before: list[pd.DataFrame] = []  # a full part of the same group, which a rest of too few pages joins
+        parts: list[pd.DataFrame] = []
+        current, count, chars = None, 0, 0
         for frame in batches:
-            hosts, lengths = frame["host"].tolist(), frame["html"].str.len().tolist()
+            keys = list(zip(frame["host"].tolist(), frame["part"].tolist(), strict=True))
             lo = 0
-            for k, (h, n) in enumerate(zip(hosts, lengths, strict=True)):
-                if h != current or count >= group or chars >= GROUP_CHARS:
+            for k, (key, n) in enumerate(zip(keys, frame["html"].str.len().tolist(), strict=True)):
+                if key != current or (chars >= GROUP_CHARS and count >= ALIKE):
                     if k > lo:
                         parts.append(frame.iloc[lo:k])
-                    if parts:
-                        yield done()
-                    parts, lo, current, count, chars = [], k, h, 0, 0
+                    if before and count < ALIKE:
+                        parts, before = before + parts, []
+                    if before:
+                        yield done(before)
+                    before = parts
+                    if key != current and before:
+                        yield done(before)
+                        before = []
+                    parts, lo, current, count, chars = [], k, key, 0, 0
                 count, chars = count + 1, chars + n
             if len(frame) > lo:
                 parts.append(frame.iloc[lo:])
-        if parts:
-            yield done()
+        if before and count < ALIKE:
+            parts, before = before + parts, []
+        for rest in (before, parts):
+            if rest:
+                yield done(rest)
 
     return dealt.mapInPandas(run, f"page_id {kind}, url string, {name} string")

@@ -117,3 +117,18 @@ def test_names_around_the_article_do_not_hide_it(around, n):
     pages = [around.format(page.format(k=k, words=f"some words of page {k} " * 20)) for k in range(n)]
     for k, text in enumerate(wrapper.extracted(pages)):
         assert text == " ".join([f"Title {k}", *[f"some words of page {k}"] * 20])
+
+
+def test_shared_markup_does_not_turn_template_off(spark):
+    shared = "".join(f"<div data-k{k}='v{k}'></div>" for k in range(400))
+    page = "<body>{shared}<div class='post'><h2>Always the same notice</h2><p>{own}</p></div></body>"
+    pages = [page.format(shared=shared, own=" ".join(f"p{k}w{j}" for j in range(12))) for k in range(12)]
+    assert all("notice" not in t and "w11" in t for t in wrapper.extracted(pages))
+
+
+def test_no_page_of_a_large_host_is_left_alone(spark):
+    page = "<div class='post'><h2>Always the same notice</h2><p>{own}</p></div>"
+    rows = [(k, f"http://a.b/{k}", page.format(own=" ".join(f"p{k}w{j}" for j in range(20)))) for k in range(129)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = wrapper.main_text(pages).collect()
+    assert len(got) == 129 and not [r["page_id"] for r in got if "notice" in r["text"]]

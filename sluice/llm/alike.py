@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stored, whole_text
+from sluice.llm.common import saved, whole_text
 from sluice.llm.components import connected_components
 
 #: One of so many different texts is read for the frequent shingles, which come last in the order; this affects speed only.
@@ -99,13 +99,13 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, words: int, co
     one, two = (named.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")).dropDuplicates([x]) for x in "ab")
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     may = (5 * F.least("na", "nb").cast("long") >= 4 * F.greatest("na", "nb").cast("long")) & (9 * apart.cast("long") <= F.col("na").cast("long") + F.col("nb"))
-    left = stored(pairs.distinct().join(one, "a").join(two, "b").where(may).select("a", "b"))
+    left = saved(pairs.distinct().join(one, "a").join(two, "b").where(may).select("a", "b"))
     ends = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     texts = docs.join(named.join(ends, "set", "left_semi").select("_key", "set"), "_key").dropDuplicates(["set"])
-    sets = stored(with_shingles(texts, words, column).select("set", F.col("_shingles").alias("shingles")))
+    sets = saved(with_shingles(texts, words, column).select("set", F.col("_shingles").alias("shingles")))
     both = left.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
     alike = 9 * F.size(F.array_intersect("x", "y")).cast("long") >= 4 * (F.size("x").cast("long") + F.size("y"))
-    return stored(both.where(alike).select("a", "b"))
+    return saved(both.where(alike).select("a", "b"))
 
 
 def links(docs: DataFrame, rows: DataFrame, words: int, column: str) -> DataFrame:
@@ -113,7 +113,7 @@ def links(docs: DataFrame, rows: DataFrame, words: int, column: str) -> DataFram
     named = rows.join(rows.groupBy("set").agg(F.min("_key").alias("_key")).select("_key"), "_key", "left_semi")
     postings = named.select("set", "n", F.posexplode("prefix").alias("at", "token"))
     heads = postings.groupBy("token").agg(F.min("set").alias("head"), F.max("set").alias("most")).where("head < most").select("token", "head")
-    shared = stored(postings.join(heads, "token"))
+    shared = saved(postings.join(heads, "token"))
     known = named.select("_key", "set", "n", "bits")
     first = verified(shared.where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b")), known, docs, words, column)
     # Sets of one label are linked already.
@@ -142,7 +142,7 @@ def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", tex
     """
     marked = docs.withColumn("_key", F.xxhash64(id_column, whole_text(text_column)))
     keyed = marked.select(F.col(id_column).alias("doc_id"), "_key", F.col(text_column).alias("text"))
-    rows = stored(with_prefix(keyed, words, "text", frequent(keyed, words, "text")).drop("text"))
+    rows = saved(with_prefix(keyed, words, "text", frequent(keyed, words, "text")).drop("text"))
     roots = connected_components(links(keyed.select("_key", "text"), rows, words, "text")).withColumnRenamed("node", "set")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "set", "_key")
     stay = rows.select("doc_id", "set", "_key").join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min(order).alias("least")).select("least._key")

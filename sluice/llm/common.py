@@ -1,12 +1,11 @@
-"""Helpers shared by the operators: tables, checkpoints and text that may be null."""
+"""Helpers shared by the operators: tables, intermediate results, column names and text that may be null."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,26 +15,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from spark.checkpoint.dir; a temporary one is set only where none is, as in local tests."""
+    """The session's checkpoint folder, from spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-"))
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a Parquet table to the shared folder and read back: like saved(), for larger results of which columns are read apart.
+class Tables:
+    """Intermediate tables of one run of an operator, in a folder of their own below the shared one, written and read by name."""
 
-    Spark deletes shuffle files once the driver has collected the plans that
-    made them as garbage; asking for that here frees their disk at once.
-    """
-    session = df.sparkSession
-    path = f"{shared_folder(session)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
-    return session.read.parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written and read again: what follows never repeats the work before it, and survives the loss of executors."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -48,6 +53,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def whole_text(column: str = "text"):
+def whole_text(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of docs has it, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def once(value: Column) -> Column:
+    """value as a generator of one row: Spark computes it once a row, however often what follows reads it."""
+    return F.explode(F.array(value))

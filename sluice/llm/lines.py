@@ -6,26 +6,29 @@ n - ceil(t n) + 1 tokens, so only lines that meet in the postings of those
 prefixes are compared: by their sizes, by the places of the shared token, and by
 bitmaps that bound how many tokens they can share; the full token sets verify.
 Of matching lines the later ones go.  Equal lines are one class, compared once.
-Long postings, those of large groups of near copies, take two rounds: the first
-compares each line with the earliest few, which settles most of the group, and
-the second compares what is left with all.
+Where the postings of a token are long, lines meet in those of two tokens: the
+first two that two similar lines share are among the first
+n - ceil(t n) + 2 of each.  Where even those are long, as in large groups of
+near copies, each line is first compared with a few early ones, which settles
+most of the group, and what is left with all, in chunks.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import stored, whole_text
+from sluice.llm.common import Tables, free, once, whole_text
 
 BLANKS = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
-#: Postings of one token that are all compared with one another, and how many of them all later ones are compared with at once.
-LISTED, LEADERS = 256, 8
+#: Postings of one token that are all compared with one another, and how many early ones the lines of longer lists are compared with first.
+LISTED, LEADERS = 1024, 8
 #: Bits of a number that hold a line's place in its document, where ids and texts allow to keep both in one.
 LINE_BITS, ID_BITS = 22, 40
 #: Occurrences from which a word is frequent.
@@ -34,8 +37,6 @@ FREQUENT = 64
 TABLE_BITS = 18
 #: Frequencies are kept as classes of their logarithm.
 CLASSES = 126
-#: Lines of more tokens have two bitmaps.
-LONG_LINE = 80
 #: A sieve of lines has two to the power of this many bits, a megabyte, whatever the input.
 SIEVE_BITS = 23
 
@@ -54,10 +55,11 @@ def tokens_of(line: Column) -> Column:
 
 @dataclass
 class Corpus:
-    """What is known of a table of texts: its documents, a table of classes of frequency by hashed word, and how lines are named."""
+    """What is known of a table of texts: its documents, a table of classes of frequency by hashed word, from which class lists may be long, and how lines are named."""
 
     docs: DataFrame
     table: bytearray
+    long_from: int
     packed: bool
 
     def place(self) -> Column:
@@ -82,19 +84,19 @@ def surveyed(docs: DataFrame) -> Corpus:
     entries of FREQUENT occurrences or more come to the driver, and of a large
     corpus those of about a millionth of all words or more.
     """
-    size, longest = docs.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    packed = False
-    if docs.schema["doc_id"].dataType == T.LongType() and (longest or 0) < 1 << LINE_BITS:
-        low, high, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-        packed = low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
-        packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 7))
+    size, longest, low, high, nulls = docs.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text")), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    packed = docs.schema["doc_id"].dataType == T.LongType() and (longest or 0) < 1 << LINE_BITS
+    packed = packed and low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
+    packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 9))
     words = docs.select(F.explode(F.split("text", BLANKS, -1)).alias("w"))
     entries = words.select(F.xxhash64("w").bitwiseAND((1 << fine) - 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
-    frequent = entries.where(F.col("n") >= max(FREQUENT, (size or 0) >> 23)).toPandas()
+    least = max(FREQUENT, (size or 0) >> 23)
+    frequent = entries.where(F.col("n") >= least).toPandas()
     table = np.zeros(1 << TABLE_BITS)
     np.maximum.at(table, frequent["at"].to_numpy(np.int64) & ((1 << TABLE_BITS) - 1), np.log(frequent["n"].to_numpy(float)))
-    return Corpus(docs, bytearray((table * (CLASSES / max(table.max(), 1e-9))).astype(np.uint8).tobytes()), packed)
+    scale = CLASSES / max(table.max(), 1e-9)
+    return Corpus(docs, bytearray((table * scale).astype(np.uint8).tobytes()), min(CLASSES + 1, int(math.log(LISTED) * scale)) if least <= LISTED else 0, packed)
 
 
 def overlap(n: Column, other: Column, threshold: float) -> Column:
@@ -102,79 +104,68 @@ def overlap(n: Column, other: Column, threshold: float) -> Column:
     return F.ceil((n + other) * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
-def postings(corpus: Corpus, threshold: float) -> DataFrame:
-    """Rows (token, place, size, bitmap, half): the prefix tokens of each class of lines.
+def prefix_length(n: Column, threshold: float) -> Column:
+    return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
 
-    place: its first line.  size: how many tokens it has, and in the lower half
-    the token's place among them.  bitmap: bit b is set if an odd number of its
-    tokens hash to b; as many tokens at least tell two lines apart as their
-    bitmaps have different bits.  half: for long lines, the same for half of
-    the tokens only, so that two bitmaps count apart.
+
+def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
+    """Rows (class, place, times, n, bitmap, prefix) of the different lines.
+
+    place: the first line of the class.  times: how many lines it has.  n: its
+    tokens.  bitmap: bit b is set if an odd number of its tokens hash to b; as
+    many tokens at least tell two lines apart as their bitmaps have different
+    bits.  prefix: half hashes of the tokens it is found by and of one more;
+    the lowest bit tells whether a token's postings may be long.
     """
-    keyed = corpus.lines().withColumn("tokens", corpus.by_rarity(tokens_of(F.col("line")))).withColumn("n", F.size("tokens"))
+    keyed = corpus.lines().select("class", "place", once(corpus.by_rarity(tokens_of(F.col("line")))).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    none = F.lit(0).cast("long")
-    bitmap = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
-    half = F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    # What stands in the postings is half a hash: words that share it only bring candidates that fail later.
-    prefix = F.transform(F.slice("tokens", F.lit(1), length), lambda t: F.hash(t))
-    heads = keyed.select("class", "n", bitmap.alias("bitmap"), F.when(F.col("n") > LONG_LINE, half).otherwise(none).alias("half"), prefix.alias("prefix"), "place")
-    classes = heads.groupBy("class", "n", "bitmap", "half", "prefix").agg(F.min("place").alias("place"))
-    each = classes.select("n", "bitmap", "half", "place", F.posexplode("prefix").alias("i", "token"))
-    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), "bitmap", "half")
+    bitmap = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    n = F.size("tokens")
+    may_be_long = lambda t: (t >= F.lit(corpus.long_from << 56)).cast("int")
+    prefix = F.transform(F.slice("tokens", F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
+    heads = keyed.select("class", "place", n.alias("n"), bitmap.alias("bitmap"), prefix.alias("prefix"))
+    return heads.groupBy("class", "n", "bitmap", "prefix").agg(F.min("place").alias("place"), F.count("*").alias("times"))
+
+
+def postings(classes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (token, place, size, bitmap): the prefix tokens of each class.  size: how many tokens it has, and in the lower half the token's place among them."""
+    each = classes.select("n", "bitmap", "place", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), threshold))).alias("i", "token"))
+    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), "bitmap")
+
+
+def pair_postings(classes: DataFrame, posts: DataFrame) -> DataFrame:
+    """Postings of two tokens, one of posts and each that follows it in the line's prefix; a line of one token has that alone."""
+    i = F.col("size").bitwiseAND((1 << 32) - 1).cast("int")
+    both = posts.join(classes.select("place", "prefix"), "place")
+    each = both.select("token", "place", "size", "bitmap", F.explode_outer(F.slice("prefix", i + 1, F.size("prefix"))).alias("other"))
+    return each.select(F.xxhash64("token", "other").alias("token"), "place", "size", "bitmap")
+
+
+def long_lists(posts: DataFrame) -> DataFrame:
+    """The tokens of over LISTED postings: fewer than a thousandth of them, counted where they stand first."""
+    return posts.groupBy("token").agg(F.count("*").alias("count")).where(F.col("count") > LISTED).select("token")
 
 
 def passes(a: str, b: str, threshold: float) -> Column:
-    """Whether postings a and b of one token may belong to lines that reach the threshold: by sizes, places in the lines, and bitmaps."""
+    """Whether posting b is earlier than posting a of one token, and their lines may reach the threshold: by sizes, places in the lines, and bitmaps."""
     n, n2 = size_of(a), size_of(b)
     i, i2 = (F.col(f"{x}.size").bitwiseAND((1 << 32) - 1).cast("int") for x in (a, b))
     need = overlap(n, n2, threshold)
     sized = (n2 >= n * threshold - 1e-9) & (n >= n2 * threshold - 1e-9)
     reach = F.least(i, i2) + F.least(n - i, n2 - i2) >= need
-    return sized & reach & (n + n2 - apart(a, b) >= 2 * need)
-
-
-def apart(a: str, b: str) -> Column:
-    """In how many bits the bitmaps of two postings differ."""
-    whole, half = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in ("bitmap", "half"))
-    both = (F.col(f"{a}.half") != 0) & (F.col(f"{b}.half") != 0)
-    return F.when(both, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    apart = F.bit_count(F.col(f"{a}.bitmap").bitwiseXOR(F.col(f"{b}.bitmap")))
+    return (F.col(f"{b}.place") < F.col(f"{a}.place")) & sized & reach & (n + n2 - apart >= 2 * need)
 
 
 def size_of(side: str) -> Column:
     return F.shiftright(f"{side}.size", 32).cast("int")
 
 
-def pair_columns() -> list[Column]:
-    """The places and sizes of two postings a and b."""
-    return [F.col("a.place").alias("place"), size_of("a").alias("n"), F.col("b.place").alias("place2"), size_of("b").alias("n2")]
-
-
-def first_round(posts: DataFrame, threshold: float) -> DataFrame:
-    """Rows (place, n, place2, n2, later): pairs of classes that pass all filters, the later one first.
-
-    Of a token's postings the first LISTED are compared with one another, and
-    the others with the first LEADERS.  Each posting of a longer list is a row
-    too, with itself as `later`, for the second round.
-    """
-    order = Window.partitionBy("token").orderBy("place")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a = posts.withColumns({"rn": F.row_number().over(order), "count": F.count("*").over(Window.partitionBy("token")), "lead": F.nth_value("place", LEADERS).over(so_far)}).alias("a")
-    b = posts.alias("b")
-    earlier = (F.col("b.place") < F.col("a.place")) & ((F.col("a.rn") <= LISTED) | (F.col("b.place") <= F.col("a.lead")))
-    itself = (F.col("a.place") == F.col("b.place")) & (F.col("a.count") > LISTED)
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & ((earlier & passes("a", "b", threshold)) | itself))
-    later = F.when(F.col("a.place") == F.col("b.place"), F.struct("a.token", "a.place", "a.size", "a.bitmap", "a.half", "a.rn"))
-    return met.select(*pair_columns(), later.alias("later")).distinct()
-
-
-def second_round(hot: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs like those of the first round: what it has neither settled nor compared, with all earlier postings of the token."""
-    left = hot.where(F.col("rn") > LISTED).join(settled, "place", "left_anti")
-    a, b = left.alias("a"), hot.where(F.col("rn") > LEADERS).alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place")) & passes("a", "b", threshold))
-    return met.select(*pair_columns()).distinct()
+def met(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Rows (place, n, place2, n2): pairs of classes whose postings in a and b meet and pass all filters, the later one first."""
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    pairs = a.alias("a").join(b.alias("b"), [*on, passes("a", "b", threshold)])
+    return pairs.select(F.col("a.place").alias("place"), size_of("a").alias("n"), F.col("b.place").alias("place2"), size_of("b").alias("n2")).distinct()
 
 
 def sifted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,22 +180,6 @@ def sifted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(table), "_row").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_row", "_bit", "_bits")
 
 
-def verified(pairs: DataFrame, corpus: Corpus, threshold: float) -> DataFrame:
-    """The places (place) of pairs whose token sets reach the threshold.
-
-    Their lines are taken from the documents again, so that tokens never move
-    for lines that nothing is like.  Sixteen bits of each token go first: what
-    they leave of the pairs is compared by whole tokens.
-    """
-    wanted = stored(pairs.select("place").unionByName(pairs.select(F.col("place2").alias("place"))).distinct())
-    # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
-    sets = stored(sifted(corpus.lines().select("place", "line"), wanted).join(wanted, "place"))
-    tokens = tokens_of(F.col("line"))
-    short = F.array_distinct(F.transform(tokens, lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
-    likely = alike(pairs, sets.select("place", short.alias("tokens")), threshold)
-    return alike(stored(likely), sets.select("place", tokens.alias("tokens")), threshold).select("place").distinct()
-
-
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose tokens in sets reach the threshold, or may do so where several tokens of a line are one in sets."""
     other = sets.select(F.col("place").alias("place2"), F.col("tokens").alias("tokens2"))
@@ -213,15 +188,55 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= overlap(F.col("n"), F.col("n2"), threshold)).select("place", "n", "place2", "n2")
 
 
-def matched_lines(corpus: Corpus, threshold: float) -> DataFrame:
-    """The places of the first lines of their classes that an earlier line is like."""
-    first = stored(first_round(postings(corpus, threshold), threshold))
-    settled = stored(verified(first.where("later is null").drop("later"), corpus, threshold))
-    hot = first.where("later is not null").select("later.*")
-    if hot.isEmpty():
-        return settled
-    second = stored(second_round(hot, settled, threshold))
-    return settled if second.isEmpty() else settled.unionByName(verified(second, corpus, threshold)).distinct()
+class Search:
+    """One search for the classes that an earlier class is like, with its intermediate tables."""
+
+    def __init__(self, corpus: Corpus, threshold: float, tables: Tables):
+        self.corpus, self.threshold, self.tables, self.rounds = corpus, threshold, tables, 0
+        self.classes = tables.put("classes", classes_of(corpus, threshold))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The later places (place) of pairs whose token sets reach the threshold.
+
+        Their lines are taken from the documents again, so that tokens never
+        move for lines that nothing is like.  Sixteen bits of each token go
+        first: what they leave of the pairs is compared by whole tokens.
+        """
+        self.rounds += 1
+        at = lambda name: f"{name}{self.rounds}"
+        pairs = self.tables.put(at("pairs"), pairs)
+        wanted = self.tables.put(at("wanted"), pairs.select(F.explode(F.array("place", "place2")).alias("place")).distinct())
+        # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
+        found = sifted(self.corpus.lines().select("place", "line"), wanted).join(wanted, "place")
+        sets = self.tables.put(at("sets"), found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
+        short = F.array_distinct(F.transform("tokens", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
+        likely = self.tables.put(at("likely"), alike(pairs, sets.select("place", short.alias("tokens")), self.threshold))
+        out = self.tables.put(at("matched"), alike(likely, sets, self.threshold).select("place").distinct())
+        self.tables.drop(*map(at, ("pairs", "wanted", "sets", "likely")))
+        return out
+
+    def matched(self) -> DataFrame:
+        """The places of the first lines of their classes that an earlier line is like."""
+        posts, threshold = postings(self.classes, self.threshold), self.threshold
+        hot = self.tables.put("hot", long_lists(posts.where("token & 1 = 1")))
+        if hot.isEmpty():
+            return self.verified(met(posts, posts, ["token"], threshold))
+        found = met(rest := posts.join(hot, "token", "left_anti"), rest, ["token"], threshold)
+        pairs = self.tables.put("two_tokens", pair_postings(self.classes, posts.join(hot, "token", "left_semi")))
+        hotter = self.tables.put("hotter", long_lists(pairs))
+        found = found.unionByName(met(rest := pairs.join(hotter, "token", "left_anti"), rest, ["token"], threshold))
+        if hotter.isEmpty():
+            return self.verified(found.distinct())
+        lists = self.tables.put("lists", pairs.join(hotter, "token", "left_semi"))
+        leaders = lists.groupBy("token", F.pmod(F.xxhash64("place"), F.lit(LEADERS))).agg(F.min("place").alias("place"))
+        early = lists.join(leaders.select("token", "place"), ["token", "place"], "left_semi")
+        settled = self.verified(found.unionByName(met(lists, early, ["token"], threshold)).distinct())
+        # What is left meets all others of its lists, in chunks of about LISTED.
+        chunks = lists.groupBy("token").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("chunks"))
+        dealt = lists.join(chunks, "token")
+        left = dealt.join(settled, "place", "left_anti").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        right = dealt.withColumn("chunk", F.pmod(F.xxhash64("place", F.lit("chunk")), F.col("chunks")).cast("int"))
+        return settled.unionByName(self.verified(met(left, right, ["token", "chunk"], threshold))).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -230,20 +245,24 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs: doc_id and text, without null texts.  Lines are ordered by doc_id
     (null first) and their number.
     """
-    corpus = surveyed(docs)
-    lines = corpus.lines().select("doc_id", "line_no", "class", "place")
-    first = lines.groupBy("class").agg(F.min("place").alias("first"), F.count("*").alias("times"))
-    matched = matched_lines(corpus, threshold).select(F.col("place").alias("first"), F.lit(True).alias("matched"))
+    search = Search(surveyed(docs), threshold, Tables(docs.sparkSession))
+    matched = search.matched().select(F.col("place").alias("first"), F.lit(True).alias("matched"))
+    first = search.classes.select("class", F.col("place").alias("first"), "times")
     judged = first.join(matched, "first", "left").where("times > 1 or matched").drop("times")
+    lines = search.corpus.lines().select("doc_id", "line_no", "class", "place")
     gone = lines.join(judged, "class").where(F.col("matched").isNotNull() | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class")).alias("gone"))
 
 
-def judged_documents(docs: DataFrame, threshold: float, id_column: str, text_column: str) -> DataFrame:
-    """docs with `_gone`, the (line_no, class) of the lines to remove, null if there are none."""
+def with_removed(docs: DataFrame, threshold: float, id_column: str, text_column: str, lines: str, numbers: str) -> DataFrame:
+    """docs with its lines in an array and the numbers of those to remove, from 0 and ascending."""
     texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
     gone = removed_lines(texts, threshold)
-    return docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_column}").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", F.col("g.gone").alias("_gone"))
+    both = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_column}").eqNullSafe(F.col("g.doc_id")), "left")
+    split = both.select("d.*", F.col("g.gone").alias(numbers), once(F.split(whole_text(f"d.{text_column}"), "\n", -1)).alias(lines))
+    # Rows of one id have the lines of all of them among the gone.
+    own = F.filter(F.coalesce(numbers, F.array().cast("array<struct<line_no:int,class:bigint>>")), lambda x: F.xxhash64(F.get(lines, x["line_no"])) == x["class"])
+    return split.withColumn(numbers, F.array_sort(F.transform(own, lambda x: x["line_no"])))
 
 
 def without_repeats(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -254,25 +273,28 @@ def without_repeats(docs: DataFrame, threshold: float = 0.8, id_column: str = "d
     with it.  Earlier is by id, null ids first, then by the line's number; equal
     lines at one place of rows with one id count as one and are kept or removed
     together, so repeated rows stay equal.  A null text stays null; a text may
-    become empty.  Other columns are passed on as they are.
+    become empty.  Other columns, whatever their names, are passed on as they
+    are; an empty table gives an empty one.
     """
-    marked = judged_documents(docs, threshold, id_column, text_column)
-    text = F.col(text_column).cast("string")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("class"))))
-    return marked.withColumn(text_column, F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    lines, numbers = free(docs, "lines", "numbers")
+    marked = with_removed(docs, threshold, id_column, text_column, lines, numbers)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers), lambda i: F.get(lines, i))
+    text = F.when(F.size(numbers) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_column).cast("string"))
+    return marked.withColumn(text_column, text).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document how many lines it has, how many stay, and the numbers (from 0) of those removed, comma-joined."""
-    texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
-    gone = removed_lines(texts, threshold)
-    # Classes are all that the texts are needed for beyond here, and only of documents whose id repeats.
-    brief = texts.select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("classes"))
-    both = brief.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", "g.gone")
-    own = F.filter(F.coalesce("gone", F.array().cast("array<struct<line_no:int,class:bigint>>")), lambda x: F.get("classes", x["line_no"]) == x["class"])
-    numbers = F.array_sort(F.transform(own, lambda x: x["line_no"]))
-    n = F.size("classes").cast("long")
-    return both.select("doc_id", n.alias("n_lines"), (n - F.size(numbers)).cast("long").alias("n_kept"), F.array_join(numbers.cast("array<string>"), ",").alias("removed"))
+    """A row for each row of docs: doc_id, how many lines it has (n_lines), how many stay (n_kept), and the numbers (from 0) of those removed, comma-joined (removed).
+
+    Which lines go is as in without_repeats().  A null text counts as empty,
+    and an empty one has one blank line, which stays.  Null and repeated ids
+    give rows like any other; further columns are not read; an empty table
+    gives an empty one.
+    """
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    marked = with_removed(texts, threshold, "doc_id", "text", "lines", "numbers")
+    n = F.size("lines").cast("long")
+    return marked.select("doc_id", n.alias("n_lines"), (n - F.size("numbers")).cast("long").alias("n_kept"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("removed"))
 
 
 #: DuckDB SQL with the rows of line_report over the table documents, at the default threshold.

@@ -69,6 +69,22 @@ def free(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A sieve has two to the power of this many bits, a megabyte, whatever the input.
+SIEVE_BITS = 23
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of a column is wanted, and few others while the wanted are not many.
+
+    What is broadcast has 2 ** SIEVE_BITS bits at most, whatever the input; a
+    full sieve lets all rows through.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - SIEVE_BITS)
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
 def once(value: Column) -> Column:
     """value as a generator of one row: Spark computes it once a row, however often what follows reads it."""
     return F.explode(F.array(value))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Tables, free, once, whole_text
+from sluice.llm.common import Tables, free, once, sifted, whole_text
 
 BLANKS = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
@@ -37,8 +37,6 @@ FREQUENT = 64
 TABLE_BITS = 18
 #: Frequencies are kept as classes of their logarithm.
 CLASSES = 126
-#: A sieve of lines has two to the power of this many bits, a megabyte, whatever the input.
-SIEVE_BITS = 23
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -168,18 +166,6 @@ def met(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFr
     return pairs.select(F.col("a.place").alias("place"), size_of("a").alias("n"), F.col("b.place").alias("place2"), size_of("b").alias("n2")).distinct()
 
 
-def sifted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose place is wanted, and few others while the wanted are not many.
-
-    What is broadcast has 2 ** SIEVE_BITS bits at most, whatever the input; a
-    full sieve lets all lines through.
-    """
-    slot = F.shiftrightunsigned(F.xxhash64("place"), 64 - SIEVE_BITS)
-    row, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-    table = wanted.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits"))
-    return lines.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(table), "_row").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_row", "_bit", "_bits")
-
-
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose tokens in sets reach the threshold, or may do so where several tokens of a line are one in sets."""
     other = sets.select(F.col("place").alias("place2"), F.col("tokens").alias("tokens2"))
@@ -207,7 +193,7 @@ class Search:
         pairs = self.tables.put(at("pairs"), pairs)
         wanted = self.tables.put(at("wanted"), pairs.select(F.explode(F.array("place", "place2")).alias("place")).distinct())
         # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
-        found = sifted(self.corpus.lines().select("place", "line"), wanted).join(wanted, "place")
+        found = sifted(self.corpus.lines().select("place", "line"), wanted, "place").join(wanted, "place")
         sets = self.tables.put(at("sets"), found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
         short = F.array_distinct(F.transform("tokens", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
         likely = self.tables.put(at("likely"), alike(pairs, sets.select("place", short.alias("tokens")), self.threshold))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import saved, whole_text
+from sluice.llm.common import free, saved, whole_text
 
 #: Slots of a period of `shares`.
 PERIOD = 1000
@@ -27,7 +27,7 @@ BLOCK_CHARS = 50_000
 #: Blocks that the driver schedules at most, besides one for each source; beyond 50 GB blocks get larger.
 BLOCKS = 1 << 20
 #: Documents of a source whose running sum is one task's work, about.
-RUN = 5000
+RUN = 1000
 
 
 def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -96,43 +96,37 @@ def source_sizes(docs: DataFrame, source: str = "source", text: str = "text") ->
     return {r["s"]: r["n"] for r in sizes}
 
 
-def with_blocks(docs: DataFrame, block_chars: int, source: str, id_column: str, text: str, seed: int) -> DataFrame:
-    """docs with `_h`, the shuffled order within a source, and `_block`.
+def with_blocks(keys: DataFrame, block_chars: int) -> DataFrame:
+    """keys (id, s, h, n) with `block`, by the running sum of n in a source in the order of h.
 
     The running sum of a source is taken in two levels: over stretches of the
     hashed order, then within each stretch, so no task holds a whole source.
     """
-    marked = docs.withColumns(
-        {
-            "_s": F.col(source).cast("string"),
-            "_n": F.length(whole_text(text)).cast("long") + 1,
-            "_h": F.xxhash64(F.col(id_column), F.xxhash64(whole_text(text)), F.lit(seed)),
-        }
-    )
-    keys = marked.select("_s", "_h", "_n")
-    counts = keys.groupBy("_s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = min(40, max(0, (counts // RUN).bit_length()))
-    stretch = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
-    sums = keys.groupBy("_s", stretch.alias("_stretch")).agg(F.sum("_n").alias("total"))
-    before = Window.partitionBy("_s").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    most = keys.groupBy("s").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    bits = min(40, max(0, (most // RUN).bit_length()))
+    stretch = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
+    staged = keys.withColumn("stretch", stretch)
+    sums = staged.groupBy("s", "stretch").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("s").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each RUN documents.
-    offsets = saved(sums.select("_s", "_stretch", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_offset")))
-    placed = marked.withColumn("_stretch", stretch)
-    inside = Window.partitionBy("_s", "_stretch").orderBy("_h", id_column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.alias("a").join(offsets.alias("b"), F.col("a._s").eqNullSafe(F.col("b._s")) & (F.col("a._stretch") == F.col("b._stretch"))).select("a.*", "b._offset")
-    running = joined.withColumn("_start", F.col("_offset") + F.sum("_n").over(inside) - F.col("_n"))
-    return running.withColumn("_block", F.floor(F.col("_start") / block_chars).cast("long")).drop("_stretch", "_offset", "_start", "_n")
+    offsets = saved(sums.select("s", "stretch", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy("s", "stretch").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.stretch") == F.col("b.stretch"))
+    start = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return staged.alias("a").join(offsets.alias("b"), same).select("a.*", "b.offset").withColumn("block", F.floor(start / block_chars).cast("long")).select("id", "s", "h", "block")
 
 
 def with_slots(blocks: DataFrame, slots: dict[str | None, list[int]]) -> DataFrame:
-    """blocks with `slot`, the place of `_block` of source `_s`, from a table of the slots of each source."""
-    rows = pa.table({"_source": pa.array(slots.keys(), pa.string()), "_slots": pa.array(slots.values(), pa.list_(pa.int64()))})
+    """blocks with `slot`, the place of `block` of source `s`, from a table of the slots of each source."""
+    rows = pa.table({"source": pa.array(slots.keys(), pa.string()), "slots": pa.array(slots.values(), pa.list_(pa.int64()))})
     own = saved(blocks.sparkSession.createDataFrame(rows))
-    placed = blocks.join(F.broadcast(own), F.col("_s").eqNullSafe(F.col("_source")))
-    return placed.withColumn("slot", F.element_at("_slots", (F.col("_block") + 1).cast("int"))).drop("_source", "_slots")
+    placed = blocks.join(F.broadcast(own), F.col("s").eqNullSafe(F.col("source")))
+    return placed.select("id", "s", "h", F.element_at("slots", (F.col("block") + 1).cast("int")).alias("slot"))
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source: str = "source", id_column: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source: str = "source", id_column: str = "doc_id", text: str = "text", seed: int = 17, slot: str = "slot", rank: str = "slot_rank"
+) -> DataFrame:
     """Every row of docs once, with its `slot` (bigint) and `slot_rank` (bigint), the order within the slot.
 
     Ordered by (slot, slot_rank), any prefix holds each source's share of
@@ -143,22 +137,29 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     Without weights, each source's is the square root of its characters.  Null
     sources are a source of their own; sources that `weights` does not name get
     the least weight named.  Null and empty texts count one character, as each
-    document has a mark after it.  Rows of one id, equal ones too, are placed
-    like any others.  Columns called slot or slot_rank are replaced; an empty
-    table gives an empty one.
+    document has a mark after it.  Rows of one id and different texts are placed
+    like any others; equal rows have one place.  Columns called like `slot` or
+    `rank` are replaced, others kept whatever their names; an empty table gives
+    an empty one.  Places are made of ids, hashes and sizes alone, and joined
+    to the rows once.
     """
-    docs = docs.drop("slot", "slot_rank")
+    docs = docs.drop(slot, rank)
     sizes = source_sizes(docs, source, text)
     if not sizes:
-        return docs.withColumns({"slot": F.lit(None).cast("long"), "slot_rank": F.lit(None).cast("long")})
+        return docs.withColumns({slot: F.lit(None).cast("long"), rank: F.lit(None).cast("long")})
     least = min(weights.values()) if weights is not None else None
     found = {s: float(n) ** 0.5 if weights is None else weights.get(s, least) for s, n in sizes.items()}
     block_chars = max(block_chars, -(-sum(sizes.values()) // BLOCKS))
     slots = slots_of(found, {s: (n - 1) // block_chars + 1 for s, n in sizes.items()})
-    blocks = with_blocks(docs, block_chars, source, id_column, text, seed)
-    return with_slots(blocks, slots).withColumn("slot_rank", F.col("_h")).drop("_s", "_h", "_block")
+    name, mark = free(docs, "source_name", "hash")
+    marked = docs.withColumns({name: F.col(source).cast("string"), mark: F.xxhash64(F.col(id_column), F.xxhash64(whole_text(text)), F.lit(seed))})
+    each = marked.select(F.col(id_column).alias("id"), F.col(name).alias("s"), F.col(mark).alias("h"), (F.length(whole_text(text)).cast("long") + 1).alias("n"))
+    places = with_slots(with_blocks(each.groupBy("id", "s", "h").agg(F.sum("n").alias("n")), block_chars), slots)
+    same = F.col(f"d.{id_column}").eqNullSafe(F.col("p.id")) & F.col(f"d.{name}").eqNullSafe(F.col("p.s")) & (F.col(f"d.{mark}") == F.col("p.h"))
+    return marked.alias("d").join(places.alias("p"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("p.slot").alias(slot), F.col("p.h").alias(rank))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs sorted by their place in the mix, with the columns of docs."""
-    return mixed(docs, **options).sort("slot", "slot_rank").select(*docs.columns)
+    """The rows of docs sorted by their place in the mix, with the columns of docs, whatever their names.  Rows are placed as in mixed()."""
+    slot, rank = free(docs, "slot", "slot_rank")
+    return mixed(docs, **options, slot=slot, rank=rank).sort(slot, rank).select(*docs.columns)

@@ -4,6 +4,11 @@ Fingerprints that differ in at most `radius` bits are linked.  Equal
 fingerprints are one class and compared once.  Of `radius + 2` bands of bits, a
 pair within the radius agrees on two at least, so only classes that share two
 bands meet; they are compared in blocks, with their bits stored as planes.
+
+Texts of a given likeness of their shingles may differ in many more bits than
+bands allow.  They meet where they share one of the shingles of least hash of
+each; the same bit-sliced comparison, with a radius that such texts keep to,
+leaves the pairs whose sets of shingles are then compared.
 """
 
 from __future__ import annotations
@@ -14,11 +19,12 @@ from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import saved, whole_text
+from sluice.llm.common import Tables, free, saved, sifted, whole_text
 from sluice.llm.components import connected_components
 
 BITS = 64
@@ -26,6 +32,14 @@ BITS = 64
 BLOCK = 2048
 #: Shingles whose bits are counted at once, so that very long texts take bounded memory.
 SLICE = 1 << 16
+#: Shingles that a text is found by.  Two texts of likeness 0.8 share none of them with a probability under 0.2 ** KEYS, 4e-9; texts of up to 5 * KEYS shingles always share one.
+KEYS = 12
+#: Bits in which fingerprints of texts of likeness 0.8 differ at most: 10 in the mean, more than this in four of a million pairs.
+REACH = 22
+#: Texts found by one shingle from which they are found by two at once.
+LISTED = 2048
+#: Texts of which shingles are held at once in a worker.
+AT_ONCE = 64
 
 
 def shingle_votes(data: bytes, words: int) -> tuple[np.ndarray, int]:
@@ -146,75 +160,82 @@ def links_of_block(first: np.ndarray, second: np.ndarray | None, radius: int) ->
     return [(int(rows[k]), int(rows[r])) for k, r in forest.items()]
 
 
-def near_links(fingerprints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between different fingerprints, whose components are those of all pairs within the radius.
+def compared(dealt: DataFrame, keys: list[str], more: list[str], schema: str, pairs, block: int) -> DataFrame:
+    """What pairs(first, second) finds in each group of dealt, a frame for each; small groups share a call.
 
-    fingerprints: a column fp, each value once.  Groups that share two bands and
-    hold more than `block` rows are dealt into chunks, and every pair of chunks
-    is compared in a task of its own: no group is cut short, none lands in one
-    task.
+    A group has the keys `keys`, of which the last two are numbers of chunks;
+    rows have the chunk that they are of in `own`.  first and second are
+    the rows of the two chunks, second is None if they are one.
     """
-    bands = radius + 2
-    edges = [round(k * BITS / bands) for k in range(bands + 1)]
-    band = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    keys = [F.struct(F.lit(n).alias("t"), band[x].alias("x"), band[y].alias("y")) for n, (x, y) in enumerate(combinations(range(bands), 2))]
-    keyed = fingerprints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.x", "k.y")
-    shared = keyed.groupBy("t", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / block).cast("int")
-    dealt = (
-        keyed.join(shared, ["t", "x", "y"])
-        .withColumn("chunks", chunks)
-        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("fp", "t", "x", "y", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    )
-    dealt = dealt.repartition("t", "x", "y", "lo", "hi").sortWithinPartitions("t", "x", "y", "lo", "hi", "own", "fp")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(links: list[tuple[int, int]]) -> pd.DataFrame:
-            ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
-
-        waiting: list[np.ndarray] = []  # small groups share a block: a pair within the radius is a link wherever it meets
+    order = [*keys, "own", *more]
+    sorted_rows = dealt.repartition(*keys).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []  # a pair that is near is a link wherever it meets
         size, key, parts = 0, None, []
 
-        def ended() -> np.ndarray | list:
+        def ended() -> Iterator[pd.DataFrame]:
+            nonlocal waiting, size
             rows = pd.concat(parts)
-            if key[3] == key[4]:
-                return rows["fp"].to_numpy().view(np.uint64)
-            first = rows[rows["own"] == key[3]]["fp"].to_numpy().view(np.uint64)
-            second = rows[rows["own"] == key[4]]["fp"].to_numpy().view(np.uint64)
-            return links_of_block(first, second, radius)
+            if key[-2] != key[-1]:
+                yield pairs(rows[rows["own"] == key[-2]], rows[rows["own"] == key[-1]])
+                return
+            if size + len(rows) > block and waiting:
+                yield pairs(pd.concat(waiting), None)
+                waiting, size = [], 0
+            waiting.append(rows)
+            size += len(rows)
 
         for frame in batches:
             if frame.empty:
                 continue
-            columns = frame[["t", "x", "y", "lo", "hi"]].to_numpy()
+            columns = frame[keys].to_numpy()
             cuts = [0, *(np.nonzero((columns[1:] != columns[:-1]).any(axis=1))[0] + 1), len(frame)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 now = tuple(columns[lo])
                 if key is not None and now != key:
-                    done = ended()
-                    if isinstance(done, list):
-                        yield out(done)
-                    elif size + len(done) > block and waiting:
-                        yield out(links_of_block(np.unique(np.concatenate(waiting)), None, radius))
-                        waiting, size = [done], len(done)
-                    else:
-                        waiting, size = [*waiting, done], size + len(done)
+                    yield from ended()
                     parts = []
                 key = now
                 parts.append(frame.iloc[lo:hi])
         if key is not None:
-            done = ended()
-            if isinstance(done, list):
-                yield out(done)
-            else:
-                waiting.append(done)
+            yield from ended()
         if waiting:
-            yield out(links_of_block(np.unique(np.concatenate(waiting)), None, radius))
+            yield pairs(pd.concat(waiting), None)
 
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return sorted_rows.mapInPandas(run, schema)
+
+
+def in_chunks(rows: DataFrame, keys: list[str], name: str, n: Column) -> DataFrame:
+    """rows in chunks by the hash of `name`, each row once for every chunk that its own meets: `own`, and the pair of chunks `lo` and `hi`."""
+    dealt = rows.withColumn("chunks", n).withColumn("own", F.pmod(F.xxhash64(name, F.lit("chunk")), F.col("chunks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("chunks", "other")
+
+
+def near_links(fingerprints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different fingerprints, whose components are those of all pairs within the radius.
+
+    fingerprints: a column fp, each value once.  Groups that share two bands and
+    hold more than `block` rows are dealt into chunks, and every pair of chunks
+    is compared in a task of its own: no group is cut short, none lands in one
+    task.
+    """
+    bands = radius + 2
+    edges = [round(k * BITS / bands) for k in range(bands + 1)]
+    band = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    keys = [F.struct(F.lit(n).alias("t"), band[x].alias("x"), band[y].alias("y")) for n, (x, y) in enumerate(combinations(range(bands), 2))]
+    keyed = fingerprints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.x", "k.y")
+    shared = keyed.groupBy("t", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = in_chunks(keyed.join(shared, ["t", "x", "y"]), ["t", "x", "y"], "fp", F.ceil(F.col("n") / block).cast("int")).drop("n")
+
+    def found(first: pd.DataFrame, second: pd.DataFrame | None) -> pd.DataFrame:
+        own = lambda rows: np.unique(rows["fp"].to_numpy().view(np.uint64))
+        links = links_of_block(own(first), None if second is None else own(second), radius)
+        ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return compared(dealt, ["t", "x", "y", "lo", "hi"], ["fp"], "a long, b long", found, block).distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -241,15 +262,160 @@ def roots_of(fingerprints: DataFrame, radius: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without all but one row of each group of fingerprints within the radius: the one of least id, null ids last.
+
+    Of rows of one id and one fingerprint the text of least hash stays, of equal
+    rows one.  All empty and null texts are one group.  Columns, whatever their
+    names, are passed on as they are; an empty table gives an empty one.
+    """
+    texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    rows = saved(with_fingerprint(texts, words).select("doc_id", "fp", F.xxhash64("text").alias("h")))
+    return first_of_groups(docs, rows.join(roots_of(rows, radius), "fp"), id_column, text_column)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The row of docs of least id, then of least hash of its text, of each group.  rows: doc_id, h (the hash of the text) and root of each row of docs."""
+    h, nth = free(docs, "h", "nth")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("least")).select("least.doc_id", "least.h")
+    marked = docs.withColumn(h, F.xxhash64(whole_text(text_column)))
+    stay = marked.alias("d").join(least.alias("s"), F.col(f"d.{id_column}").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{h}") == F.col("s.h")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_column, h).orderBy(h))
+    return stay.withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different hashes of the text's shingles in ascending order; a text of fewer words is one shingle, an empty one none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < words:
+        grams = [b" ".join(found)] if found else []
+    else:
+        grams = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64))
+
+
+def fingerprint_of_set(own: np.ndarray) -> int:
+    """The fingerprint of different hashes: a bit is set if it is in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(own), SLICE):
+        counts += bits_of(own[at : at + SLICE]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0]) if len(own) else 0
+
+
+def with_sets(docs: DataFrame, words: int, column: str) -> DataFrame:
+    """Rows (doc_id, h, set, n, fp, keys) of docs: a hash of its set of shingles, the set's size and fingerprint, and its KEYS least members."""
+
+    @F.arrow_udf("set long, n int, fp long, keys array<long>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for at in range(0, len(batch), AT_ONCE):
+                for text in batch.slice(at, AT_ONCE).to_pylist():
+                    own = shingle_set(text, words)
+                    name = np.array([xxhash.xxh64_intdigest(own.tobytes()), fingerprint_of_set(own)], np.uint64).view(np.int64)
+                    rows.append({"set": int(name[0]), "n": len(own), "fp": int(name[1]), "keys": own[:KEYS].view(np.int64).tolist()})
+            yield pa.array(rows, pa.struct([("set", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+
+    each = docs.select("doc_id", F.xxhash64(column).alias("h"), found(column).alias("found"))
+    return each.select("doc_id", "h", "found.*")
+
+
+def near(a: str, b: str) -> Column:
+    """Whether two sets may be alike, by their sizes and fingerprints."""
+    small, large = F.least(f"{a}.n", f"{b}.n").cast("long"), F.greatest(f"{a}.n", f"{b}.n").cast("long")
+    return (5 * small >= 4 * large) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= REACH)
+
+
+def alike_sets(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more.  sets: (set, h), each once; texts: (h, text)."""
+
+    @F.arrow_udf("array<long>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array([shingle_set(x, words).view(np.int64) for x in batch.slice(at, AT_ONCE).to_pylist()], pa.list_(pa.int64())) for at in range(0, len(batch), AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    pairs = tables.put(f"{name}_pairs", pairs)
+    wanted = tables.put(f"{name}_ends", pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "h"), "set"))
+    found = sifted(texts, wanted, "h").join(wanted, "h").dropDuplicates(["set"])
+    members = tables.put(f"{name}_sets", found.select("set", shingles("text").alias("members")))
+    one, two = members.select(F.col("set").alias("a"), F.col("members").alias("x")), members.select(F.col("set").alias("b"), F.col("members").alias("y"))
+    same = F.size(F.array_intersect("x", "y")).cast("long")
+    out = tables.put(f"{name}_links", pairs.join(one, "a").join(two, "b").where(9 * same >= 4 * (F.size("x").cast("long") + F.size("y"))).select("a", "b"))
+    tables.drop(f"{name}_pairs", f"{name}_ends", f"{name}_sets")
+    return out
+
+
+def lists_of(sets: DataFrame, tables: Tables) -> DataFrame:
+    """Rows (token, set, n, fp): the sets that each key finds, if it finds several; where it finds over LISTED, two keys of a set find it together."""
+    posts = sets.select("set", "n", "fp", F.explode("keys").alias("token"))
+    counts = tables.put("counts", posts.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
+    short = posts.join(counts.where(F.col("times") <= LISTED).select("token"), "token")
+    long = sets.select("set", "n", "fp", "keys", F.explode("keys").alias("token")).join(counts.where(F.col("times") > LISTED).select("token"), "token")
+    both = long.select("set", "n", "fp", "token", F.explode("keys").alias("other"))
+    # Equal tokens stand for a set that has no other.
+    pairs = both.where("token <> other or n = 1").select(F.xxhash64(F.least("token", "other"), F.greatest("token", "other")).alias("token"), "set", "n", "fp").distinct()
+    return tables.put("lists", short.select("token", "set", "n", "fp").unionByName(pairs))
+
+
+def likely_pairs(left: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a token, have different labels and are near by bit-sliced comparison.  left: (token, set, n, fp, label)."""
+    lists = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("times")).where("low < high")
+    dealt = in_chunks(left.join(lists.select("token", "times"), "token"), ["token"], "set", F.col("times")).drop("times")
+
+    def found(first: pd.DataFrame, second: pd.DataFrame | None) -> pd.DataFrame:
+        first = first.drop_duplicates("set")
+        second = first if second is None else second.drop_duplicates("set")
+        a, b = [], []
+        for at in range(0, len(first), 256):
+            asked = first.iloc[at : at + 256]
+            i, j = near_pairs(asked["fp"].to_numpy().view(np.uint64), second["fp"].to_numpy().view(np.uint64), REACH)
+            x, y = asked.iloc[i], second.iloc[j]
+            m, n = x["n"].to_numpy(np.int64), y["n"].to_numpy(np.int64)
+            good = (x["label"].to_numpy() != y["label"].to_numpy()) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n))
+            a.append(x["set"].to_numpy()[good])
+            b.append(y["set"].to_numpy()[good])
+        one, two = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates()
+
+    return compared(dealt, ["token", "lo", "hi"], ["set"], "a long, b long", found, block).distinct()
+
+
+def alike_links(sets: DataFrame, texts: DataFrame, words: int, tables: Tables, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of sets, whose components are those of all pairs that are alike and share a key.  sets: (set, n, fp, keys, h), each once; texts: (h, text).
+
+    First each set meets one of its list, twice; only sets that those have not
+    linked to one and the same meet the others.
+    """
+    lists = lists_of(sets, tables)
+    links = None
+    left = lists.withColumn("label", F.col("set"))
+    for turn in ("first", "second"):
+        heads = left.where("label = set").groupBy("token").agg(F.min(F.struct("set", "n", "fp")).alias("h")).select("token", "h.*")
+        star = left.where("label = set").alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.set") < F.col("x.set")) & near("x", "y"))
+        own = alike_sets(star.select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct(), sets, texts, words, tables, turn)
+        links = own if links is None else links.unionByName(own)
+        labels = links.groupBy(F.col("b").alias("set")).agg(F.min("a").alias("label"))
+        left = tables.put(f"after_{turn}", lists.join(labels, "set", "left").select("token", "set", "n", "fp", F.coalesce("label", "set").alias("label")))
+    return links.unionByName(alike_sets(likely_pairs(left, block), sets, texts, words, tables, "last"))
+
+
+def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without all but one row of each group of near copies: the one of least id, null ids last.
 
-    Rows of one id and one fingerprint count as copies too: of these the text of
-    least hash stays.  All empty texts are one group.  Columns are passed on as
-    they are.
+    Near copies are rows of which the different shingles of `words` words have a
+    Jaccard similarity of 0.8 or more, and a group is all that such pairs reach.
+    Pairs are found by KEYS and REACH, whose losses are stated there, and each
+    is verified.  All texts without words, null ones too, are one group.  Of
+    rows of one id and one group the text of least hash stays, of equal rows
+    one.  Columns, whatever their names, are passed on as they are; an empty
+    table gives an empty one.
     """
-    marked = with_fingerprint(docs, words, text_column, "_fp").withColumn("_key", F.xxhash64(id_column, "_fp"))
-    rows = saved(marked.select(F.col(id_column).alias("doc_id"), F.col("_fp").alias("fp"), "_key"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_key")
-    stay = rows.join(roots_of(rows, radius), "fp").groupBy("root").agg(F.min(order).alias("least")).select("least._key")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_column)))
-    return marked.join(stay, "_key", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    tables = Tables(docs.sparkSession)
+    texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    rows = tables.put("rows", with_sets(texts, words, "text"))
+    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("h").alias("h"))
+    sets = tables.put("sets", sets)
+    hashed = texts.select(F.xxhash64("text").alias("h"), "text")
+    roots = connected_components(alike_links(sets, hashed, words, tables, block)).withColumnRenamed("node", "set")
+    named = rows.select("doc_id", "h", "set").join(roots, "set", "left").select("doc_id", "h", F.coalesce("root", "set").alias("root"))
+    return first_of_groups(docs, named, id_column, text_column)

@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import alike, bpe, fingerprint, lines, mixing, secrets, simhash
+from sluice.llm import bpe, fingerprint, lines, mixing, secrets, simhash
 from sluice.llm.components import connected_components
 from sluice.llm.queries import byte_bpe_path
 
@@ -255,12 +255,9 @@ def brute_alike(rows: list[tuple[int, str | None]]) -> list[int]:
     return sorted(min(d for (d, _), r in zip(rows, root, strict=True) if r == k) for k in set(root))
 
 
-@pytest.mark.parametrize("often", [0, 4])
-def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents, often):
-    if not often:  # all shingles of the texts are ordered, and every posting is dealt out
-        monkeypatch.setattr(alike, "SAMPLED", 1)
-        monkeypatch.setattr(alike, "OFTEN", 1)
-        monkeypatch.setattr(alike, "CHUNK", 3)
+@pytest.mark.parametrize(("listed", "block"), [(2048, 2048), (3, 4)])
+def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents, listed, block):
+    monkeypatch.setattr(simhash, "LISTED", listed)
     rng = np.random.default_rng(3)
     rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "one two three"), (1004, "one two")]
     for group in range(6):
@@ -273,11 +270,11 @@ def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents,
     want = brute_alike(rows)
     assert len(want) < len(rows) - 20
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in alike.one_of_alike(docs).collect()) == want
-    odd = alike.one_of_alike(odd_documents)
+    assert sorted(r["doc_id"] for r in simhash.one_of_alike(docs, block=block).collect()) == want
+    odd = simhash.one_of_alike(odd_documents)
     assert odd.columns == odd_documents.columns
     assert sorted(r["doc_id"] for r in odd.where("doc_id is not null").collect()) == [0, 3, 4, 6, 7, 8, 9]
-    assert alike.one_of_alike(no_documents).count() == 0
+    assert simhash.one_of_alike(no_documents).count() == 0
 
 
 def test_pipeline_drops_scattered_edits(spark, small):

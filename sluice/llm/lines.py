@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,9 @@ FREQUENT = 64
 TABLE_BITS = 18
 #: Frequencies are kept as classes of their logarithm.
 CLASSES = 126
+#: Lines of more tokens have four bitmaps.
+LONG_LINE = 64
+BITMAPS = ["bitmap", "bitmap1", "bitmap2", "bitmap3"]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -107,36 +111,39 @@ def prefix_length(n: Column, threshold: float) -> Column:
 
 
 def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
-    """Rows (class, place, times, n, bitmap, prefix) of the different lines.
+    """Rows (class, place, times, n, the bitmaps, prefix) of the different lines.
 
     place: the first line of the class.  times: how many lines it has.  n: its
     tokens.  bitmap: bit b is set if an odd number of its tokens hash to b; as
     many tokens at least tell two lines apart as their bitmaps have different
-    bits.  prefix: half hashes of the tokens it is found by and of one more;
+    bits.  The other three are 0 but for long lines, where each is the same for
+    a quarter of the tokens, and the first for all.  prefix: half hashes of the tokens it is found by and of one more;
     the lowest bit tells whether a token's postings may be long.
     """
     keyed = corpus.lines().select("class", "place", once(corpus.by_rarity(tokens_of(F.col("line")))).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    bitmap = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
-    n = F.size("tokens")
+    none, n = F.lit(0).cast("long"), F.size("tokens")
+    whole = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
+    quarter = lambda k: F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(192) == 64 * k, a.bitwiseXOR(bit(t))).otherwise(a))
+    bitmaps = [whole, *[F.when(n > LONG_LINE, quarter(k)).otherwise(none) for k in (1, 2, 3)]]
     may_be_long = lambda t: (t >= F.lit(corpus.long_from << 56)).cast("int")
     prefix = F.transform(F.slice("tokens", F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
-    heads = keyed.select("class", "place", n.alias("n"), bitmap.alias("bitmap"), prefix.alias("prefix"))
-    return heads.groupBy("class", "n", "bitmap", "prefix").agg(F.min("place").alias("place"), F.count("*").alias("times"))
+    heads = keyed.select("class", "place", n.alias("n"), *[x.alias(name) for x, name in zip(bitmaps, BITMAPS, strict=True)], prefix.alias("prefix"))
+    return heads.groupBy("class", "n", *BITMAPS, "prefix").agg(F.min("place").alias("place"), F.count("*").alias("times"))
 
 
 def postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (token, place, size, bitmap): the prefix tokens of each class.  size: how many tokens it has, and in the lower half the token's place among them."""
-    each = classes.select("n", "bitmap", "place", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), threshold))).alias("i", "token"))
-    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), "bitmap")
+    """Rows (token, place, size, the bitmaps): the prefix tokens of each class.  size: how many tokens it has, and in the lower half the token's place among them."""
+    each = classes.select("n", *BITMAPS, "place", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), threshold))).alias("i", "token"))
+    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), *BITMAPS)
 
 
 def pair_postings(classes: DataFrame, posts: DataFrame) -> DataFrame:
     """Postings of two tokens, one of posts and each that follows it in the line's prefix; a line of one token has that alone."""
     i = F.col("size").bitwiseAND((1 << 32) - 1).cast("int")
     both = posts.join(classes.select("place", "prefix"), "place")
-    each = both.select("token", "place", "size", "bitmap", F.explode_outer(F.slice("prefix", i + 1, F.size("prefix"))).alias("other"))
-    return each.select(F.xxhash64("token", "other").alias("token"), "place", "size", "bitmap")
+    each = both.select("token", "place", "size", *BITMAPS, F.explode_outer(F.slice("prefix", i + 1, F.size("prefix"))).alias("other"))
+    return each.select(F.xxhash64("token", "other").alias("token"), "place", "size", *BITMAPS)
 
 
 def long_lists(posts: DataFrame) -> DataFrame:
@@ -151,7 +158,9 @@ def passes(a: str, b: str, threshold: float) -> Column:
     need = overlap(n, n2, threshold)
     sized = (n2 >= n * threshold - 1e-9) & (n >= n2 * threshold - 1e-9)
     reach = F.least(i, i2) + F.least(n - i, n2 - i2) >= need
-    apart = F.bit_count(F.col(f"{a}.bitmap").bitwiseXOR(F.col(f"{b}.bitmap")))
+    whole, *quarters = [F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in BITMAPS]
+    finer = sum(map(F.bit_count, quarters), F.bit_count(reduce(Column.bitwiseXOR, quarters, whole)))
+    apart = F.when((n > LONG_LINE) & (n2 > LONG_LINE), finer).otherwise(F.bit_count(whole))
     return (F.col(f"{b}.place") < F.col(f"{a}.place")) & sized & reach & (n + n2 - apart >= 2 * need)
 
 

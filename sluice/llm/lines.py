@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,6 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import Tables, free, once, sifted, whole_text
 
-BLANKS = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
 #: Postings of one token that are all compared with one another, and how many early ones the lines of longer lists are compared with first.
 LISTED, LEADERS = 1024, 8
@@ -38,9 +36,11 @@ FREQUENT = 64
 TABLE_BITS = 18
 #: Frequencies are kept as classes of their logarithm.
 CLASSES = 126
-#: Lines of more tokens have four bitmaps.
+#: Lines of more tokens have two bitmaps.
 LONG_LINE = 64
-BITMAPS = ["bitmap", "bitmap1", "bitmap2", "bitmap3"]
+BITMAPS = ["bitmap", "half"]
+#: Candidates of a line that are verified before the others.
+FIRST = 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ class Corpus:
     """What is known of a table of texts: its documents, a table of classes of frequency by hashed word, from which class lists may be long, and how lines are named."""
 
     docs: DataFrame
-    table: bytearray
+    table: np.ndarray
     long_from: int
     packed: bool
 
@@ -73,9 +73,16 @@ class Corpus:
         return lines_of(self.docs).withColumn("place", self.place())
 
     def by_rarity(self, tokens: Column) -> Column:
-        """Tokens with the class of their frequency in front, rarest first."""
-        entry = lambda t: F.substring(F.lit(self.table), (t.bitwiseAND((1 << TABLE_BITS) - 1) + 1).cast("int"), F.lit(1))
-        return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.ascii(entry(t).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+        """Tokens with the class of their frequency in front, rarest first.
+
+        The table is a constant of the plan: an array of numbers of eight
+        classes each, written as text.
+        """
+        packed = self.table.astype(np.uint8).view("<i8").tolist()
+        table = F.split(F.lit(",".join(map(str, packed))), ",", -1).cast("array<bigint>")
+        row = lambda t: F.shiftright(t.bitwiseAND((1 << TABLE_BITS) - 1), 3).cast("int")
+        entry = lambda t: F.call_function("shiftright", F.get(table, row(t)), F.shiftleft(t.bitwiseAND(7), 3).cast("int")).bitwiseAND(127)
+        return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(entry(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
 def surveyed(docs: DataFrame) -> Corpus:
@@ -91,14 +98,14 @@ def surveyed(docs: DataFrame) -> Corpus:
     packed = packed and low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
     packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 9))
-    words = docs.select(F.explode(F.split("text", BLANKS, -1)).alias("w"))
+    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ", -1)).alias("w"))
     entries = words.select(F.xxhash64("w").bitwiseAND((1 << fine) - 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
     least = max(FREQUENT, (size or 0) >> 23)
     frequent = entries.where(F.col("n") >= least).toPandas()
     table = np.zeros(1 << TABLE_BITS)
     np.maximum.at(table, frequent["at"].to_numpy(np.int64) & ((1 << TABLE_BITS) - 1), np.log(frequent["n"].to_numpy(float)))
     scale = CLASSES / max(table.max(), 1e-9)
-    return Corpus(docs, bytearray((table * scale).astype(np.uint8).tobytes()), min(CLASSES + 1, int(math.log(LISTED) * scale)) if least <= LISTED else 0, packed)
+    return Corpus(docs, table * scale, min(CLASSES + 1, int(math.log(LISTED) * scale)) if least <= LISTED else 0, packed)
 
 
 def overlap(n: Column, other: Column, threshold: float) -> Column:
@@ -116,16 +123,16 @@ def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
     place: the first line of the class.  times: how many lines it has.  n: its
     tokens.  bitmap: bit b is set if an odd number of its tokens hash to b; as
     many tokens at least tell two lines apart as their bitmaps have different
-    bits.  The other three are 0 but for long lines, where each is the same for
-    a quarter of the tokens, and the first for all.  prefix: half hashes of the tokens it is found by and of one more;
+    bits.  half: 0 but for long lines, where it is the same for half of the
+    tokens, so that two bitmaps count apart.  prefix: half hashes of the tokens it is found by and of one more;
     the lowest bit tells whether a token's postings may be long.
     """
     keyed = corpus.lines().select("class", "place", once(corpus.by_rarity(tokens_of(F.col("line")))).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
     none, n = F.lit(0).cast("long"), F.size("tokens")
     whole = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
-    quarter = lambda k: F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(192) == 64 * k, a.bitwiseXOR(bit(t))).otherwise(a))
-    bitmaps = [whole, *[F.when(n > LONG_LINE, quarter(k)).otherwise(none) for k in (1, 2, 3)]]
+    half = F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
+    bitmaps = [whole, F.when(n > LONG_LINE, half).otherwise(none)]
     may_be_long = lambda t: (t >= F.lit(corpus.long_from << 56)).cast("int")
     prefix = F.transform(F.slice("tokens", F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
     heads = keyed.select("class", "place", n.alias("n"), *[x.alias(name) for x, name in zip(bitmaps, BITMAPS, strict=True)], prefix.alias("prefix"))
@@ -158,9 +165,8 @@ def passes(a: str, b: str, threshold: float) -> Column:
     need = overlap(n, n2, threshold)
     sized = (n2 >= n * threshold - 1e-9) & (n >= n2 * threshold - 1e-9)
     reach = F.least(i, i2) + F.least(n - i, n2 - i2) >= need
-    whole, *quarters = [F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in BITMAPS]
-    finer = sum(map(F.bit_count, quarters), F.bit_count(reduce(Column.bitwiseXOR, quarters, whole)))
-    apart = F.when((n > LONG_LINE) & (n2 > LONG_LINE), finer).otherwise(F.bit_count(whole))
+    whole, half = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in BITMAPS)
+    apart = F.when((n > LONG_LINE) & (n2 > LONG_LINE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
     return (F.col(f"{b}.place") < F.col(f"{a}.place")) & sized & reach & (n + n2 - apart >= 2 * need)
 
 
@@ -193,21 +199,35 @@ class Search:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The later places (place) of pairs whose token sets reach the threshold.
 
-        Their lines are taken from the documents again, so that tokens never
-        move for lines that nothing is like.  Sixteen bits of each token go
-        first: what they leave of the pairs is compared by whole tokens.
+        One match is enough, so of each line a few candidates go first, and the
+        others only for the lines that those have left.
         """
         self.rounds += 1
         at = lambda name: f"{name}{self.rounds}"
         pairs = self.tables.put(at("pairs"), pairs)
-        wanted = self.tables.put(at("wanted"), pairs.select(F.explode(F.array("place", "place2")).alias("place")).distinct())
+        few = pairs.groupBy("place", F.pmod(F.xxhash64("place2"), F.lit(FIRST))).agg(F.min("place2").alias("place2"))
+        settled = self.compared(pairs.join(few.select("place", "place2"), ["place", "place2"], "left_semi"), at("first"))
+        settled = settled.unionByName(self.compared(pairs.join(settled, "place", "left_anti"), at("rest")))
+        self.tables.drop(at("pairs"))
+        return settled
+
+    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The later places (place) of pairs whose token sets reach the threshold.
+
+        Their lines are taken from the documents again, so that tokens never
+        move for lines that nothing is like.  Sixteen bits of each token go
+        first: what they leave of the pairs is compared by whole tokens.
+        """
+        wanted = self.tables.put(f"{name}_wanted", pairs.select(F.explode(F.array("place", "place2")).alias("place")).distinct())
+        if wanted.isEmpty():
+            return wanted
         # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
         found = sifted(self.corpus.lines().select("place", "line"), wanted, "place").join(wanted, "place")
-        sets = self.tables.put(at("sets"), found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
+        sets = self.tables.put(f"{name}_sets", found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
         short = F.array_distinct(F.transform("tokens", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
-        likely = self.tables.put(at("likely"), alike(pairs, sets.select("place", short.alias("tokens")), self.threshold))
-        out = self.tables.put(at("matched"), alike(likely, sets, self.threshold).select("place").distinct())
-        self.tables.drop(*map(at, ("pairs", "wanted", "sets", "likely")))
+        likely = self.tables.put(f"{name}_likely", alike(pairs, sets.select("place", short.alias("tokens")), self.threshold))
+        out = self.tables.put(f"{name}_matched", alike(likely, sets, self.threshold).select("place").distinct())
+        self.tables.drop(f"{name}_wanted", f"{name}_sets", f"{name}_likely")
         return out
 
     def matched(self) -> DataFrame:

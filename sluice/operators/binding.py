@@ -12,7 +12,7 @@ from sluice.sources.tables import cut
 
 @dataclass(frozen=True)
 class Option:
-    """How an option is bound: mandatory ones must be given, flags only say whether they are."""
+    """How an option is bound: mandatory ones must be given, flags too; flags only say whether they are."""
 
     name: str
     mandatory: bool = False
@@ -22,12 +22,13 @@ class Option:
 
 def bound(given: Column, option: Option) -> Column:
     """The value of an option among the given ones, a map of strings."""
+    missing = F.raise_error(F.concat(F.lit("missing option "), F.lit(option.name)))
     if option.flag:
-        return F.coalesce(F.map_contains_key(given, option.name), F.lit(False))
+        has = F.coalesce(F.map_contains_key(given, option.name), F.lit(False))
+        return F.when(has, True).otherwise(missing.cast("boolean")) if option.mandatory else has
     value = F.try_element_at(given, F.lit(option.name))
     if option.mandatory:
-        missing = F.raise_error(F.concat(F.lit("missing option "), F.lit(option.name))).cast("string")
-        return F.coalesce(value, missing)
+        return F.coalesce(value, missing.cast("string"))
     return F.coalesce(value, F.lit(option.default)) if option.default is not None else value
 
 

@@ -22,14 +22,23 @@ def infer_edges(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame) -> Data
     Edges between tasks of one index of a consumer of several tasks are
     aftercorr, others afterok; of several to one producer the strongest stays.
     """
-    takes = inputs.join(tasks, "process").select(F.col("process").alias("consumer"), F.col("task_idx").alias("i"), "value", "num_tasks")
-    puts = outputs.select(F.col("process").alias("producer"), F.col("task_idx").alias("j"), "value")
-    met = takes.join(puts, "value").where("consumer <> producer")
+    takes = inputs.distinct().join(tasks, "process").select(F.col("process").alias("consumer"), F.col("task_idx").alias("i"), "value", "num_tasks")
+    puts = outputs.distinct().select(F.col("process").alias("producer"), F.col("task_idx").alias("j"), "value")
+    met = in_slices(takes, puts, "value").where("consumer <> producer")
     kind = F.when((F.col("num_tasks") > 1) & (F.col("i") == F.col("j")), "aftercorr").otherwise("afterok")
     each = met.select("consumer", "producer", kind.alias("deptype"))
     return each.groupBy("consumer", "producer").agg(strongest(F.col("deptype"), F.lit(0)).alias("deptype"))
 
 
+def in_slices(left: DataFrame, right: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+    """left joined with right on key, where the right rows of a frequent key are cut into slices of about `size`, each joined by itself."""
+    often = right.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_slices")).where("_slices > 1")
+    slices = lambda df: df.join(often, key, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
+    dealt = slices(right).withColumn("_slice", F.pmod(F.xxhash64(*right.columns), F.col("_slices")).cast("int")).drop("_slices")
+    each = slices(left).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return each.join(dealt, [key, "_slice"]).drop("_slice")
+
+
 def stream_edges(streams: DataFrame) -> DataFrame:
     """Rows (owner, user, deptype) of streams (fifo, owner, user, seq): the last user of a stream counts, and nothing waits for it."""
     return streams.groupBy("fifo", "owner").agg(F.max_by("user", "seq").alias("user")).where("owner <> user").select("owner", "user", F.lit("none").alias("deptype")).distinct()
@@ -37,9 +46,65 @@ def stream_edges(streams: DataFrame) -> DataFrame:
 
 def option_arcs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Rows (producer, producer_task, consumer, consumer_task, value): the arcs from outputs to the inputs with their value."""
-    puts = outputs.select(F.col("process").alias("producer"), F.col("task_idx").alias("producer_task"), "value")
-    takes = inputs.select(F.col("process").alias("consumer"), F.col("task_idx").alias("consumer_task"), "value")
-    return puts.join(takes, "value").where("producer <> consumer").select("producer", "producer_task", "consumer", "consumer_task", "value").distinct()
+    puts = outputs.select(F.col("process").alias("producer"), F.col("task_idx").alias("producer_task"), "value").distinct()
+    takes = inputs.select(F.col("process").alias("consumer"), F.col("task_idx").alias("consumer_task"), "value").distinct()
+    return in_slices(takes, puts, "value").where("producer <> consumer").select("producer", "producer_task", "consumer", "consumer_task", "value")
+
+
+def stream_owners(streams: DataFrame) -> DataFrame:
+    """Rows (user, owners): whose streams a process reads, each owner once and in order."""
+    return streams.where("owner <> user").groupBy("user").agg(F.array_join(F.array_sort(F.collect_set(F.col("owner").cast("string"))), ",").alias("owners"))
+
+
+def both_ways(streams: DataFrame) -> DataFrame:
+    """Rows (item, partner): the two ends of a stream, each with the other, as they run together or not at all."""
+    there = streams.select(F.col("owner").alias("item"), F.col("user").alias("partner"))
+    return there.unionByName(there.select(F.col("partner").alias("item"), F.col("item").alias("partner"))).where("item <> partner").distinct()
+
+
+def closure(edges: DataFrame, most: int = 40) -> DataFrame:
+    """Rows (ancestor, node): all that a node is reached from, in a graph that may have cycles; a node on one is its own ancestor.
+
+    edges: (ancestor, node).  Paths double in length with each join of the pairs
+    found last.
+    """
+    found = front = cut(edges.select("ancestor", "node").distinct())
+    for _ in range(most):
+        onward = found.select(F.col("ancestor").alias("node"), F.col("node").alias("further"))
+        more = front.join(onward, "node").select("ancestor", F.col("further").alias("node"))
+        back = found.join(front.select(F.col("ancestor").alias("node"), F.col("node").alias("further")), "node").select("ancestor", F.col("further").alias("node"))
+        front = cut(more.unionByName(back).distinct().join(found, ["ancestor", "node"], "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut(found.unionByName(front))
+    raise RuntimeError("the closure has not settled")
+
+
+def rounds(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows (node, place, round) in the order of a file: a node goes in the first pass over the file in which all that it needs has gone before it.
+
+    nodes: (node, place), places different; edges: (ancestor, node).  Nodes
+    whose ancestors have all gone are peeled off, front by front; a cycle raises
+    an error.  Sorted by round and place it is the order that entries run in.
+    """
+    left = cut(nodes.select("node", "place").join(edges.groupBy("node").agg(F.count("*").alias("needs")), "node", "left").select("node", "place", F.coalesce("needs", F.lit(0)).alias("needs"), F.lit(0).cast("long").alias("round")))
+    places = nodes.select(F.col("node").alias("ancestor"), F.col("place").alias("_place"))
+    links = cut(edges.join(places, "ancestor").select("ancestor", "node", "_place"))
+    done = None
+    for _ in range(most):
+        front = cut(left.where("needs = 0"))
+        if front.isEmpty():
+            break
+        done = front if done is None else done.unionByName(front)
+        told = links.join(front.select(F.col("node").alias("ancestor"), F.col("round").alias("_round")), "ancestor")
+        got = told.groupBy("node").agg(F.count("*").alias("_met"), F.array_agg(F.struct("_round", "_place")).alias("_from"))
+        latest = lambda: F.array_max(F.transform("_from", lambda x: x["_round"] + F.when(x["_place"] > F.col("place"), 1).otherwise(0)))
+        rest = left.where("needs > 0").join(got, "node", "left")
+        left = cut(rest.select("node", "place", (F.col("needs") - F.coalesce("_met", F.lit(0))).alias("needs"), F.greatest("round", F.coalesce(latest().cast("long"), F.lit(0))).alias("round")))
+    if not left.where("needs > 0").isEmpty():
+        raise ValueError("the graph has a cycle")
+    empty = nodes.select("node", "place", F.lit(0).cast("long").alias("round")).limit(0)
+    return (empty if done is None else done).select("node", "place", "round")
 
 
 def longest_paths(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -62,10 +127,26 @@ def longest_paths(edges: DataFrame, most: int = 40) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
-def levels(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Rows (node, level): 0 for a node without ancestors, else the longest way to it; sorted by level it is a topological order."""
-    far = paths.groupBy("node").agg(F.max("steps").alias("level"))
-    return nodes.select("node").distinct().join(far, "node", "left").select("node", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
+def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows (node, level): 0 for a node without ancestors, else the longest way to it; sorted by level it is a topological order.
+
+    edges: (ancestor, node).  Nodes whose ancestors have all gone are peeled
+    off, level by level; a cycle raises an error.
+    """
+    needs = edges.distinct().groupBy("node").agg(F.count("*").alias("needs"))
+    left = cut(nodes.select("node").distinct().join(needs, "node", "left").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
+    links, done = cut(edges.select("ancestor", "node").distinct()), None
+    for level in range(most):
+        front = cut(left.where("needs = 0").select("node"))
+        if front.isEmpty():
+            break
+        own = front.select("node", F.lit(level).cast("long").alias("level"))
+        done = own if done is None else done.unionByName(own)
+        met = links.join(front.select(F.col("node").alias("ancestor")), "ancestor").groupBy("node").agg(F.count("*").alias("met"))
+        left = cut(left.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs")))
+    if not left.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return nodes.select("node", F.lit(0).cast("long").alias("level")).limit(0) if done is None else done
 
 
 def reached(seeds: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
@@ -76,7 +157,7 @@ def reached(seeds: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame
         front = cut(front.join(edges, "node").select(F.col("following").alias("node")).distinct().join(found, "node", "left_anti"))
         if front.isEmpty():
             return found
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)  # each front is stored once; what was found before is not written again
     raise RuntimeError("the marks have not settled")
 
 
@@ -102,6 +183,15 @@ def parsed_specs(specs: DataFrame, column: str = "spec") -> DataFrame:
     )
 
 
+def spec_dependencies(specs: DataFrame, column: str = "spec") -> DataFrame:
+    """Rows (process, conj, place, deptype, producer): all dependencies of each specification, which commas join by AND and question marks by OR."""
+    parts = F.split(column, r"\|\|\|", -1)
+    name = F.regexp_extract(F.trim(F.get(parts, F.lit(0))), r"^(\S+)", 1)
+    text = F.coalesce(F.try_element_at(attributes(F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))), F.lit("processdeps")), F.lit(""))
+    each = specs.select(name.alias("process"), F.when(F.contains(text, F.lit("?")), "OR").otherwise("AND").alias("conj"), F.posexplode(F.filter(F.split(text, "[,?]", -1), lambda d: d != "")).alias("place", "dep"))
+    return each.select("process", "conj", F.col("place").cast("long").alias("place"), F.split_part("dep", F.lit(":"), F.lit(1)).alias("deptype"), F.split_part("dep", F.lit(":"), F.lit(2)).alias("producer"))
+
+
 def invalid_specs(parsed: DataFrame) -> DataFrame:
     """Rows (process, problem): names that are malformed or stand twice, and producers that are no process."""
     bad = parsed.where("not valid").select("process", F.lit("malformed").alias("problem"))

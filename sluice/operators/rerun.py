@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.graph import reached
+from sluice.sources.tables import cut
 
 
 def option_diff(old: DataFrame, new: DataFrame, *keys: str, value: str = "value") -> DataFrame:
@@ -19,6 +20,66 @@ def option_diff(old: DataFrame, new: DataFrame, *keys: str, value: str = "value"
     return both.select(*keys, change.alias("change"))
 
 
+def array_diff(old: DataFrame, new: DataFrame, id_option: str = "-id") -> DataFrame:
+    """Rows (process, change) of two snapshots of options (process, task_idx, opt, value): new, removed, changed or unchanged.
+
+    A task is known by its id option, or by its index without one; of tasks of
+    one id the last counts.  A process has changed if its tasks differ in
+    number, in name, or in any option.
+    """
+
+    def tasks(options: DataFrame, side: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct("opt", "value")))
+        own = F.max(F.when(F.col("opt") == id_option, F.concat(F.lit("id "), F.col("value"))))
+        each = options.groupBy("process", "task_idx").agg(pairs.alias("all"), F.coalesce(own, F.concat(F.lit("at "), F.col("task_idx").cast("string"))).alias("task"))
+        counts = each.groupBy("process").agg(F.count("*").alias(f"{side}_n"))
+        last = each.groupBy("process", "task").agg(F.max_by("all", "task_idx").alias(side))
+        return last.join(counts, "process")
+
+    both = tasks(old, "old").join(tasks(new, "new"), ["process", "task"], "full_outer")
+    same = F.coalesce(F.col("old") == F.col("new"), F.lit(False)) & (F.col("old_n") == F.col("new_n"))
+    judged = both.groupBy("process").agg(F.count("old").alias("was"), F.count("new").alias("is"), F.bool_and(same).alias("same"))
+    change = F.when(F.col("was") == 0, "new").when(F.col("is") == 0, "removed").when(F.col("same"), "unchanged").otherwise("changed")
+    return judged.select("process", change.alias("change"))
+
+
+def changed_seeds(diff: DataFrame) -> dict[str, DataFrame]:
+    """The marks of a diff (process, change): new processes, and those whose input changed."""
+    return {reason: diff.where(F.col("change") == change).select(F.col("process").alias("node")) for reason, change in (("new_process", "new"), ("input_change", "changed"))}
+
+
+def outdated(processes: DataFrame, modules: DataFrame) -> DataFrame:
+    """The finished processes (node) that last ran before a change of their modules, or left no trace.
+
+    processes: (process, module, status, ran_at); modules: (module, changed_at).
+    """
+    newest = modules.groupBy("module").agg(F.max("changed_at").alias("changed_at"))
+    old = processes.where("status = 'FINISHED'").join(newest, "module", "left")
+    return old.where("ran_at is null or ran_at < changed_at").select(F.col("process").alias("node")).distinct()
+
+
+def rerun(marks: dict[str, DataFrame], dependencies: DataFrame, streams: DataFrame) -> DataFrame:
+    """Rows (node, reasons) of all processes to run again: by the marks themselves, and by what passes them on.
+
+    A process has the reason propagate_dependencies if one of its producers runs
+    again, and propagate_fifo if the other end of one of its streams does.
+    """
+    first = cut(reduce(DataFrame.unionByName, [df.select("node", F.lit(reason).alias("reason")) for reason, df in marks.items()]).distinct())
+    all_marked = cut(to_rerun(first.select("node").distinct(), dependencies, streams))
+    down = dependencies.select(F.col("producer").alias("node"), F.col("consumer").alias("to"), F.lit("propagate_dependencies").alias("reason"))
+    there = streams.select(F.col("owner").alias("node"), F.col("user").alias("to"), F.lit("propagate_fifo").alias("reason"))
+    back = streams.select(F.col("user").alias("node"), F.col("owner").alias("to"), F.lit("propagate_fifo").alias("reason"))
+    passed = down.unionByName(there).unionByName(back).join(all_marked, "node").select(F.col("to").alias("node"), "reason").distinct()
+    return first.unionByName(passed).groupBy("node").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def reset(statuses: DataFrame, marked: DataFrame) -> DataFrame:
+    """statuses (process, status) once the completion of the marked (node) is taken back."""
+    hit = marked.select(F.col("node").alias("process"), F.lit(True).alias("_hit")).distinct()
+    both = statuses.join(hit, "process", "left")
+    return both.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "FINISHED"), "TO-DO").otherwise(F.col("status"))).drop("_hit")
+
+
 def to_rerun(seeds: DataFrame, dependencies: DataFrame, streams: DataFrame) -> DataFrame:
     """The processes to run again: marks pass from producers to consumers, and both ways over streams, until none is new.
 

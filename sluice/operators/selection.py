@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.graph import closure
+from sluice.sources.tables import cut
+
 
 def greedy(items: DataFrame, group: str, item: str, value: str, weight: str, capacity: int) -> DataFrame:
     """Rows (group, n_items, weight, chosen): items taken by falling value per weight while they fit, ties by id.
@@ -26,48 +31,71 @@ def greedy(items: DataFrame, group: str, item: str, value: str, weight: str, cap
     return done.select(group, F.size("s.ids").cast("long").alias("n_items"), F.col("s.used").cast("long").alias("weight"), F.array_join("s.ids", ",").alias("chosen"))
 
 
-def chosen_with_precedence(items: list[tuple[str, float, tuple[float, ...]]], before: dict[str, list[str]], capacities: tuple[float, ...]) -> list[str]:
-    """The ids taken from one program's items (id, value, weights): with each item all that it builds on, together or not at all.
+def priorities(items: DataFrame, group: str, capacities: tuple[float, ...]) -> DataFrame:
+    """Rows (group, item, priority) of items (group, item, value, weights): value per summed share of the capacities.
 
-    By falling value per summed share of the capacities; shares of a capacity
-    of 0 do not count, and a sum of 0 counts as 1e-9.
+    Shares of a capacity of 0 do not count, and a sum of 0 counts as 1e-9.
     """
-    known = {name: (value, weights) for name, value, weights in items}
-
-    def bundle(name: str) -> set[str]:
-        out, stack = set(), [name]
-        while stack:
-            x = stack.pop()
-            if x not in out:
-                out.add(x)
-                stack += [p for p in before.get(x, []) if p in known]
-        return out
-
-    def priority(name: str) -> tuple[float, str]:
-        value, weights = known[name]
-        return -value / (sum(w / c for w, c in zip(weights, capacities, strict=True) if c) or 1e-9), name
-
-    taken, used = [], [0.0] * len(capacities)
-    for name in sorted(known, key=priority):
-        missing = sorted(bundle(name) - set(taken), key=priority)
-        need = [u + sum(known[x][1][k] for x in missing) for k, u in enumerate(used)]
-        if all(n <= c for n, c in zip(need, capacities, strict=True)):
-            taken, used = taken + missing, need
-    return taken
+    shares = [F.get("weights", F.lit(k)) / F.lit(c) for k, c in enumerate(capacities) if c]
+    total = reduce(Column.__add__, shares, F.lit(0.0))
+    return items.select(group, "item", (F.col("value") / F.when(total == 0, 1e-9).otherwise(total)).alias("priority"))
 
 
-def greedy_with_precedence(items: DataFrame, group: str, capacities: tuple[float, ...]) -> DataFrame:
-    """Rows (group, item, place) of items (group, item, value, weights, before).
+def fitting(items: DataFrame, capacities: tuple[float | None, ...]) -> DataFrame:
+    """The items (item, weights, ...); one that no capacity can ever hold raises an error.  A capacity of None is unlimited."""
+    fits = reduce(Column.__and__, [F.get("weights", F.lit(k)) <= F.lit(float(c)) for k, c in enumerate(capacities) if c is not None], F.lit(True))
+    return items.where(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("never fits: "), F.col("item").cast("string"))).cast("boolean")))
+
+
+def resources_left(tasks: DataFrame, group: str, cpus: int | None, memory: int | None) -> DataFrame:
+    """Rows (group, used_cpus, used_mem, free_cpus, free_mem): what tasks (group, status, cpus, mem) in progress hold; null is unlimited."""
+    live = lambda c: F.sum(F.when(F.col("status") == "IN-PROGRESS", F.col(c)).otherwise(0)).cast("long")
+    used = tasks.groupBy(group).agg(live("cpus").alias("used_cpus"), live("mem").alias("used_mem"))
+    return used.withColumns({"free_cpus": F.lit(cpus).cast("long") - F.col("used_cpus"), "free_mem": F.lit(memory).cast("long") - F.col("used_mem")})
 
-    One group is the waiting tasks of one program, a bounded number of rows;
-    groups are independent and spread over the cluster.
-    """
-    kind = items.schema[group].dataType.simpleString()
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        listed = [(r.item, float(r.value), tuple(map(float, r.weights))) for r in rows.itertuples()]
-        before = {r.item: [*r.before] if r.before is not None else [] for r in rows.itertuples()}
-        taken = chosen_with_precedence(listed, before, capacities)
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(taken), "item": taken, "place": range(len(taken))})
+def selectable(tasks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (process, task_idx, value, weights) of tasks (process, task_idx, cpus, mem): a task's value is one over its array's size (process, size)."""
+    weights = F.array(F.col("cpus").cast("double"), F.col("mem").cast("double"))
+    return tasks.join(sizes, "process").select("process", "task_idx", (F.lit(1.0) / F.col("size")).alias("value"), weights.alias("weights"))
 
-    return items.groupBy(group).applyInPandas(choose, f"{group} {kind}, item string, place long")
+
+def totals(items: DataFrame, chosen: DataFrame, group: str, weights: int) -> DataFrame:
+    """Rows (group, n, value, weight0, ...): the sums over the chosen (group, item) of items."""
+    picked = items.join(chosen.select(group, "item"), [group, "item"])
+    return picked.groupBy(group).agg(F.count("*").alias("n"), F.sum("value").alias("value"), *[F.sum(F.get("weights", F.lit(k))).alias(f"weight{k}") for k in range(weights)])
+
+
+def greedy_with_precedence(items: DataFrame, group: str, capacities: tuple[float, ...]) -> DataFrame:
+    """Rows (group, item, place) taken of items (group, item, value, weights, before), each with all that it builds on, together or not at all.
+
+    By falling priority, ties by item; what an item builds on goes in the same
+    order.  Items that build on one another stand or fall together, and unknown
+    ones are taken as done.  What each item builds on is found by joins; one
+    group, the waiting tasks of one program, is then folded in order.
+    """
+    known = items.select(group, "item")
+    edges = items.select(group, F.col("item").alias("node"), F.explode("before").alias("b")).where("b is not null and b <> node")
+    edges = edges.join(known.select(group, F.col("item").alias("b")), [group, "b"]).select(F.struct(group, "b").alias("ancestor"), F.struct(group, "node").alias("n")).withColumnRenamed("n", "node")
+    named = edges.select(F.struct(F.col(f"ancestor.{group}").alias("g"), F.col("ancestor.b").alias("x")).alias("ancestor"), F.struct(F.col(f"node.{group}").alias("g"), F.col("node.node").alias("x")).alias("node"))
+    paths = closure(named).select(F.col("node.g").alias(group), F.col("node.x").alias("item"), F.col("ancestor.x").alias("needs"))
+    order = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("priority"), "item"))
+    ranked = cut(items.join(priorities(items, group, capacities), [group, "item"]).select(group, "item", "weights", order.alias("rank")))
+    own = ranked.select(group, "item", F.col("item").alias("needs")).unionByName(paths)
+    bundles = own.distinct().join(ranked.select(group, F.col("item").alias("needs"), F.struct("rank", F.col("item").alias("id"), "weights").alias("x")), [group, "needs"])
+    each = bundles.groupBy(group, "item").agg(F.array_sort(F.collect_set("x")).alias("bundle"))
+    listed = each.join(ranked.select(group, "item", "rank"), [group, "item"]).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "bundle"))).alias("all"))
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array(*[F.lit(0.0)] * len(capacities)).alias("used"))
+
+    def adding(k: int) -> Callable[[Column, Column], Column]:
+        return lambda a, b: a + F.get(b["weights"], F.lit(k))
+
+    def put(state: Column, x: Column) -> Column:
+        missing = F.filter(x["bundle"], lambda b: ~F.array_contains(state["taken"], b["id"]))
+        need = F.array(*[F.aggregate(missing, F.get(state["used"], F.lit(k)), adding(k)) for k in range(len(capacities))])
+        fits = reduce(Column.__and__, [F.get(need, F.lit(k)) <= float(c) for k, c in enumerate(capacities)])
+        more = F.struct(F.concat(state["taken"], F.transform(missing, lambda b: b["id"])).alias("taken"), need.alias("used"))
+        return F.when(fits, more).otherwise(state)
+
+    done = listed.select(group, F.aggregate("all", start, put)["taken"].alias("taken"))
+    return done.select(group, F.posexplode("taken").alias("place", "item")).select(group, "item", F.col("place").cast("long").alias("place"))

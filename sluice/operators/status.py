@@ -19,6 +19,31 @@ def elapsed(events: DataFrame, process: str, ts: str = "ts") -> DataFrame:
     return span.withColumn("elapsed", elapsed_text(F.col("elapsed_us")))
 
 
+def elapsed_tasks(events: DataFrame, process: str, task: str, ts: str = "ts") -> DataFrame:
+    """Rows (process, elapsed, total_us): for each array the times of its tasks, as index->seconds, and their sum."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    each = events.groupBy(process, task).agg((F.max(micros) - F.min(micros)).alias("us"))
+    listed = each.groupBy(process).agg(F.array_sort(F.collect_list(F.struct(task, "us"))).alias("all"), F.sum("us").alias("total_us"))
+    one = lambda x: F.concat(x[task].cast("string"), F.lit("->"), elapsed_text(x["us"]), F.lit(" ;"))
+    return listed.select(process, F.array_join(F.transform("all", one), " ").alias("elapsed"), "total_us")
+
+
+def statistics(statuses: DataFrame, times: DataFrame, process: str = "process") -> DataFrame:
+    """statuses with the elapsed time of each process; UNKNOWN where it has none or has finished nothing."""
+    return statuses.join(times.select(process, "elapsed"), process, "left").withColumn("elapsed", F.coalesce("elapsed", F.lit("UNKNOWN")))
+
+
+def status_rows(statuses: DataFrame, width: int, excluded: tuple[str, ...] = (), process: str = "process") -> DataFrame:
+    """One row (header, row): names and statuses in fixed width, by name, without the excluded processes.
+
+    One program's processes are a bounded number of rows.
+    """
+    kept = statuses.where(~F.col(process).cast("string").isin(*excluded)) if excluded else statuses
+    listed = kept.agg(F.array_sort(F.collect_list(F.struct(F.col(process).cast("string").alias("p"), "status"))).alias("all"))
+    line = lambda f: F.array_join(F.transform("all", lambda x: fixed_width(f(x), width)), " ")
+    return listed.select(line(lambda x: x["p"]).alias("header"), line(lambda x: x["status"]).alias("row"))
+
+
 def status(launched: Column, live: Column, finished: Column, total: Column, runnable: Column) -> Column:
     """A process's status from its signals: launches, whether an id is alive, finished tasks of all tasks, and whether more may be launched."""
     return (

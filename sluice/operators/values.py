@@ -34,3 +34,10 @@ def until_token(messages: DataFrame, pos: str, is_token: Column) -> DataFrame:
     """The messages before the first end token; all of them if there is none."""
     first = messages.where(is_token).agg(F.min(pos).alias("m")).scalar()
     return messages.where(F.coalesce(F.col(pos) < first, F.lit(True)))
+
+
+def with_place(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with their place, from 1, in a sorted result that is a bounded number of rows, such as counts by character."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

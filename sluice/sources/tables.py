@@ -25,22 +25,6 @@ def file_tasks(files: DataFrame) -> DataFrame:
     return files.select("path").distinct().withColumn("task_idx", F.row_number().over(Window.orderBy("path")) - 1)
 
 
-def option_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Rows (process, task_idx, opt, value) of lines `PROCESS: p ; OPTIONS: -a x -b y ||| -a z`; other lines are left out.
-
-    Tasks are counted from 0 in the order of the line.  An option without a
-    value has null; of a repeated option the last value counts.
-    """
-    process = F.regexp_extract(column, r"^PROCESS: (\S+) ; OPTIONS: ", 1)
-    rest = F.regexp_replace(column, r"^PROCESS: \S+ ; OPTIONS: ", "")
-    tasks = lines.where(process != "").select(process.alias("process"), F.posexplode(F.split(rest, r"\s*\|\|\|\s*", -1)).alias("task_idx", "options"))
-    each = tasks.select("process", "task_idx", F.posexplode(F.filter(F.split(F.concat(F.lit(" "), "options"), r"\s+(?=-[A-Za-z-])", -1), lambda x: F.trim(x) != "")).alias("pos", "one"))
-    opt = F.regexp_extract("one", r"^(\S+)", 1)
-    value = F.trim(F.regexp_replace("one", r"^\S+", ""))
-    rows = each.select("process", "task_idx", "pos", opt.alias("opt"), F.when(value != "", value).alias("value"))
-    return rows.groupBy("process", "task_idx", "opt").agg(F.max_by(F.struct("value"), "pos").alias("last")).select("process", "task_idx", "opt", "last.value")
-
-
 def write_blocks(rows: DataFrame, path: str, block: int = 10_000) -> None:
     """Writes a table in files of at most `block` rows."""
     rows.write.option("maxRecordsPerFile", block).mode("overwrite").parquet(path)
@@ -50,6 +34,23 @@ def write_lines(rows: DataFrame, path: str, column: str = "line") -> None:
     rows.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def task_options(blocks: DataFrame, wanted: DataFrame, size: int = 10_000, process: str = "process", index: str = "task_idx") -> DataFrame:
+    """The rows of blocks (process, block, place, ...) of the wanted tasks (process, task_idx): each is looked up in the one block that can hold it."""
+    at = wanted.select(process, index, F.floor(F.col(index) / size).cast("long").alias("block"), F.pmod(F.col(index), F.lit(size)).cast("long").alias("place"))
+    return at.join(blocks, [process, "block", "place"]).drop("block", "place")
+
+
+def output_path(folder: str, process: str, task: int | None = None, base: str | None = None) -> str:
+    """Where a process writes: below the program's folder by its own or a given name, tasks of an array apart."""
+    own = f"{folder.rstrip('/')}/{base or process}"
+    return own if task is None else f"{own}/task_idx={task}"
+
+
+def write_tasks(rows: DataFrame, path: str, index: str = "task_idx") -> None:
+    """Writes an array's outputs by task; tasks that rows hold replace their earlier output, others keep theirs."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(index).parquet(path)
+
+
 def mark_done(done: DataFrame, fresh: DataFrame, path: str) -> DataFrame:
     """Adds the ids of fresh that are not among done's to the markers at path, once each, and returns those added."""
     added = cut(fresh.select("id").distinct().join(done.select("id"), "id", "left_anti"))
@@ -59,7 +60,16 @@ def mark_done(done: DataFrame, fresh: DataFrame, path: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, kept in the shared checkpoint folder: what follows never repeats the work before it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-"))
+    return context.getCheckpointDir()

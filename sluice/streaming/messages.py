@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluice.sources.tables import cut
+from sluice.functions.scalars import END, block_index
+from sluice.operators.values import until_token
+from sluice.sources.tables import cut, shared_folder
 
 
-def counter(spark: SparkSession, n: int) -> DataFrame:
-    """Rows (pos, value) of a finite counter: 1 to n."""
-    return spark.range(1, n + 1).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("value"))
+def counter(spark: SparkSession, n: int, token: bool = False) -> DataFrame:
+    """Rows (pos, value) of a finite counter: 1 to n, and then the end token if it is wanted."""
+    rows = spark.range(1, n + 1 + token)
+    return rows.select(F.col("id").alias("pos"), F.when(F.col("id") > n, END).otherwise(F.col("id").cast("string")).alias("value"))
+
+
+def feeder(spark: SparkSession, text: str, per_second: int = 1) -> DataFrame:
+    """A stream (timestamp, value) that says a text again and again."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select("timestamp", F.lit(text).alias("value"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    cut(spark.range(0))  # sets a checkpoint folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
@@ -41,28 +46,75 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream takes no path of one file
 
 
+def folder_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """The Parquet files of a folder as a stream, the oldest first, so many a batch: another program writes them, and none is read before it is asked for."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def echo_until(stream: DataFrame, pos: str, is_token: Column) -> DataFrame:
-    """What a stream of messages gives before its first end token, of all that is there now."""
-    from sluice.operators.values import until_token
+    """What a stream of messages gives before its first end token.
 
-    return until_token(drained(stream), pos, is_token)
+    The batch with the token ends the echo: nothing that comes after is written.
+    Messages stand in the order of pos within a batch, and batches in theirs.
+    """
+    spark = stream.sparkSession
+    path, ended, written = shared_path(spark, "echo"), [], []
+
+    def put(rows: DataFrame, n: int) -> None:
+        if ended:
+            return
+        kept = cut(rows)
+        if not kept.where(is_token).isEmpty():
+            ended.append(n)
+        until_token(kept, pos, is_token).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        written.append(n)
+
+    drained(stream, put)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in written]) if written else spark.createDataFrame([], stream.schema)
 
 
 def running_state(stream: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
-    """Rows (key, n, total, over): for each key and batch, its messages and their sum so far, and whether it is over the threshold.
+    """Rows (key, n, total, over): the messages of each key and their sum, over all batches, and whether it is over the threshold.
 
-    The state of a key is two numbers, kept by Spark across batches.
+    The state of a key is two numbers, kept by Spark from batch to batch; each
+    batch replaces what the one before it told.
     """
-    kind = stream.schema[key].dataType.simpleString()
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "state")
+    sums = stream.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total")).withColumn("over", F.col("total") > threshold)
+    told: list[int] = []
+
+    def tell(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{n}")
+        told.append(n)
+
+    query = sums.writeStream.outputMode("complete").option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True)
+    query.foreachBatch(tell).start().awaitTermination()
+    return spark.read.schema(sums.schema).parquet(f"{path}/{told[-1]}") if told else spark.createDataFrame([], sums.schema)
+
+
+def with_side_input(stream: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
+    """Each message of a stream with the side input of its keys, null where there is none."""
+    return stream.join(side, list(keys), "left")
+
+
+def on_trigger(triggers: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `run` makes of each batch of a stream of triggers, all batches together."""
+    spark, path = triggers.sparkSession, shared_path(triggers.sparkSession, "triggered")
+    drained(triggers, lambda rows, n: run(rows).write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return spark.read.parquet(path).drop("batch")
+
+
+def dispatched(paths: DataFrame, workers: int, column: str = "path") -> DataFrame:
+    """Rows (path, idx, worker): the block files among paths, each with the worker it goes to; a batch or a stream."""
+    idx = block_index(F.trim(column))
+    return paths.where(idx.isNotNull()).select(F.trim(column).alias("path"), idx.alias("idx"), F.pmod(idx, F.lit(workers)).alias("worker"))
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for frame in frames:
-            n, total = n + len(frame), total + float(frame[value].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total], "over": [total > threshold]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double, over boolean", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+def dispatch_counts(paths: DataFrame, workers: int, column: str = "path") -> DataFrame:
+    """Rows (worker, n): how many paths each worker gets; the skipped ones, of no block, have worker -1, and blank lines none."""
+    idx = block_index(F.trim(column))
+    named = paths.where(F.trim(column) != "").select(F.coalesce(F.pmod(idx, F.lit(workers)), F.lit(-1).cast("long")).alias("worker"))
+    return named.groupBy("worker").agg(F.count("*").alias("n"))
 
 
 def once(stream: DataFrame, path: str, key: str = "id") -> None:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+from pathlib import Path
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice.functions import units
-from sluice.operators import arrays, binding, fanout, graph, rerun, selection, status, text, values
-from sluice.sources import tables
+from sluice.functions import scalars, units
+from sluice.operators import arrays, binding, cycles, fanout, graph, ports, rerun, selection, status, text, values
+from sluice.sources import scans, tables
 from sluice.streaming import messages
 
 
@@ -86,10 +90,24 @@ def test_paths_levels_and_cycles(spark):
     paths = graph.longest_paths(edges)
     assert {tuple(r) for r in paths.collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2), ("c", "d", 1), ("b", "d", 2), ("a", "d", 3)}
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "node string")
-    assert dict(graph.levels(nodes, paths).collect()) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 0}
+    assert dict(graph.levels(nodes, edges).collect()) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 0}
     with pytest.raises(ValueError, match="cycle"):
         graph.longest_paths(spark.createDataFrame([("a", "b"), ("b", "a")], "ancestor string, node string"))
     assert graph.longest_paths(edges.limit(0)).isEmpty()
+    mutual = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "ancestor string, node string")
+    assert {tuple(r) for r in graph.closure(mutual).collect()} == {("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"), ("a", "c"), ("b", "c")}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(nodes, mutual)
+    places = spark.createDataFrame([("a", 3), ("b", 2), ("c", 5), ("d", 1), ("e", 4)], "node string, place int")
+    assert {r["node"]: r["round"] for r in graph.rounds(places, edges).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 0}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.rounds(places, mutual)
+
+
+def test_frequent_values_are_joined_in_slices(spark):
+    left, right = spark.range(30).selectExpr("id % 2 AS v", "id AS a"), spark.range(40).selectExpr("id % 3 AS v", "id AS b")
+    want = {tuple(r) for r in left.join(right, "v").select("v", "a", "b").collect()}
+    assert {tuple(r) for r in graph.in_slices(left, right, "v", 4).select("v", "a", "b").collect()} == want
 
 
 def test_rerun(spark):
@@ -119,13 +137,22 @@ def test_status_and_dependencies(spark):
     assert [code("FINISHED"), code("FINISHED", "IN-PROGRESS"), code("TO-DO")] == [0, 2, 3]
 
 
-def test_knapsack_with_precedence():
-    items = [("x", 10, (1, 512)), ("a", 5, (1, 256)), ("b", 7, (2, 256)), ("y", 8, (1, 512))]
+def test_knapsack_with_precedence(spark):
+    items = [("x", 10.0, [1.0, 512.0]), ("a", 5.0, [1.0, 256.0]), ("b", 7.0, [2.0, 256.0]), ("y", 8.0, [1.0, 512.0])]
+
+    def taken(before: dict[str, list[str]], capacities: tuple[float, ...]) -> list[str]:
+        rows = spark.createDataFrame([(0, *i, before.get(i[0], [])) for i in items], "g int, item string, value double, weights array<double>, before array<string>")
+        return [r["item"] for r in selection.greedy_with_precedence(rows, "g", capacities).sort("place").collect()]
+
     before = {"a": ["x"], "b": ["x", "y"]}
-    assert selection.chosen_with_precedence(items, before, (4, 4096)) == ["x", "y", "a"]
-    assert selection.chosen_with_precedence(items, before, (2, 2048)) == ["x", "y"]
-    assert selection.chosen_with_precedence(items, {"x": ["a"], "a": ["x"]}, (1, 4096)) == ["y"]
-    assert selection.chosen_with_precedence(items, before, (0, 4096)) == []
+    assert taken(before, (4, 4096)) == ["x", "y", "a"]
+    assert taken(before, (2, 2048)) == ["x", "y"]
+    assert taken({"x": ["a"], "a": ["x"]}, (1, 4096)) == ["y"]
+    assert taken(before, (0, 4096)) == []
+    rows = spark.createDataFrame([("x", [9.0, 1.0])], "item string, weights array<double>")
+    assert selection.fitting(rows, (None, 1.0)).count() == 1
+    with pytest.raises(Exception, match="never fits: x"):
+        selection.fitting(rows, (8.0, None)).collect()
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -146,6 +173,8 @@ def test_binding(spark):
     assert [tuple(r)[2:] for r in binding.bind(rows, "given", wanted).sort("id").collect()] == [("x", "40", None, False), ("y", "40", None, True)]
     with pytest.raises(Exception, match="missing option b"):
         binding.bind(rows, "given", [binding.Option("b", mandatory=True)]).collect()
+    with pytest.raises(Exception, match="missing option v"):
+        binding.bind(rows, "given", [binding.Option("v", mandatory=True, flag=True)]).collect()
     kind = "process string, task_idx int, opt string, value string, ref_process string, ref_task int, ref_opt string"
     chain = spark.createDataFrame([("a", 0, "-outf", "/x", None, None, None), ("b", 0, "-inf", None, "a", 0, "-outf"), ("c", 0, "-inf", None, "b", 0, "-inf")], kind)
     assert {(r["process"], r["value"]) for r in binding.resolved(chain).collect()} == {("a", "/x"), ("b", "/x"), ("c", "/x")}
@@ -157,8 +186,11 @@ def test_binding(spark):
 
 def test_sources_and_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("PROCESS: p ; OPTIONS: -inf /a -n 3 -flag ||| -inf /b -n 1 -n 2",), ("noise",)], "line string")
-    got = {(r["process"], r["task_idx"], r["opt"]): r["value"] for r in tables.option_lines(lines).collect()}
-    assert got == {("p", 0, "-inf"): "/a", ("p", 0, "-n"): "3", ("p", 0, "-flag"): None, ("p", 1, "-inf"): "/b", ("p", 1, "-n"): "2"}
+    got = {(r["process"], r["task_idx"], r["opt"]): r["value"] for r in scans.option_file(lines.where("line <> 'noise'")).collect()}
+    assert got == {("p", 0, "-inf"): "/a", ("p", 0, "-n"): "3", ("p", 0, "-flag"): "", ("p", 1, "-inf"): "/b", ("p", 1, "-n"): "2"}
+    for faulty, message in ((lines, "malformed line noise"), (lines.limit(1).union(lines.limit(1)), "duplicate process p"), (spark.createDataFrame([("PROCESS: p ; OPTIONS: x -n 3",)], "line string"), "unexpected token x")):
+        with pytest.raises(Exception, match=message):
+            scans.option_file(faulty).collect()
     tables.write_lines(lines, str(tmp_path / "t"))
     read = tables.text_lines(spark, str(tmp_path / "t"))
     assert {r["line"] for r in read.collect()} == {r["line"] for r in lines.collect()}
@@ -186,3 +218,54 @@ def test_streams(spark, tmp_path):
         messages.once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "done"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == list(range(7))
     assert [r["value"] for r in messages.counter(spark, 3).collect()] == ["1", "2", "3"]
+
+
+def messages_in_files(spark, path: str, files: list[list[tuple]], schema: str):
+    """A stream of files, one a batch, in their order."""
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/in{k}")
+        for f in Path(f"{path}/in{k}").glob("part-*"):
+            os.utime(f, (1_000_000 + k, 1_000_000 + k))
+            Path(path, "all").mkdir(exist_ok=True)
+            shutil.copy2(f, f"{path}/all/{k}.parquet")
+    return messages.folder_stream(spark, f"{path}/all", schema)
+
+
+def test_streams_hold_over_several_batches(spark, tmp_path):
+    files = [[("a", 1), ("b", 2)], [("a", 3)], [("c", 4), ("end", 5)], [("a", 6)]]
+    state = messages.running_state(messages_in_files(spark, str(tmp_path), files, "k string, v long"), "k", "v", 5)
+    assert {tuple(r) for r in state.collect()} == {("a", 3, 10.0, True), ("b", 1, 2.0, False), ("c", 1, 4.0, False), ("end", 1, 5.0, False)}
+    echoed = messages.echo_until(messages.folder_stream(spark, str(tmp_path / "all"), "k string, v long"), "v", F.col("k") == "end")
+    assert sorted(r["v"] for r in echoed.collect()) == [1, 2, 3, 4]
+    side = spark.createDataFrame([("a", 9)], "k string, t int")
+    joined = messages.drained(messages.with_side_input(messages.folder_stream(spark, str(tmp_path / "all"), "k string, v long"), side, "k"))
+    assert {(r["v"], r["t"]) for r in joined.collect()} == {(1, 9), (2, None), (3, 9), (4, None), (5, None), (6, 9)}
+    runs = messages.on_trigger(messages.folder_stream(spark, str(tmp_path / "all"), "k string, v long"), lambda rows: cycles.two_process_cycle(rows, "v", F.col("v")))
+    assert runs.count() == sum(range(7))
+    assert messages.feeder(spark, "again").isStreaming
+
+
+def test_cycles(spark):
+    rows = spark.createDataFrame([(1, 1, 6), (2, 9, 6)], "k int, v long, n long")
+    got = cycles.state_cycles(rows, "k", F.col("v"), F.col("n"), F.lit(4).cast("long"), [lambda v: v + 1, lambda v: v + 2], 10)
+    assert [tuple(r) for r in got.sort("step").collect()] == [(1, 0, 1, 2, 2), (1, 1, 2, 3, 5), (1, 2, 3, 5, 10), (1, 3, 5, 7, 17)]
+    with pytest.raises(Exception, match="goes on after 3 rounds"):
+        cycles.state_cycles(rows, "k", F.col("v"), F.col("n"), F.lit(4).cast("long"), [lambda v: v + 1, lambda v: v + 2], 3).collect()
+
+
+def test_paths_and_arguments(spark, tmp_path):
+    value = lambda c: spark.range(1).select(c).first()[0]
+    assert value(scalars.absolute(F.lit("../x//./y/../z"), F.lit("/a/b"))) == "/a/x/z"
+    assert value(scalars.absolute(F.lit("/.."), F.lit("/a"))) == "/"
+    args = F.array(*[F.lit(x) for x in ("-a", "-b", "v", "-c")])
+    assert [value(scalars.argument(args, o)) for o in ("-a", "-b", "-c", "-d")] == ["_VOID_VALUE_", "v", "_VOID_VALUE_", "_OPT_NOT_FOUND_"]
+    assert value(scalars.deserialised(F.lit("a<_ARG_SEP_>b c"))) == ["a", "b c"] and value(scalars.deserialised(F.lit(""))) == []
+    found = ports.file_ports(spark.createDataFrame([("gone",)], "inf string"), "inf", spark.createDataFrame([("/d/f",)], "path string"), "/d")
+    with pytest.raises(Exception, match="no such file: /d/gone"):
+        ports.existing(found).collect()
+    with pytest.raises(Exception, match="missing option inf"):
+        ports.file_ports(spark.createDataFrame([(None,)], "inf string"), "inf", spark.createDataFrame([("/d/f",)], "path string"), "/d", mandatory=True).collect()
+    where = tables.output_path(str(tmp_path), "p", base="q")
+    tables.write_tasks(spark.createDataFrame([(0, "old"), (1, "old")], "task_idx int, v string"), where)
+    tables.write_tasks(spark.createDataFrame([(1, "new")], "task_idx int, v string"), where)
+    assert {tuple(r) for r in spark.read.parquet(where).select("task_idx", "v").collect()} == {(0, "old"), (1, "new")}

@@ -21,6 +21,10 @@ def test_run_and_failures(spark, tmp_path):
     assert done.statuses == {"one": "FINISHED", "sum": "FINISHED", "odd": "UNFINISHED", "after_odd": "TO-DO", "bad": "FAILED"}
     assert sorted(posts) == ["bad", "odd"]
     assert done.outputs["sum"].first()["s"] == 6
+    late = Program("late").add(Process("one", lambda: numbers(spark))).add(Process("fails", lambda x: x.selectExpr("raise_error('late')"), {"x": "one"})).add(Process("next", lambda: numbers(spark), after=("fails",)))
+    ran = late.run(spark)
+    assert ran.statuses == {"one": "IN-PROGRESS", "fails": "FAILED", "next": "TO-DO"} and "late" in ran.errors["fails"]
+    assert ran.complete("one") == "FINISHED"
     assert {r["process"] for r in done.status().where("error is not null").collect()} == {"bad"}
     again = program.run(spark, str(tmp_path), keep={"sum": f"{tmp_path}/sum"})
     assert again.outputs["sum"].first()["s"] == 6
@@ -34,6 +38,9 @@ def test_assembly(spark):
     program.redefine("c", inputs={"x": "b"})
     assert program.order().index("b") < program.order().index("c")
     assert program.documented(spark).count() == 2
+    assert {tuple(r) for r in program.edges(spark).collect()} == {("c", "b", "none")}
+    assert [r["process"] for r in program.planned(spark).where("needs = 'b'").collect()] == ["c"]
+    assert program.run_process("c", x=numbers(spark)).count() == 3
     assert [r["id"] for r in program.run(spark).outputs["c"].sort("id").collect()] == [10, 20, 30]
     with pytest.raises(ValueError, match="twice"):
         program.add_program(base)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from sluice.queries import ORACLES, QUERIES
+from sluice import control_queries, queries
+
+QUERIES, ORACLES = queries.QUERIES | control_queries.QUERIES, queries.ORACLES | control_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -27,7 +27,7 @@ from sluice.llm.common import Tables, free, once, sifted, whole_text
 
 INK = r"[^\x20\x09-\x0D]"
 #: Postings of one token that are all compared with one another, and how many early ones the lines of longer lists are compared with first.
-LISTED, LEADERS = 1024, 8
+LISTED, LEADERS = 256, 8
 #: Bits of a number that hold a line's place in its document, where ids and texts allow to keep both in one.
 LINE_BITS, ID_BITS = 22, 40
 #: Occurrences from which a word is frequent.
@@ -154,7 +154,7 @@ def pair_postings(classes: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def long_lists(posts: DataFrame) -> DataFrame:
-    """The tokens of over LISTED postings: fewer than a thousandth of them, counted where they stand first."""
+    """The tokens of over LISTED postings: at most one for every LISTED of them, counted where they stand first."""
     return posts.groupBy("token").agg(F.count("*").alias("count")).where(F.col("count") > LISTED).select("token")
 
 

@@ -55,6 +55,8 @@ CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
 }
 WALLS = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
+#: Elements that hold text rather than other blocks.
+TEXTUAL = frozenset("p li td blockquote pre h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role attributes that mark what is not the article, and what may be it.
 OTHER = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
@@ -226,10 +228,14 @@ def skeleton(nodes: list[Node]) -> list[tuple[str, list[Node], list]]:
     return [(label, x, skeleton(x)) for label, x in runs]
 
 
-def aligned(left: list, right: list, weight) -> list[tuple[int, int]]:
-    """Pairs of positions of a maximum-weight order-preserving matching of nodes with equal labels (first items)."""
-    if [x[0] for x in left] == [x[0] for x in right]:
-        return [(k, k) for k in range(len(left))]
+def matched(left: list, right: list, weight) -> tuple[int, list[tuple[int, int]]]:
+    """A maximum-weight order-preserving matching of nodes with equal labels (first items): its weight, and its pairs of positions.
+
+    Each weight is asked for once.
+    """
+    labels = [x[0] for x in left]
+    if labels == [x[0] for x in right] and len(set(labels)) == len(labels):
+        return sum(map(weight, left, right)), [(k, k) for k in range(len(left))]
     m, n = len(left), len(right)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     gain = [[weight(a, b) if a[0] == b[0] else 0 for b in right] for a in left]
@@ -245,12 +251,17 @@ def aligned(left: list, right: list, weight) -> list[tuple[int, int]]:
             i -= 1
         else:
             j -= 1
-    return out[::-1]
+    return best[m][n], out[::-1]
+
+
+def aligned(left: list, right: list, weight) -> list[tuple[int, int]]:
+    """The pairs of positions of a maximum-weight matching."""
+    return matched(left, right, weight)[1]
 
 
 def matching(left: tuple, right: tuple) -> int:
     """Simple tree matching: the nodes of a maximum matching of two trees (label, ..., children) with equal roots."""
-    return 1 + sum(matching(left[-1][i], right[-1][j]) for i, j in aligned(left[-1], right[-1], matching))
+    return 1 + matched(left[-1], right[-1], matching)[0]
 
 
 def outline(slot: Slot) -> tuple:
@@ -338,33 +349,36 @@ def mass(slot: Slot, inside: bool = False) -> int:
 
 
 def region(root: Slot) -> list[Slot]:
-    """The slots that hold the article: by element, by name, or else the deepest one with most of the varying text."""
-    by_tag: list[Slot] = []
-    by_name: list[Slot] = []
+    """The slots that hold the article.
+
+    What varies leads: from the root down, the slot that holds most of the
+    varying text takes its parent's place.  Elements and names only tell how far
+    up or down of there the article reaches.
+    """
+    total, path = mass(root), [root]
+    while path[-1].children:
+        heavy = max(path[-1].children, key=mass)
+        if not total or mass(heavy) < MOST_OF_TEXT * mass(path[-1]) or heavy.tag in TEXTUAL:
+            break
+        path.append(heavy)
+    if whole := [s for s in path if s.tag == "article"]:
+        return whole[:1]
+    articles: list[Slot] = []
 
     def look(slot: Slot) -> None:
         if other(slot, False):
             return
         if slot.tag == "article":
-            by_tag.append(slot)
-            return
-        if slot.words & LIKELY and slot.tag not in ("html", "body"):
-            by_name.append(slot)
-        for c in slot.children:
-            look(c)
-
-    look(root)
-    total = mass(root)
-    if by_tag and sum(map(mass, by_tag)) >= 0.3 * total:
-        return by_tag
-    found = [s for s in by_name if mass(s) >= 0.5 * total]
-    at = found[-1] if found else root
-    while at.children and not found:
-        heavy = max(at.children, key=mass)
-        if not total or mass(heavy) < MOST_OF_TEXT * mass(at) or heavy.tag in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"):
-            break
-        at = heavy
-    return [at]
+            articles.append(slot)
+        else:
+            for c in slot.children:
+                look(c)
+
+    look(path[-1])
+    if articles and sum(map(mass, articles)) >= 0.3 * total:
+        return articles
+    named = [s for s in path if s.words & LIKELY and s.tag not in ("html", "body") and mass(s) >= 0.5 * total]
+    return named[-1:] or path[-1:]
 
 
 def marked(root: Slot, different: int) -> dict[int, bool]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -132,3 +134,40 @@ def test_no_page_of_a_large_host_is_left_alone(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = wrapper.main_text(pages).collect()
     assert len(got) == 129 and not [r["page_id"] for r in got if "notice" in r["text"]]
+
+
+def brute_matching(left: tuple, right: tuple) -> int:
+    """The most nodes of two trees with equal roots that match in order, by trying all."""
+
+    def best(a: list, b: list) -> int:
+        if not a or not b:
+            return 0
+        own = brute_matching(a[0], b[0]) + best(a[1:], b[1:]) if a[0][0] == b[0][0] else 0
+        return max(own, best(a[1:], b), best(a, b[1:]))
+
+    return 1 + best(left[-1], right[-1])
+
+
+def test_tree_matching_is_that_of_brute_force():
+    rng = np.random.default_rng(4)
+
+    def tree(depth: int) -> tuple:
+        return ("abc"[rng.integers(0, 3)], [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else [])
+
+    for _ in range(60):
+        one, two = ("r", [tree(2) for _ in range(3)]), ("r", [tree(2) for _ in range(3)])
+        assert wrapper.matching(one, two) == brute_matching(one, two)
+
+
+def test_deep_pages_end():
+    began = time.time()
+    pages = ["".join(f"<div class='l{k}{(n + k) % 2}'><i>{n}</i>" for k in range(200)) + f"words of page {n}" for n in range(3)]
+    assert all("words of page" in t for t in wrapper.extracted(pages)) and time.time() - began < 5
+
+
+def test_alignment_decides_where_names_do_not_tell():
+    page = "<body><div class='qa'><b>Our shop</b> since 1990</div><div class='qb'><h2>Always here</h2><p>{own}</p><div class='qd'>Read our terms before you buy</div></div><div class='qc'>Call us today</div></body>"
+    pages = [page.format(own=" ".join(f"p{k}w{j}" for j in range(40))) for k in range(6)]
+    assert wrapper.extracted(pages) == [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(6)]
+    alone = wrapper.extracted(pages[:1])[0]
+    assert "Read our terms" in alone and "Always here" in alone

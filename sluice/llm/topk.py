@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import saved
 
 #: Candidates in a block and queries in a block: what one task holds at once.
-BLOCK, QUERIES = 4096, 2048
+BLOCK, QUERIES = 8192, 4096
 #: Buckets for each doubling of the length.
 STEPS = 4
 #: Cosine thresholds from which coordinates prune better than lengths, and the coordinates looked at.
@@ -116,9 +116,16 @@ def matched(queries: DataFrame, blocks: DataFrame, places: DataFrame, parts: int
     """The best of each query in each of the blocks that it is sent to, query block by candidate block.
 
     places: rows (bucket, chunk, longest), one for each candidate block; a pair
-    of a query block and a candidate block is one group, of bounded size.
+    of a query block and a candidate block is one group, of bounded size.  Which
+    pairs can matter is told by the lengths and known scores of each
+    query block, before any vector moves: blocks that no query can use are not
+    copied.
     """
-    pairs = places.select("bucket", "chunk", "longest", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    reach = F.when(F.col("known").isNull() | (F.col("known") <= 0), float("inf")).otherwise(F.col("qnorm") / F.col("known"))
+    far = queries.groupBy("part").agg(F.max(reach).alias("reach"))
+    # One row for each pair of blocks: their numbers are those of rows over thousands.
+    each = places.select("bucket", "chunk", "longest", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    pairs = saved(each.join(far, "part").where(F.col("reach") * F.col("longest") * (1 + 1e-9) >= 1).drop("reach"))
     asked = queries.join(pairs, "part").where("known is null or known <= qnorm * longest * (1 + 1e-9)")
     asked = asked.withColumn("known", F.coalesce(F.col("known").cast("double"), F.lit(float("-inf"))))
     dealt = blocks.join(pairs.drop("longest"), ["bucket", "chunk"])

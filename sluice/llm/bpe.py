@@ -225,7 +225,12 @@ def decode(encoded: DataFrame, path: str, column: str = "ids", name: str = "deco
 
 
 def token_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: n_tokens, SHA-256 of its comma-joined ids, and SHA-256 of the text decoded from them."""
+    """A row for each row of docs: doc_id, n_tokens, SHA-256 of its comma-joined ids, and SHA-256 of the text decoded from them.
+
+    A null text counts as empty and has no tokens.  Null and repeated ids give
+    rows like any other; further columns are not read; an empty table gives an
+    empty one.
+    """
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     both = decode(encode(texts, path).drop("text"), path)
     return both.select(

@@ -18,7 +18,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import whole_text
+from sluice.llm.common import saved, sifted, whole_text
 
 
 @dataclass(frozen=True)
@@ -116,33 +116,29 @@ def trigram_query(pattern: str) -> list[Alternatives]:
     return clauses
 
 
-def covers(masks: list[Column], wanted: frozenset[str], number: dict[str, int]) -> Column:
-    """Whether a document's masks hold all of the wanted trigrams."""
-    tests = []
-    for word, mask in enumerate(masks):
-        bits = sum(1 << (number[g] % 62) for g in wanted if number[g] // 62 == word)
-        if bits:
-            tests.append(mask.bitwiseAND(F.lit(bits)) == bits)
-    return reduce(Column.__and__, tests)
+def postings(keyed: DataFrame, wanted: list[str]) -> DataFrame:
+    """The inverted index: rows (gram, doc_id, h), each wanted trigram with the documents that hold it, in whatever case."""
+    low = keyed.select("doc_id", "h", F.lower("text").alias("low"))
+    found = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in wanted]), lambda x: x.isNotNull())
+    return low.select("doc_id", "h", F.explode(found).alias("gram"))
 
 
 def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Rows (doc_id, h, kind): the documents whose trigrams satisfy a rule's query, for the rules that have one.
 
-    The postings of a document carry its key; a trigram's postings are spread
-    over all tasks, and equal rows of a document add nothing.
+    The query is a small table of (gram, kind, clause, alternative, how many).
+    Its join with the index intersects the postings of each alternative; a rule
+    holds where each of its clauses has an alternative that does.  Equal rows of
+    a document add nothing.  Lists are counted by document, so the postings of a
+    frequent trigram are spread over all tasks.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    wanted = sorted({g for q in queries.values() for clause in q for one in clause for g in one})
-    number = {g: n for n, g in enumerate(wanted)}
-    words = len(wanted) // 62 + 1
-    low = keyed.select("doc_id", "h", F.lower("text").alias("low"))
-    postings = low.select("doc_id", "h", F.explode(F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), n) for g, n in number.items()]), lambda x: x.isNotNull())).alias("gram"))
-    lists = postings.groupBy("doc_id", "h").agg(*[F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram") % 62)).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(words)])
-    masks = [F.col(f"m{w}") for w in range(words)]
-    holds = {kind: reduce(Column.__and__, [reduce(Column.__or__, [covers(masks, one, number) for one in clause]) for clause in q]) for kind, q in queries.items()}
-    kinds = F.filter(F.array(*[F.when(test, kind) for kind, test in holds.items()]), lambda x: x.isNotNull())
-    return lists.select("doc_id", "h", F.explode(kinds).alias("kind"))
+    rows = [(g, kind, c, a, len(one)) for kind, q in queries.items() for c, clause in enumerate(q) for a, one in enumerate(sorted(clause, key=sorted)) for g in sorted(one)]
+    asked = keyed.sparkSession.createDataFrame(rows, "gram string, kind string, clause int, alternative int, wanted int")
+    lists = postings(keyed, sorted({r[0] for r in rows})).join(F.broadcast(asked), "gram")
+    met = lists.groupBy("doc_id", "h", "kind", "clause", "alternative", "wanted").agg(F.countDistinct("gram").alias("n")).where("n = wanted")
+    clauses = F.create_map(*[F.lit(x) for kind, q in queries.items() for x in (kind, len(q))])
+    return met.groupBy("doc_id", "h", "kind").agg(F.countDistinct("clause").alias("n")).where(F.col("n") == clauses[F.col("kind")]).select("doc_id", "h", "kind")
 
 
 def match_rows(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -169,7 +165,9 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: st
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
     tables = [match_rows(keyed, r) for r in rules if r not in indexed]
     if chosen is not None:
-        likely = keyed.alias("a").join(chosen.alias("b"), same(keyed, chosen)).select("a.doc_id", "a.h", "a.text", "b.kinds")
+        chosen = saved(chosen)
+        few = sifted(keyed, chosen, "h")
+        likely = few.alias("a").join(chosen.alias("b"), same(few, chosen)).select("a.doc_id", "a.h", "a.text", "b.kinds")
         each = likely.select("doc_id", "h", "text", F.explode("kinds").alias("kind"))
         tables += [verified(each, indexed)]
     rows = reduce(DataFrame.unionByName, tables).repartition("doc_id", "h").distinct()
@@ -195,7 +193,11 @@ def verified(each: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per document the counts of the base kinds, a digest of its base spans, and all spans as text."""
+    """A row for each row of docs: the counts of the base kinds, a digest of its base spans, and all spans as text.
+
+    Null and empty texts have no spans.  Null and repeated ids give rows like any
+    other; further columns are not read; an empty table gives an empty one.
+    """
     found = secret_spans(docs, rules)
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")

@@ -3,8 +3,12 @@
 The kernel of two words counts their common subsequences of three letters,
 each weighted by decay to the power of the stretch that it spans in both, so
 that insults with gaps or inserted characters stay alike.  Words are mapped by
-their kernels with landmark words; a sentence's score is that of its worst
-word, a document's that of its worst sentence.
+their kernels with landmark words.  The machine learns from sentences: all of a
+clean document are clean, those of a toxic one are toxic if they hold a word
+that tells; a sentence is represented by its worst word, which is chosen anew as
+the machine learns.  The kernel expansion over the landmarks is then one weight for each
+subsequence, so every word is scored by the kernel itself, without a filter.  A
+document's score is that of its worst words.
 """
 
 from __future__ import annotations
@@ -13,12 +17,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from heapq import nlargest
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,39 +32,37 @@ from sluice.llm.common import whole_text
 from sluice.llm.labelled import fold, labelled_sample
 
 DECAY = 0.6
-#: Landmarks that are suspected insults, and that are ordinary words like them or common.
-INSULTS, ORDINARY = 96, 32
-#: Words of clean documents that are learned from: like the suspects, and any.
-NEGATIVES = 6000
-#: Kernels are taken to this power (a kernel too), so that words merely made of like syllables come apart.
-SHARP = 3
+#: Letters are of this many kinds: a to z and digits by themselves, others share some; two mark a word's ends.
+LETTERS = 64
+START, END = 62, 63
+#: Subsequences that span more letters do not count.
+SPAN = 12
+#: Landmarks that are telling words, and that are words of clean documents.
+TELLING, ORDINARY = 192, 320
+#: Words of clean documents that are learned from at first, and the worst ones that each round adds.
+NEGATIVES, HARD = 6000, 1500
+#: Rounds in which worst words are chosen.
+ROUNDS = 3
+#: Log-likelihood ratio from which a word tells that a toxic document's sentence is toxic.
+EVIDENCE = 14.0
 #: Eigenvalues of the landmarks' kernel below this are left out.
-FLOOR = 0.02
+FLOOR = 0.01
 #: The margin that stands for a missing word.
 NOTHING = -1.0
-#: Rarest trigrams of each suspected insult that are looked for before a kernel is computed.
-RAREST = 5
 #: Learnable documents of label 0 and of label 1 that are learned from, at most.
 SAMPLE = {0: 2000, 1: 1000}
-#: Evidence (a log-likelihood ratio) from which a word is suspected.
-EVIDENCE = 14.0
-REMEMBERED = 600_000
+#: Words whose margins a task remembers.
+REMEMBERED = 300_000
 #: Longer words are scored in overlapping stretches of this length.
 STRETCH = 24
-#: Words whose kernels are computed at once.
-BATCH = 96
+#: Words whose kernels are computed at once, and texts that are held at once.
+BATCH, TEXTS = 512, 256
 TRIMMED = ".,;:!?\"'()[]{}<>*#%&$|-_/\\~`+=^@…»«“”„¿¡"
 #: Four or more single characters in a row.
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def trigrams(word: str) -> list[str]:
-    """Three letters in a row of a word, with a mark before and after it."""
-    w = f"\x02{word}\x03"
-    return [w[k : k + 3] for k in range(len(w) - 2)]
-
-
 def squeezed(word: str) -> str:
     return "".join(filter(str.isalnum, word))
 
@@ -77,117 +81,121 @@ def stretches(word: str) -> list[str]:
     return [word] if len(word) <= STRETCH else [word[k : k + STRETCH] for k in range(0, len(word) - STRETCH // 2, STRETCH // 2)]
 
 
-def coded(words: list[str], blank: int) -> np.ndarray:
-    """Code points, a row for each word, with a mark before and after it; blank fills the rest."""
-    out = np.full((len(words), max(map(len, words)) + 2), blank, np.int32)
-    for k, w in enumerate(words):
-        out[k, : len(w) + 2] = [2, *map(ord, w), 3]
-    return out
+def letter_table() -> np.ndarray:
+    """The kind of each of the first 2 ** 16 code points."""
+    code = np.arange(1 << 16)
+    kinds = 37 + (code * 40503 >> 4) % 25
+    kinds[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    kinds[ord("0") : ord("9") + 1] = np.arange(27, 37)
+    return kinds.astype(np.int32)
 
 
-@lru_cache(maxsize=4)
-def longest_first(words: tuple[str, ...]) -> tuple[list[int], np.ndarray, list[int]]:
-    """The order of words by falling length, their codes in that order, and how many of them have a letter at each place."""
-    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-    codes = coded([words[k] for k in order], -2)
-    return order, codes, [sum(len(w) + 2 > j for w in words) for j in range(codes.shape[1])]
-
-
-def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """The kernel of each left with each right word, in one pass over both words' letters for all pairs.
-
-    A common subsequence at places i1 < i2 < i3 and j1 < j2 < j3 counts
-    DECAY ** (i3 - i1 + j3 - j1 + 2): its first letter brings DECAY ** -(i1 + j1),
-    its last DECAY ** (i3 + j3 + 2), and sums over prefixes do the rest.
-    """
-    if not left or not right:
-        return np.zeros((len(left), len(right)), np.float32)
-    order, b, active = longest_first(tuple(right))
-    a, n, shape = coded(left, -1).T.copy(), b.shape[1], (len(right), len(left))
-    total, part = np.zeros(shape, np.float32), np.empty(shape, np.float32)
-    # old1[j], old2[j]: sums over subsequences of one and two letters in the prefixes read so far.
-    old1, old2, new1, new2 = (np.zeros((n + 1, *shape), np.float32) for _ in range(4))
-    for i in range(len(a)):
-        row1, row2 = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
-        for j in range(1, n + 1):
-            m = active[j - 1]
-            hit, p, r1, r2 = (b[:m, j - 1 : j] == a[i]).astype(np.float32), part[:m], row1[:m], row2[:m]
-            np.multiply(hit, np.float32(DECAY ** -(i + j)), out=p)
-            r1 += p
-            np.multiply(hit, old1[j - 1, :m], out=p)
-            r2 += p
-            hit *= old2[j - 1, :m]
-            hit *= np.float32(DECAY ** (i + j + 2))
-            total[:m] += hit
-            np.add(old1[j, :m], r1, out=new1[j, :m])
-            np.add(old2[j, :m], r2, out=new2[j, :m])
-        old1, old2, new1, new2 = new1, new2, old1, old2
-    out = np.empty((len(left), len(right)), np.float32)
-    out[:, order] = total.T
-    return out
+KINDS = letter_table()
 
 
-def diagonal(words: list[str]) -> np.ndarray:
-    """The kernel of each word with itself; all of one length."""
-    a = coded(words, -1)
-    n, count = a.shape[1], len(words)
-    ones, twos, total = np.zeros((n + 1, count), np.float32), np.zeros((n + 1, count), np.float32), np.zeros(count, np.float32)
-    for i in range(n):
-        hits = (a[:, i][None, :] == a.T).astype(np.float32)
-        scale = (DECAY ** -(i + np.arange(1.0, n + 1)))[:, None].astype(np.float32)
-        row1, row2 = np.cumsum(hits * scale, axis=0), np.cumsum(hits * ones[:-1], axis=0)
-        total += (hits * twos[:-1] / scale).sum(axis=0) * np.float32(DECAY**2)
-        ones[1:] += row1
-        twos[1:] += row2
-    return total
+@lru_cache(maxsize=64)
+def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All places i < j < k of three letters in a word of n, with the weight of each, in all of length 1."""
+    each = np.array([x for x in combinations(range(n), 3) if x[2] - x[0] < SPAN], np.int32).reshape(-1, 3)
+    weight = DECAY ** (each[:, 2] - each[:, 0] + 1.0)
+    return each[:, 0], each[:, 1], each[:, 2], (weight / max(np.linalg.norm(weight), 1e-12)).astype(np.float32)
 
 
-@dataclass
-class Model:
-    landmarks: list[str] = field(default_factory=list)
-    norms: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    bias: float = 0.0
-    slopes: np.ndarray | None = None
-    grams: frozenset[str] = frozenset()
-    constant: float | None = None
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of words of one length, as numbers, a row for each word; and the weights of their places."""
+    n = len(words[0])
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n)
+    kinds = np.full((len(words), n + 2), START, np.int32)
+    kinds[:, 1:-1] = KINDS[codes & 0xFFFF]
+    kinds[:, -1] = END
+    i, j, k, weight = places(n + 2)
+    return (kinds[:, i] * LETTERS + kinds[:, j]) * LETTERS + kinds[:, k], weight
 
 
-def features(words: list[str], landmarks: list[str], norms: np.ndarray) -> np.ndarray:
-    """Normalised kernels with the landmarks, to the power SHARP.  Words are taken by length, so that batches have no padding."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
+def by_length(words: list[str]) -> Iterator[list[int]]:
+    """Positions of words in batches of one length."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     lo = 0
     while lo < len(order):
-        size = len(words[order[lo]])
-        hi = lo
+        hi, size = lo, len(words[order[lo]])
         while hi < len(order) and hi - lo < BATCH and len(words[order[hi]]) == size:
             hi += 1
-        part = [words[k] for k in order[lo:hi]]
-        out[order[lo:hi]] = kernel(part, landmarks) / np.sqrt(np.maximum(diagonal(part), 1e-12))[:, None] / norms[None, :]
+        yield order[lo:hi]
         lo = hi
-    return out**SHARP
 
 
-def norms_of(words: list[str]) -> np.ndarray:
-    return np.array([math.sqrt(max(float(diagonal([w])[0]), 1e-12)) for w in words], np.float32)
+class Expansion:
+    """The weights of subsequences of some words, to compute kernels with them."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        found = [(k, *(x[0] for x in (ids,)), weight) for k, w in enumerate(words) for ids, weight in [subsequences([w])]]
+        used = np.unique(np.concatenate([ids for _, ids, _ in found])) if found else np.zeros(0, np.int64)
+        self.used = used
+        self.at = np.full(LETTERS**3, len(used), np.int32)
+        self.at[used] = np.arange(len(used))
+        self.table = np.zeros((len(used) + 1, len(words)), np.float32)
+        for k, ids, weight in found:
+            np.add.at(self.table[:, k], self.at[ids], weight)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """The kernel of each of words with each of the expansion's."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for batch in by_length(words):
+            for lo in range(0, len(batch), 32):
+                part = batch[lo : lo + 32]
+                ids, weight = subsequences([words[k] for k in part])
+                out[part] = np.einsum("bts,t->bs", self.table[self.at[ids]], weight, optimize=True)
+        return out
+
+    def combined(self, factors: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence: the kernel's sum over the expansion's words with these factors."""
+        out = np.zeros(LETTERS**3, np.float32)
+        out[self.used] = self.table[:-1] @ factors.astype(np.float32)
+        return out
+
+
+@dataclass
+class Model:
+    weights: np.ndarray | None = None
+    bias: float = 0.0
+    slopes: np.ndarray | None = None
+    constant: float | None = None
+
+
+def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The margin of each word: that of its worst stretch."""
+    parts = [(k, x) for k, w in enumerate(words) for x in stretches(w)]
+    texts, own = [x for _, x in parts], np.empty(len(parts), np.float32)
+    for batch in by_length(texts):
+        ids, weight = subsequences([texts[k] for k in batch])
+        own[batch] = weights[ids] @ weight
+    out = np.full(len(words), -np.inf)
+    np.maximum.at(out, [k for k, _ in parts], own + bias)
+    return out
 
 
-def suspects(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Words that far more toxic than clean documents have, most telling first."""
+def ratios(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """How much likelier each word of the toxic documents is there than in clean ones, as a log-likelihood ratio."""
     a, b = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
     na, nb = len(toxic), len(clean)
 
-    def ratio(w: str) -> float:
-        x, y = a[w], b[w]
+    def ratio(x: int, y: int) -> float:
         if x / na <= y / nb:
             return 0.0
         p = (x + y) / (na + nb)
         part = lambda k, n: (k * math.log(k / n / p) if k else 0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n > k else 0)
         return 2 * (part(x, na) + part(y, nb))
 
-    found = [(ratio(w), w) for w, x in a.items() if x > 1 and b[w] / nb < 0.1 * x / na]
-    return [w for r, w in sorted(found, key=lambda x: (-x[0], x[1])) if r >= EVIDENCE]
+    return {w: ratio(x, b[w]) for w, x in a.items()}
+
+
+def disguised(word: str, rng: np.random.Generator) -> list[str]:
+    """A word with a letter after each of its own, after some of them, and with letters doubled."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    extra = [letters[k] for k in rng.integers(0, 26, len(word))]
+    some, same = rng.random(len(word)) < 0.5, letters[rng.integers(0, 26)]
+    return [same.join(word), "".join(c + (x if y else "") for c, x, y in zip(word, extra, some, strict=True)), "".join(c * 2 for c in word)]
 
 
 def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -214,69 +222,61 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def varied(words: list[str], most: int, alike: float = 0.95) -> list[str]:
-    """Words from the front of a list, without those that are almost like one taken before."""
-    taken: list[str] = []
-    for w in words:
-        if len(taken) == most:
-            break
-        if not taken or features([w], taken, norms_of(taken)).max() < alike:
-            taken.append(w)
-    return taken
-
-
 def cut(words: list[str]) -> list[str]:
     return list(dict.fromkeys(s for w in words for s in stretches(w)))
 
 
 def fit(sample: pd.DataFrame, counts: dict[int, int]) -> Model:
-    """A model of a sample (text, y).  Without both labels, or without any telling word, all get the share of label 1."""
+    """A model of a sample (text, y).  Without both labels, or without any word that tells, all get the share of label 1."""
     known = sum(counts.values())
     share = counts.get(1, 0) / known if known else 0.0
     if set(sample["y"]) != {0, 1}:
         return Model(constant=share)
     y = sample["y"].to_numpy()
-    documents = [[words_of(s) for s in SENTENCE.split(t) if s] for t in sample["text"]]
-    flat = [set().union(*d) if d else set() for d in documents]
-    toxic, clean = [flat[k] for k in np.flatnonzero(y == 1)], [flat[k] for k in np.flatnonzero(y == 0)]
-    telling = suspects(toxic, clean)
-    if not telling:
+    documents = [[s for s in map(words_of, SENTENCE.split(t)) if s] for t in sample["text"]]
+    flat = [set().union(*d) for d in documents]
+    toxic, clean = [documents[k] for k in np.flatnonzero(y == 1)], [documents[k] for k in np.flatnonzero(y == 0)]
+    score = ratios([flat[k] for k in np.flatnonzero(y == 1)], [flat[k] for k in np.flatnonzero(y == 0)])
+    telling = [w for w in sorted(score, key=lambda w: (-score[w], w)) if score[w] >= EVIDENCE]
+    often = Counter(w for k in np.flatnonzero(y == 0) for w in flat[k])
+    pool = sorted(often)
+    if not telling or not pool:
         return Model(constant=share)
-    often = Counter(w for d in clean for w in d)
-    common = [w for w, _ in often.most_common(ORDINARY // 2)]
     rng = np.random.default_rng(3)
-    marks = set(telling)
-    pool = sorted(set(often) - marks)
-    insults = varied(cut(telling), INSULTS)
-    usual = Counter(g for w in pool for g in set(trigrams(w)))
-    grams = frozenset(g for w in insults for g in sorted(set(trigrams(w)), key=lambda g: (usual[g], g))[:RAREST])
-    like = cut([w for k in rng.permutation(len(pool)) if not grams.isdisjoint(trigrams(w := pool[k]))][:NEGATIVES])
-    near = features(like, insults, norms_of(insults)).max(axis=1) if like else np.zeros(0)
-    alike = varied([like[k] for k in np.argsort(-near)[:1000]], ORDINARY // 2)
-    landmarks = list(dict.fromkeys([*insults, *cut(common), *alike]))
-    norms = norms_of(landmarks)
-    gram = features(landmarks, landmarks, norms).astype(float)
+    common = [w for w, _ in often.most_common(ORDINARY // 2)]
+    usual = cut([pool[k] for k in rng.permutation(len(pool))[:NEGATIVES]])
+    landmarks = Expansion(list(dict.fromkeys([*cut(telling[:TELLING]), *cut(common), *usual[: ORDINARY // 2]])))
+    gram = landmarks.kernel(landmarks.words).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = (vectors * np.where(values > FLOOR, np.maximum(values, FLOOR) ** -0.5, 0.0)) @ vectors.T
-
-    # Sentences: of a clean document all are clean; of a toxic one those with a telling word are toxic, by the word that scores worst.
-    positive = [sorted(s & marks) for k in np.flatnonzero(y == 1) for s in documents[k] if s & marks]
-    negative = cut([*common, *like])
-    x0 = features(negative, landmarks, norms) @ root
-    telling_x = features([stretches(w)[0] for w in telling], landmarks, norms) @ root
-    place = {w: k for k, w in enumerate(telling)}
-    worst = [min(s, key=place.__getitem__) for s in positive]
-    model = Model(landmarks, norms, grams=grams)
-    for _ in range(2):
-        times = Counter(worst)
-        x = np.vstack([x0, telling_x[[place[w] for w in times]]])
-        t = np.concatenate([-np.ones(len(x0)), np.ones(len(times))])
+    mapped: dict[str, np.ndarray] = {}
+
+    def map_(words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in mapped]
+        mapped.update(zip(new, (landmarks.kernel(new) @ root).astype(np.float32), strict=True))
+        return np.stack([mapped[w] for w in words])
+
+    # Sentences: all of a clean document are clean, those of a toxic one are toxic if a word tells; each stands by its worst word.
+    marks, negative = set(telling), list(dict.fromkeys([*cut(common), *usual]))
+    sentences = [s & marks for d in toxic for s in d if s & marks]
+    model, rank = Model(), score
+    for turn in range(ROUNDS):
+        worst = Counter(max(s, key=lambda w: (rank[w], w)) for s in sentences)
+        times = Counter()
+        for w, n in worst.items():
+            for x in [stretches(w)[0], *[stretches(v)[0] for v in disguised(w, rng)]]:
+                times[x] += n
+        ordinary = [*negative, *[stretches(v)[0] for w in negative[:NEGATIVES:8] for v in disguised(w, rng)]]
+        x = np.vstack([map_(ordinary), map_(list(times))]).astype(float)
+        t = np.concatenate([-np.ones(len(ordinary)), np.ones(len(times))])
         own = np.sqrt(np.array(list(times.values()), float))
-        cost = np.concatenate([np.full(len(x0), 0.5 / len(x0)), 0.5 * own / own.sum()])
-        w, model.bias = hinge(x, t, cost)
-        model.weights = (root @ w).astype(np.float32)
-        margin = telling_x @ w
-        worst = [max(s, key=lambda v: (margin[place[v]], v)) for s in positive]
+        cost = np.concatenate([np.full(len(ordinary), 0.5 / len(ordinary)), 0.5 * own / own.sum()])
+        w, model.bias = hinge(x, t, cost, 400 if turn == ROUNDS - 1 else 120)
+        model.weights = landmarks.combined(root @ w)
+        if turn < ROUNDS - 1:
+            every = sorted(set(pool) | marks)
+            rank = dict(zip(every, margins(every, model.weights, model.bias).tolist(), strict=True))
+            negative = list(dict.fromkeys([*negative, *cut(sorted(set(pool) - marks, key=lambda w: (-rank[w], w))[:HARD])]))
     found = evidence(flat, model, {})
     took = sample["y"].value_counts()
     weight = np.where(y == 1, counts[1] / took[1], counts[0] / took[0])
@@ -284,22 +284,12 @@ def fit(sample: pd.DataFrame, counts: dict[int, int]) -> Model:
     return model
 
 
-def margins(words: list[str], model: Model, known: dict[str, float]) -> None:
-    """Adds the margin of each word to known.  A word without any of the insults' rare trigrams is like none of them."""
-    parts = []
-    for w in words:
-        known[w] = NOTHING
-        parts += [(w, x) for x in stretches(w) if not model.grams.isdisjoint(trigrams(x))]
-    found = features([x for _, x in parts], model.landmarks, model.norms) @ model.weights + model.bias
-    for (w, _), m in zip(parts, found.tolist(), strict=True):
-        known[w] = max(m, known[w])
-
-
 def evidence(documents: list[set[str]], model: Model, known: dict[str, float]) -> np.ndarray:
-    """For each document the margins of its worst and second worst word and the logarithm of its number of words.  New words are mapped together."""
+    """For each document the margins of its worst and second worst word and the logarithm of its number of words.  New words are scored together."""
     if len(known) > REMEMBERED:
         known.clear()
-    margins(sorted({w for d in documents for w in d if w not in known}), model, known)
+    new = sorted({w for d in documents for w in d if w not in known})
+    known.update(zip(new, margins(new, model.weights, model.bias).tolist(), strict=True))
     out = np.full((len(documents), 3), NOTHING)
     for k, d in enumerate(documents):
         top = nlargest(2, map(known.__getitem__, d))
@@ -312,14 +302,7 @@ def scores(texts: list[str], model: Model, known: dict[str, float]) -> np.ndarra
     """The probability of label 1 of each text."""
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    out, sets, size = [], [], 0
-    for k, t in enumerate(texts):
-        sets.append(words_of(t))
-        size += len(sets[-1])
-        if size > 50_000 or k == len(texts) - 1:
-            out.append(evidence(sets, model, known))
-            sets, size = [], 0
-    x = np.concatenate(out) if out else np.zeros((0, 3))
+    x = evidence([words_of(t) for t in texts], model, known)
     return 1 / (1 + np.exp(-np.clip(x @ model.slopes[:3] + model.slopes[3], -30, 30)))
 
 
@@ -329,14 +312,15 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score", column: str = "text") -> DataFrame:
-    """docs and the probability of label 1.  Null texts count as empty and are scored too.  The model's size is bounded by its landmarks, so it is broadcast."""
+    """docs and the probability of label 1.  Null texts count as empty and are scored too.  The model is a megabyte of weights, whatever the input, and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for texts in batches:
-            yield pd.Series(scores(texts.tolist(), shared.value, known), dtype="float64")
+            parts = [scores(texts.slice(at, TEXTS).to_pylist(), shared.value, known) for at in range(0, len(texts), TEXTS)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return docs.withColumn(name, score(whole_text(column)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 
 import numpy as np
@@ -33,11 +34,48 @@ def test_odd_rows(spark, operator, odd_documents, no_documents):
     assert operator(no_documents, labels).count() == 0
 
 
-def test_calibration_and_kernel():
-    words = ["idiot", "i.d.i.o.t", "idxiot", "house"]
-    near = toxicity.features(words, ["idiot"], toxicity.norms_of(["idiot"]))[:, 0]
-    assert near[0] == pytest.approx(1, abs=1e-3) and near[2] > 3 * near[3]
-    assert toxicity.kernel(["abc"], ["abc"])[0, 0] == pytest.approx(toxicity.diagonal(["abc"])[0], rel=1e-4)
+def brute_kernel(a: str, b: str) -> float:
+    """Common subsequences of three letters, by trying all of both words."""
+
+    def found(word: str) -> dict[tuple, float]:
+        kinds = [toxicity.START, *[int(toxicity.KINDS[ord(c)]) for c in word], toxicity.END]
+        sums, square = {}, 0.0
+        for i, j, k in itertools.combinations(range(len(kinds)), 3):
+            if k - i < toxicity.SPAN:
+                weight = toxicity.DECAY ** (k - i + 1)
+                square += weight * weight
+                key = (kinds[i], kinds[j], kinds[k])
+                sums[key] = sums.get(key, 0.0) + weight
+        return {key: x / square**0.5 for key, x in sums.items()}
+
+    one, two = found(a), found(b)
+    return sum(x * two.get(key, 0.0) for key, x in one.items())
+
+
+def test_kernel_is_that_of_brute_force():
+    rng = np.random.default_rng(2)
+    words = ["".join("abcdé9"[k] for k in rng.integers(0, 6, rng.integers(1, 16))) for _ in range(25)]
+    landmarks = toxicity.Expansion(words[:10])
+    got = landmarks.kernel(words)
+    assert np.allclose(got, [[brute_kernel(a, b) for b in words[:10]] for a in words], atol=1e-4)
+    factors = rng.normal(size=10)
+    assert np.allclose(toxicity.margins(words, landmarks.combined(factors), 0.5), got @ factors + 0.5, atol=1e-3)
+
+
+def test_disguised_insults_stay_above_the_margin(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels)
+    plain = [w for w in ("trash", "idiot", "pathetic", "worthless", "scum", "loser", "stupid", "disgusting", "moron", "clown") if toxicity.margins([w], model.weights, model.bias)[0] > 0]
+    assert len(plain) >= 8
+    share = lambda words: float((toxicity.margins(words, model.weights, model.bias) > 0).mean())
+    assert share(["x".join(w) for w in plain]) >= 0.7
+    assert share(["".join(c * 2 for c in w) for w in plain]) >= 0.9
+    assert share(["".join(c + ("q" if k % 2 else "") for k, c in enumerate(w)) for w in plain]) >= 0.9
+    ordinary = sorted({w for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").limit(150).collect() for w in toxicity.words_of(r["text"] or "")})
+    assert share(ordinary) < 0.02
+    spelled = [f"you are such a {x} and that is all" for x in ("i.d.i.o.t", "i d i o t", "I*D*I*O*T")]
+    assert (toxicity.evidence([toxicity.words_of(x) for x in spelled], model, {})[:, 0] > 0).all()
 
 
 def brute_top(rows: list, k: int) -> set:

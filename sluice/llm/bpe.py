@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 #: How this kind of vocabulary cuts text into pieces.  Fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and pairs that a worker remembers; memory that no input can grow.
-REMEMBERED = 250_000
+#: Pieces and pairs that a task remembers; memory that no input can grow.
+REMEMBERED = 200_000
 #: Longer pieces aren't remembered.
 LONG = 64
 #: Characters of text encoded before a batch is passed on.
@@ -99,6 +99,11 @@ class Vocabulary:
                 return True
             until_a, a = self.rank[p], p[1]
 
+    def forget(self) -> None:
+        """Gives up what has been remembered, so that an idle worker holds the vocabulary alone."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def follows(self, left: int, right: int) -> bool:
         key = left << 32 | right
         known = self.pairs.get(key)
@@ -165,7 +170,7 @@ class Vocabulary:
         return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
@@ -198,6 +203,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", name: str = "ids")
                     part = batch.slice(lo, len(found))
                     yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, name])
                     lo, size, found = k + 1, 0, []
+        words.forget()
 
     return kept.mapInArrow(run, schema)
 

@@ -16,6 +16,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ SIZE, ENTRIES, WORDS = 48, 4, 1 << 14
 HIDDEN, STEPS, RATE = 24, 400, 0.02
 #: Documents of each label that are learned from, at most.
 SAMPLE = 1500
-REMEMBERED = 120_000
+#: Words that a task remembers, and texts that it holds at once.
+REMEMBERED, TEXTS = 100_000, 256
 #: Neighbours on each side that make up a word's context.
 WINDOW = 2
 #: Words beyond the vocabulary that mark repetition.
@@ -179,11 +181,12 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", column: str =
     """docs and the probability of label 1.  Null texts count as empty and are scored too.  The model's size is fixed, so it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, int]] = {}
         for texts in batches:
-            yield pd.Series(scores(texts.tolist(), shared.value, known), dtype="float64")
+            parts = [scores(texts.slice(at, TEXTS).to_pylist(), shared.value, known) for at in range(0, len(texts), TEXTS)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return docs.withColumn(name, score(whole_text(column)))
 

@@ -67,10 +67,11 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, words: int = 3, column: str = "text", name: str = "fp") -> DataFrame:
     """docs with its fingerprints in a bigint column.  Null texts count as empty; an empty text's fingerprint is 0."""
 
-    @F.pandas_udf("long")
-    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint_of(x, words) for x in texts], np.uint64).view(np.int64))
+            found = [fingerprint_of(x, words) for at in range(0, len(texts), AT_ONCE) for x in texts.slice(at, AT_ONCE).to_pylist()]
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return docs.withColumn(name, fingerprints(whole_text(column)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from sluice.llm.queries import QUERIES
+from tests.llm.brute import brute_alike, brute_lines, brute_slots
+from tests.llm.conftest import CLASHES
 
 COLUMNS = {
     "op1_html": ("pages", ["page_id", "url", "text", "n_chars"]),
@@ -52,6 +54,48 @@ def test_pipeline(spark, small):
     assert 0 < done.count() <= docs.count()
 
 
+def test_stages_on_odd_rows(spark, small, odd_documents, no_documents):
+    import corpus_pipeline
+
+    clashes = lambda rows: {tuple(r[c] for c in CLASHES) for r in rows.select(*CLASHES).collect()}
+    docs, empty = odd_documents, no_documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, small), stage(spark, empty, small)
+        assert docs.columns == odd_documents.columns and clashes(docs) == {tuple(range(len(CLASHES)))}, name
+        assert empty.columns == no_documents.columns and empty.count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, small).count() == docs.count() > 0 and last(spark, empty, small).count() == 0
+
+
+def test_pipeline_is_that_of_brute_force(spark, small):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from sluice.llm import mixing, quality
+    from sluice.llm.queries import byte_bpe_path
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = quality.fitted(docs, labels)
+    good = [d for d in rows if quality.scores([rows[d]["text"] or ""], model, {})[0] >= corpus_pipeline.LEAST_QUALITY]
+    gone = brute_lines([(d, rows[d]["text"]) for d in good])
+    texts = {d: rows[d]["text"] and "\n".join(x for k, x in enumerate(rows[d]["text"].split("\n")) if k not in gone.get(d, ())) for d in good}
+    kept = brute_alike([*texts.items()])
+    done = {r["doc_id"]: r for r in corpus_pipeline.run(spark, small).collect()}
+    assert sorted(done) == kept
+    usual = Tokenizer.from_file(byte_bpe_path())
+    for d in kept:
+        assert done[d]["ids"] == usual.encode(texts[d] or "", add_special_tokens=False).ids and done[d]["source"] == rows[d]["source"]
+    sizes: dict = {}
+    for d in kept:
+        sizes[rows[d]["source"]] = sizes.get(rows[d]["source"], 0) + len(texts[d] or "") + 1
+    want = brute_slots([(d, rows[d]["source"], done[d]["slot_rank"], len(texts[d] or "") + 1) for d in kept], {s: float(n) ** 0.5 for s, n in sizes.items()}, mixing.BLOCK_CHARS)
+    assert {d: r["slot"] for d, r in done.items()} == want
+    hashes = spark.createDataFrame([*texts.items()], "doc_id long, text string").select("doc_id", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(17)).alias("h"))
+    assert {r["doc_id"]: r["h"] for r in hashes.collect() if r["doc_id"] in done} == {d: r["slot_rank"] for d, r in done.items()}
+
+
 def test_pipeline_keeps_the_mix(spark, small):
     import corpus_pipeline
     from sluice.llm import mixing

@@ -16,22 +16,7 @@ from hypothesis import strategies as st
 from sluice.llm import bpe, fingerprint, lines, mixing, secrets, simhash
 from sluice.llm.components import connected_components
 from sluice.llm.queries import byte_bpe_path
-
-BLANK = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def brute_lines(rows: list[tuple[int, str]], threshold: float = 0.8) -> dict[int, list[int]]:
-    """Line numbers that go, of documents with different ids."""
-    found, earlier = collections.defaultdict(list), []
-    for doc, text in sorted(rows):
-        for k, line in enumerate((text or "").split("\n")):
-            words = frozenset(w for w in BLANK.split(line) if w)
-            if words:
-                if any(len(words & o) >= threshold * len(words | o) for o in earlier):
-                    found[doc].append(k)
-                earlier.append(words)
-    return found
-
+from tests.llm.brute import BLANK, brute_alike, brute_lines, brute_slots
 
 def removed_of(report) -> dict[int, list[int]]:
     return {r["doc_id"]: [int(x) for x in r["removed"].split(",") if x] for r in report.collect()}
@@ -221,6 +206,14 @@ def test_mixing(spark, odd_documents, no_documents):
         mixing.shares({"a": 0.0})
 
 
+def test_mixing_places_are_those_of_brute_force(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('x', 5 + id * 7 % 60) AS text", "CASE WHEN id % 5 = 0 THEN 'a' WHEN id % 5 < 4 THEN 'b' END AS source")
+    weights = {"a": 3.0, "b": 1.25, None: 0.4}
+    got = mixing.mixed(docs, weights, block_chars=150).collect()
+    want = brute_slots([(r["doc_id"], r["source"], r["slot_rank"], len(r["text"]) + 1) for r in got], weights, 150)
+    assert len(got) == 400 and {r["doc_id"]: r["slot"] for r in got} == want
+
+
 def test_mixing_keeps_to_exact_weights():
     many = {f"s{k}": 1.0 for k in range(1500)} | {"third": 750.0}
     slots = mixing.slots_of(many, dict.fromkeys(many, 1) | {"third": 700})
@@ -241,20 +234,6 @@ def test_mixing_of_many_sources(spark):
     assert len(got) == 6000 and abs(100 * (big.cumsum() - (np.arange(6000) + 1) / 2)).max() <= 200 + 2 * 100
 
 
-def brute_alike(rows: list[tuple[int, str | None]]) -> list[int]:
-    """The ids that stay of documents with different ids."""
-    sets = []
-    for _, text in rows:
-        words = [w for w in BLANK.split(text or "") if w]
-        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([tuple(words)] if words else []))
-    root = [*range(len(rows))]
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            old, new = root[i], root[j]
-            root = [new if r == old else r for r in root]
-    return sorted(min(d for (d, _), r in zip(rows, root, strict=True) if r == k) for k in set(root))
-
-
 @pytest.mark.parametrize(("listed", "block"), [(2048, 2048), (3, 4)])
 def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents, listed, block):
     monkeypatch.setattr(simhash, "LISTED", listed)

@@ -16,13 +16,16 @@ STRETCH = 4096
 def offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Rows (key, first): the sum of n over all smaller keys, for whole-number keys, each once.
 
-    In two levels, stretches of keys and then the keys of each, so no task sees
-    all rows; only one row for each stretch meets in one place.
+    In levels, stretches of keys, then stretches of stretches, so no task ever
+    sees more rows than a stretch has.
     """
-    staged = counts.withColumn("_at", F.floor(F.col(key) / STRETCH))
-    sums = staged.groupBy("_at").agg(F.sum(n).alias("_n"))
-    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    staged = counts.select(key, n).withColumn("_at", F.floor(F.col(key) / STRETCH))
+    sums = cut(staged.groupBy("_at").agg(F.sum(n).alias("_n")))
+    if sums.count() > STRETCH:
+        bases = offsets(sums.withColumnsRenamed({"_at": key, "_n": n}), key, n).withColumnsRenamed({key: "_at", "first": "_base"})
+    else:
+        before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        bases = sums.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_at").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     running = staged.withColumn("_own", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     return running.join(bases, "_at").select(key, (F.col("_base") + F.col("_own")).cast("long").alias("first"))

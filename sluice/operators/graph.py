@@ -153,11 +153,12 @@ def reached(seeds: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame
     """The nodes that the seeds reach, themselves included, in a graph of any kind.  seeds: (node); edges: (node, following)."""
     edges = cut(edges.select("node", "following").distinct())
     found = front = cut(seeds.select("node").distinct())
-    for _ in range(most):
+    for turn in range(most):
         front = cut(front.join(edges, "node").select(F.col("following").alias("node")).distinct().join(found, "node", "left_anti"))
         if front.isEmpty():
             return found
-        found = found.unionByName(front)  # each front is stored once; what was found before is not written again
+        found = found.unionByName(front)  # each front is stored once; what was found before is written again only now and then
+        found = cut(found) if turn % 32 == 31 else found
     raise RuntimeError("the marks have not settled")
 
 

@@ -19,8 +19,13 @@ def recompose(docs: DataFrame, limit: int, extra_blank: bool = False, key: str =
 
 
 def char_counts(docs: DataFrame, text: str = "text", *keys: str) -> DataFrame:
-    """Rows (keys, ch, n): how often each character occurs; newlines are not counted."""
-    return docs.select(*keys, F.explode(characters(F.col(text))).alias("ch")).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
+    """Rows (keys, ch, n): how often each character occurs; newlines are not counted.
+
+    Each text gives a row for each of its different characters, whatever its length.
+    """
+    each = docs.select(*keys, F.col(text).alias("_text"), F.explode(F.array_distinct(characters(F.col(text)))).alias("ch"))
+    own = F.length("_text") - F.length(F.replace("_text", F.col("ch"), F.lit("")))
+    return each.select(*keys, "ch", own.cast("long").alias("n")).groupBy(*keys, "ch").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

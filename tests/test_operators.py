@@ -56,6 +56,12 @@ def test_fan_out_does_not_depend_on_blocks_or_workers(spark, small, blocks, work
     assert dealt.select("block").distinct().count() <= blocks
 
 
+def test_offsets_of_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(fanout, "STRETCH", 3)
+    rows = spark.range(100).selectExpr("id AS k", "id % 7 AS n")
+    assert {tuple(r) for r in fanout.offsets(rows, "k", "n").collect()} == {(k, sum(j % 7 for j in range(k))) for k in range(100)}
+
+
 def test_units(spark):
     rows = spark.createDataFrame([("512",), ("2048K",), ("3G",), ("1T",), ("7M",), ("x",), (None,)], "m string")
     assert [r[0] for r in rows.select(units.memory_mb(F.col("m"))).collect()] == [512, 2, 3072, 1048576, 7, None, None]

@@ -216,6 +216,15 @@ def q48_array_diff(spark, sf_dir):
     return rerun.array_diff(*snapshots(spark, sf_dir))
 
 
+def q48b_diff_lists(spark, sf_dir):
+    return rerun.diff_lists(rerun.array_diff(*snapshots(spark, sf_dir)))
+
+
+def q48c_to_rerun(spark, sf_dir):
+    seeds = rerun.changed_seeds(rerun.array_diff(*snapshots(spark, sf_dir)))
+    return seeds["new_process"].unionByName(seeds["input_change"]).distinct().select(F.col("node").alias("process"))
+
+
 def rerun_parts(spark, sf_dir):
     old, new = snapshots(spark, sf_dir)
     rows = part(spark, sf_dir)
@@ -239,6 +248,12 @@ def q49b_reset(spark, sf_dir):
     return rerun.reset(processes.select("process", "status"), marked)
 
 
+def q49c_counts(spark, sf_dir):
+    processes, marked = rerun_parts(spark, sf_dir)
+    streams = part(spark, sf_dir).where("k % 61 = 0")
+    return status.counts(processes, streams, marked, launchable(spark, sf_dir))
+
+
 # Times, status, resources, selection.
 
 
@@ -451,6 +466,15 @@ def q70s_dispatch_live(spark, sf_dir):
     return messages.drained(messages.dispatched(stream.select(F.expr(BLOCK_PATH).alias("path")), 5))
 
 
+def q71_first_message(spark, sf_dir):
+    return messages.first_message(table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id"), "event_id")
+
+
+def q76s_announced(spark, sf_dir):
+    stream = messages.table_stream(spark, sf_dir, "documents").select("doc_id", "text")
+    return messages.announced(stream, 25)
+
+
 def q71s_side_input(spark, sf_dir):
     stream = messages.table_stream(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
     side = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.round("c_acctbal").cast("long").alias("threshold"))
@@ -557,6 +581,14 @@ SELECT k, v LIKE '-%' AS is_option, regexp_matches(v, '^--?out') AS is_output, v
     "q48_array_diff": f"WITH {SNAPSHOTS} SELECT process, change FROM diff",
     "q49_rerun_chain": f"WITH RECURSIVE {RERUN} SELECT k AS process, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY k",
     "q49b_reset": f"WITH RECURSIVE {RERUN} SELECT k AS process, CASE WHEN status = 'FINISHED' AND k IN (SELECT k FROM r) THEN 'TO-DO' ELSE status END AS status FROM pr",
+    "q48b_diff_lists": f"WITH {SNAPSHOTS}, f AS (SELECT change, process, row_number() OVER (PARTITION BY change ORDER BY process) AS rn, count(*) OVER (PARTITION BY change) AS n FROM diff) SELECT change, n, concat(string_agg(CAST(process AS VARCHAR), ',' ORDER BY process), CASE WHEN n > 10 THEN ',...' ELSE '' END) AS processes FROM f WHERE rn <= 10 GROUP BY change, n",
+    "q48c_to_rerun": f"WITH {SNAPSHOTS} SELECT process FROM diff WHERE change IN ('new', 'changed')",
+    "q49c_counts": f"WITH RECURSIVE {RERUN}, {LAUNCHABLE.replace(' x AS', ' lx AS').replace('a AS', 'ta AS', 1).replace('FROM a ', 'FROM ta AS a ')} SELECT (SELECT count(*) FROM p) AS n_processes, (SELECT count(*) FROM p WHERE k % 61 = 0) AS n_streams, (SELECT count(DISTINCT k) FROM r) AS n_rerun, (SELECT count(DISTINCT process) FROM lx) AS n_launchable",
+    "q71_first_message": "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 1",
+    "q76s_announced": """
+WITH l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+b AS (SELECT (row_number() OVER (ORDER BY doc_id, i) - 1) // 25 AS block, line FROM l)
+SELECT block, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, CASE WHEN count(*) = 25 THEN CAST(0 AS BIGINT) END AS ready FROM b GROUP BY block""",
     "q50_elapsed_tasks": f"""
 WITH t AS (SELECT user_id, event_id % 3 AS i, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY ALL)
 SELECT user_id, string_agg(concat(CAST(i AS VARCHAR), '->', {SECONDS}, ' ;'), ' ' ORDER BY i) AS elapsed, CAST(sum(us) AS BIGINT) AS total_us FROM t GROUP BY user_id""",

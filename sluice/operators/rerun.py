@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.graph import reached
@@ -48,6 +48,16 @@ def changed_seeds(diff: DataFrame) -> dict[str, DataFrame]:
     return {reason: diff.where(F.col("change") == change).select(F.col("process").alias("node")) for reason, change in (("new_process", "new"), ("input_change", "changed"))}
 
 
+def diff_lists(diff: DataFrame, most: int = 10) -> DataFrame:
+    """Rows (change, n, processes): how many processes a diff has of each kind, and the first `most` in order, then three dots if there are more."""
+    order = Window.partitionBy("change").orderBy("process")
+    first = diff.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most)
+    named = first.groupBy("change").agg(F.array_sort(F.collect_list("process")).alias("all"))
+    both = diff.groupBy("change").agg(F.count("*").alias("n")).join(named, "change")
+    shown = F.concat(F.transform("all", lambda x: x.cast("string")), F.when(F.col("n") > most, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>")))
+    return both.select("change", "n", F.array_join(shown, ",").alias("processes"))
+
+
 def outdated(processes: DataFrame, modules: DataFrame) -> DataFrame:
     """The finished processes (node) that last ran before a change of their modules, or left no trace.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ def statistics(statuses: DataFrame, times: DataFrame, process: str = "process")
     return statuses.join(times.select(process, "elapsed"), process, "left").withColumn("elapsed", F.coalesce("elapsed", F.lit("UNKNOWN")))
 
 
+def counts(statuses: DataFrame, streams: DataFrame, marked: DataFrame, launchable: DataFrame) -> DataFrame:
+    """One row: how many processes and streams a program has, how many processes run again, and how many can be launched."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [n(statuses, "n_processes"), n(streams, "n_streams"), n(marked, "n_rerun"), launchable.agg(F.countDistinct("process").alias("n_launchable"))]
+    return reduce(lambda a, b: a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one"), parts)
+
+
 def status_rows(statuses: DataFrame, width: int, excluded: tuple[str, ...] = (), process: str = "process") -> DataFrame:
     """One row (header, row): names and statuses in fixed width, by name, without the excluded processes.
 

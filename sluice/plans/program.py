@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NAME = re.compile(r"[a-zA-Z_][a-zA-Z_0-9]*(::[a-zA-Z_][a-zA-Z_0-9]*)*")
 Table = Callable[..., DataFrame]
@@ -195,3 +196,13 @@ class Run:
                 self.statuses[x] = "FINISHED"
                 waiting += self.program.processes[x].inputs.values()
         return "FINISHED"
+
+    def record(self, path: str) -> None:
+        """Appends the statuses, with the time, to a table that outlives the run."""
+        self.status().withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (process, status, error): what was last recorded of each process."""
+    last = spark.read.parquet(path).groupBy("process").agg(F.max_by(F.struct("status", "error"), "at").alias("x"))
+    return last.select("process", "x.status", "x.error")

@@ -46,6 +46,11 @@ def output_path(folder: str, process: str, task: int | None = None, base: str |
     return own if task is None else f"{own}/task_idx={task}"
 
 
+def shared_path(folder: str, name: str) -> str:
+    """A folder that all processes of a program share."""
+    return f"{folder.rstrip('/')}/__shared__/{name}"
+
+
 def write_tasks(rows: DataFrame, path: str, index: str = "task_idx") -> None:
     """Writes an array's outputs by task; tasks that rows hold replace their earlier output, others keep theirs."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(index).parquet(path)

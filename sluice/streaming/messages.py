@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.scalars import END, block_index
+from sluice.functions.text import lines
+from sluice.operators import fanout
 from sluice.operators.values import until_token
 from sluice.sources.tables import cut, shared_folder
 
@@ -73,6 +75,35 @@ def echo_until(stream: DataFrame, pos: str, is_token: Column) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in written]) if written else spark.createDataFrame([], stream.schema)
 
 
+def first_message(messages: DataFrame, pos: str) -> DataFrame:
+    """The one message that comes first, as one row; none of an empty stream."""
+    return messages.orderBy(pos).limit(1)
+
+
+def announced(stream: DataFrame, per_block: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (block, n_lines, n_chars, ready): the lines of a stream of texts cut into blocks of per_block, in the order of batches and then of keys.
+
+    ready: the batch whose rows have filled the block, null for one that is not
+    full yet.  Each batch is written as soon as it has come, with the number of
+    lines before it; keys are unique whole numbers.
+    """
+    spark, path, before = stream.sparkSession, shared_path(stream.sparkSession, "blocks"), [0]
+
+    def put(rows: DataFrame, n: int) -> None:
+        whole = cut(rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")))
+        counts = whole.select(key, F.size(lines(F.col("_text"))).cast("long").alias("n"))
+        each = whole.join(fanout.offsets(counts, key, "n"), key).select("first", F.posexplode(lines(F.col("_text"))).alias("at", "line"))
+        block = F.floor((F.lit(before[-1]) + F.col("first") + F.col("at")) / per_block).cast("long")
+        told = each.groupBy(block.alias("block")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+        told.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        before.append(before[-1] + (counts.agg(F.sum("n")).first()[0] or 0))
+
+    drained(stream, put)
+    found = spark.read.schema("block long, n_lines long, n_chars long, batch long").parquet(path)
+    all_of = found.groupBy("block").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_chars").alias("n_chars"), F.max("batch").alias("last"))
+    return all_of.select("block", "n_lines", "n_chars", F.when(F.col("n_lines") == per_block, F.col("last")).alias("ready"))
+
+
 def running_state(stream: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
     """Rows (key, n, total, over): the messages of each key and their sum, over all batches, and whether it is over the threshold.
 

@@ -249,6 +249,13 @@ def test_streams_hold_over_several_batches(spark, tmp_path):
     runs = messages.on_trigger(messages.folder_stream(spark, str(tmp_path / "all"), "k string, v long"), lambda rows: cycles.two_process_cycle(rows, "v", F.col("v")))
     assert runs.count() == sum(range(7))
     assert messages.feeder(spark, "again").isStreaming
+    assert [r["v"] for r in messages.first_message(runs, "v").collect()] == [1]
+
+
+def test_blocks_are_announced_as_batches_fill_them(spark, tmp_path):
+    stream = messages_in_files(spark, str(tmp_path), [[(1, "a\nb"), (2, "c")], [(3, "d")], [(4, "e\nf\ng")]], "doc_id long, text string")
+    got = {tuple(r) for r in messages.announced(stream, 2).collect()}
+    assert got == {(0, 2, 2, 0), (1, 2, 2, 1), (2, 2, 2, 2), (3, 1, 1, None)}
 
 
 def test_cycles(spark):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from sluice.plans.program import Port, Process, Program
+from sluice.plans.program import Port, Process, Program, recorded
 
 
 def numbers(spark):
@@ -26,6 +26,9 @@ def test_run_and_failures(spark, tmp_path):
     assert ran.statuses == {"one": "IN-PROGRESS", "fails": "FAILED", "next": "TO-DO"} and "late" in ran.errors["fails"]
     assert ran.complete("one") == "FINISHED"
     assert {r["process"] for r in done.status().where("error is not null").collect()} == {"bad"}
+    done.record(str(tmp_path / "statuses"))
+    ran.record(str(tmp_path / "statuses"))
+    assert {r["process"]: r["status"] for r in recorded(spark, str(tmp_path / "statuses")).collect()} == done.statuses | ran.statuses
     again = program.run(spark, str(tmp_path), keep={"sum": f"{tmp_path}/sum"})
     assert again.outputs["sum"].first()["s"] == 6
 

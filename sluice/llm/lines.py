@@ -127,15 +127,18 @@ def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
     tokens, so that two bitmaps count apart.  prefix: half hashes of the tokens it is found by and of one more;
     the lowest bit tells whether a token's postings may be long.
     """
-    keyed = corpus.lines().select("class", "place", once(corpus.by_rarity(tokens_of(F.col("line")))).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    none, n = F.lit(0).cast("long"), F.size("tokens")
-    whole = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
-    half = F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
-    bitmaps = [whole, F.when(n > LONG_LINE, half).otherwise(none)]
     may_be_long = lambda t: (t >= F.lit(corpus.long_from << 56)).cast("int")
-    prefix = F.transform(F.slice("tokens", F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
-    heads = keyed.select("class", "place", n.alias("n"), *[x.alias(name) for x, name in zip(bitmaps, BITMAPS, strict=True)], prefix.alias("prefix"))
+
+    def head(tokens: Column) -> Column:
+        none, n = F.lit(0).cast("long"), F.size(tokens)
+        whole = F.aggregate(tokens, none, lambda a, t: a.bitwiseXOR(bit(t)))
+        half = F.aggregate(tokens, none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
+        prefix = F.transform(F.slice(tokens, F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
+        return F.struct(n.alias("n"), whole.alias("bitmap"), F.when(n > LONG_LINE, half).otherwise(none).alias("half"), prefix.alias("prefix"))
+
+    # The one element of an array is computed once, however often the function of it reads it.
+    heads = corpus.lines().select("class", "place", F.inline(F.transform(F.array(corpus.by_rarity(tokens_of(F.col("line")))), head)))
     return heads.groupBy("class", "n", *BITMAPS, "prefix").agg(F.min("place").alias("place"), F.count("*").alias("times"))
 
 
@@ -205,29 +208,26 @@ class Search:
         self.rounds += 1
         at = lambda name: f"{name}{self.rounds}"
         pairs = self.tables.put(at("pairs"), pairs)
+        sets = self.sets_of(pairs, at("sets"))
         few = pairs.groupBy("place", F.pmod(F.xxhash64("place2"), F.lit(FIRST))).agg(F.min("place2").alias("place2"))
-        settled = self.compared(pairs.join(few.select("place", "place2"), ["place", "place2"], "left_semi"), at("first"))
-        settled = settled.unionByName(self.compared(pairs.join(settled, "place", "left_anti"), at("rest")))
-        self.tables.drop(at("pairs"))
+        settled = self.compared(pairs.join(few.select("place", "place2"), ["place", "place2"], "left_semi"), sets, at("first"))
+        settled = settled.unionByName(self.compared(pairs.join(settled, "place", "left_anti"), sets, at("rest")))
+        self.tables.drop(*map(at, ("pairs", "sets", "sets_wanted")))
         return settled
 
-    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The later places (place) of pairs whose token sets reach the threshold.
-
-        Their lines are taken from the documents again, so that tokens never
-        move for lines that nothing is like.  Sixteen bits of each token go
-        first: what they leave of the pairs is compared by whole tokens.
-        """
+    def sets_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Rows (place, tokens) of the lines of pairs.  Their lines are taken from the documents again, so that tokens never move for lines that nothing is like."""
         wanted = self.tables.put(f"{name}_wanted", pairs.select(F.explode(F.array("place", "place2")).alias("place")).distinct())
-        if wanted.isEmpty():
-            return wanted
         # An inner join with different places: a semi-join would be pushed below the sieve, and all lines would move.
         found = sifted(self.corpus.lines().select("place", "line"), wanted, "place").join(wanted, "place")
-        sets = self.tables.put(f"{name}_sets", found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
+        return self.tables.put(name, found.select("place", once(tokens_of(F.col("line"))).alias("tokens")))
+
+    def compared(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The later places (place) of pairs whose sets reach the threshold: by sixteen bits of each token first, and what they leave by whole tokens."""
         short = F.array_distinct(F.transform("tokens", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
         likely = self.tables.put(f"{name}_likely", alike(pairs, sets.select("place", short.alias("tokens")), self.threshold))
         out = self.tables.put(f"{name}_matched", alike(likely, sets, self.threshold).select("place").distinct())
-        self.tables.drop(f"{name}_wanted", f"{name}_sets", f"{name}_likely")
+        self.tables.drop(f"{name}_likely")
         return out
 
     def matched(self) -> DataFrame:

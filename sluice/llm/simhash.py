@@ -38,6 +38,8 @@ KEYS = 12
 REACH = 22
 #: Texts found by one shingle from which they are found by two at once.
 LISTED = 2048
+#: Nearest texts that each text is compared with before all others.
+NEAREST = 4
 #: Texts of which shingles are held at once in a worker.
 AT_ONCE = 64
 
@@ -358,8 +360,12 @@ def lists_of(sets: DataFrame, tables: Tables) -> DataFrame:
     return tables.put("lists", short.select("token", "set", "n", "fp").unionByName(pairs))
 
 
-def likely_pairs(left: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a token, have different labels and are near by bit-sliced comparison.  left: (token, set, n, fp, label)."""
+def likely_pairs(left: DataFrame, block: int, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of sets that share a token, have different labels and are near by bit-sliced comparison.
+
+    left: (token, set, n, fp, label).  most: for each set of a block only so many
+    of the nearest; None for all.
+    """
     lists = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("times")).where("low < high")
     dealt = in_chunks(left.join(lists.select("token", "times"), "token"), ["token"], "set", F.col("times")).drop("times")
 
@@ -372,7 +378,13 @@ def likely_pairs(left: DataFrame, block: int) -> DataFrame:
             i, j = near_pairs(asked["fp"].to_numpy().view(np.uint64), second["fp"].to_numpy().view(np.uint64), REACH)
             x, y = asked.iloc[i], second.iloc[j]
             m, n = x["n"].to_numpy(np.int64), y["n"].to_numpy(np.int64)
-            good = (x["label"].to_numpy() != y["label"].to_numpy()) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n))
+            good = np.flatnonzero((x["label"].to_numpy() != y["label"].to_numpy()) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)))
+            if most is not None:
+                far = np.bitwise_count(x["fp"].to_numpy()[good].view(np.uint64) ^ y["fp"].to_numpy()[good].view(np.uint64))
+                order = np.lexsort((far, i[good]))
+                starts = np.flatnonzero(np.diff(i[good][order], prepend=-1))
+                nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+                good = good[order[nth < most]]
             a.append(x["set"].to_numpy()[good])
             b.append(y["set"].to_numpy()[good])
         one, two = np.concatenate(a), np.concatenate(b)
@@ -384,8 +396,8 @@ def likely_pairs(left: DataFrame, block: int) -> DataFrame:
 def alike_links(sets: DataFrame, texts: DataFrame, words: int, tables: Tables, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of sets, whose components are those of all pairs that are alike and share a key.  sets: (set, n, fp, keys, h), each once; texts: (h, text).
 
-    First each set meets one of its list, twice; only sets that those have not
-    linked to one and the same meet the others.
+    First each set meets one of its list, twice, then the nearest in each block;
+    only sets that those have not linked to one and the same meet all others.
     """
     lists = lists_of(sets, tables)
     links = None
@@ -397,9 +409,23 @@ def alike_links(sets: DataFrame, texts: DataFrame, words: int, tables: Tables, b
         links = own if links is None else links.unionByName(own)
         labels = links.groupBy(F.col("b").alias("set")).agg(F.min("a").alias("label"))
         left = tables.put(f"after_{turn}", lists.join(labels, "set", "left").select("token", "set", "n", "fp", F.coalesce("label", "set").alias("label")))
+    links = links.unionByName(alike_sets(likely_pairs(left, block, NEAREST), sets, texts, words, tables, "nearest"))
+    labels = labels_of(links, tables)
+    left = tables.put("after_nearest", lists.join(labels, "set", "left").select("token", "set", "n", "fp", F.coalesce("label", "set").alias("label")))
     return links.unionByName(alike_sets(likely_pairs(left, block), sets, texts, words, tables, "last"))
 
 
+def labels_of(links: DataFrame, tables: Tables, hops: int = 3) -> DataFrame:
+    """Rows (set, label): for each end of a link the least set that it reaches in so many hops."""
+    ends = links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other")))
+    labels = ends.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("label"))
+    for hop in range(1, hops):
+        labels = tables.put(f"labels{hop}", labels)
+        told = ends.join(labels.select(F.col("set").alias("other"), F.col("label").alias("theirs")), "other").groupBy("set").agg(F.min("theirs").alias("theirs"))
+        labels = labels.join(told, "set").select("set", F.least("label", "theirs").alias("label"))
+    return tables.put("labels", labels)
+
+
 def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without all but one row of each group of near copies: the one of least id, null ids last.
 

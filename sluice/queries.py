@@ -335,6 +335,24 @@ WITH i AS (SELECT p_partkey % 10 AS grp, p_partkey AS id, p_size AS w, -(p_retai
 g AS (SELECT grp, list({'u': CAST(w AS BIGINT), 'ids': [CAST(id AS VARCHAR)]} ORDER BY r, id) AS a FROM i GROUP BY grp),
 d AS (SELECT grp, list_reduce(a, lambda s, x: CASE WHEN s.u + x.u <= 200 THEN {'u': s.u + x.u, 'ids': list_concat(s.ids, x.ids)} ELSE s END, {'u': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[])}) AS s FROM g)
 SELECT grp, len(s.ids) AS n_items, s.u AS weight, array_to_string(s.ids, ',') AS chosen FROM d""",
+    "q15b_knapsack_prec": """
+WITH RECURSIVE i AS (
+  SELECT p_partkey // 500 AS program, p_partkey AS k, CAST(p_size % 4 + 1 AS DOUBLE) AS w0, CAST(p_size * 100 AS DOUBLE) AS w1, p_retailprice AS v, CASE WHEN p_partkey % 500 > 0 THEN p_partkey - 1 - p_partkey % 3 END AS b FROM part),
+c AS (SELECT program, k, k AS needs FROM i UNION SELECT c.program, c.k, i.b FROM c JOIN i ON i.k = c.needs JOIN i j ON j.k = i.b AND j.program = i.program),
+r AS (SELECT *, CAST(k AS VARCHAR) AS item, row_number() OVER (PARTITION BY program ORDER BY v / (0.0::DOUBLE + w0 / 64.0::DOUBLE + w1 / 60000.0::DOUBLE) DESC, CAST(k AS VARCHAR)) AS rank FROM i),
+x AS (SELECT c.k, list({'id': r.item, 'w0': r.w0, 'w1': r.w1} ORDER BY r.rank) AS bs FROM c JOIN r ON r.k = c.needs GROUP BY c.k),
+g AS (SELECT r.program, list({'bs': x.bs, 'taken': CAST([] AS VARCHAR[]), 'u0': 0.0::DOUBLE, 'u1': 0.0::DOUBLE} ORDER BY r.rank) AS a FROM r JOIN x ON x.k = r.k GROUP BY r.program),
+d AS (SELECT program, list_reduce(a, lambda s, x: CASE
+    WHEN s.u0 + coalesce(list_sum(list_transform(list_filter(x.bs, lambda b: NOT list_contains(s.taken, b.id)), lambda b: b.w0)), 0) <= 64
+     AND s.u1 + coalesce(list_sum(list_transform(list_filter(x.bs, lambda b: NOT list_contains(s.taken, b.id)), lambda b: b.w1)), 0) <= 60000
+    THEN {'bs': x.bs, 'taken': list_concat(s.taken, list_transform(list_filter(x.bs, lambda b: NOT list_contains(s.taken, b.id)), lambda b: b.id)),
+      'u0': s.u0 + coalesce(list_sum(list_transform(list_filter(x.bs, lambda b: NOT list_contains(s.taken, b.id)), lambda b: b.w0)), 0),
+      'u1': s.u1 + coalesce(list_sum(list_transform(list_filter(x.bs, lambda b: NOT list_contains(s.taken, b.id)), lambda b: b.w1)), 0)}
+    ELSE s END, {'bs': a[1].bs, 'taken': CAST([] AS VARCHAR[]), 'u0': 0.0::DOUBLE, 'u1': 0.0::DOUBLE}).taken AS taken FROM g)
+SELECT program, unnest(taken) AS item, unnest(range(len(taken))) AS place FROM d""",
+    "q22_port_docs": """
+SELECT * FROM (VALUES ('source', '-inf', 'file', 'general', true, 'texts'), ('recompose', '-c', 'int', 'general', true, 'characters of a line'),
+  ('recompose', '-outf', 'file', 'output', false, 'lines')) t(process, opt, kind, category, required, description)""",
     "q16_throttle_blocks": """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS task_idx FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY task_idx) AS rn FROM t WHERE l_linestatus = 'O')

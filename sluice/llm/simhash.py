@@ -38,8 +38,8 @@ KEYS = 12
 REACH = 22
 #: Texts found by one shingle from which they are found by two at once.
 LISTED = 2048
-#: Nearest texts that each text is compared with before all others.
-NEAREST = 4
+#: Nearest texts, of each list and block, that each text is compared with before all others.
+NEAREST = 1
 #: Texts of which shingles are held at once in a worker.
 AT_ONCE = 64
 

@@ -65,21 +65,29 @@ def both_ways(streams: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, most: int = 40) -> DataFrame:
     """Rows (ancestor, node): all that a node is reached from, in a graph that may have cycles; a node on one is its own ancestor.
 
-    edges: (ancestor, node).  Paths double in length with each join of the pairs
-    found last.
+    edges: (ancestor, node).  Pairs are found by their shortest ways, which
+    double in length with each join.
     """
-    found = front = cut(edges.select("ancestor", "node").distinct())
+    found, reach = cut(edges.select("ancestor", "node").distinct().withColumn("steps", F.lit(1).cast("long"))), 1
     for _ in range(most):
-        onward = found.select(F.col("ancestor").alias("node"), F.col("node").alias("further"))
-        more = front.join(onward, "node").select("ancestor", F.col("further").alias("node"))
-        back = found.join(front.select(F.col("ancestor").alias("node"), F.col("node").alias("further")), "node").select("ancestor", F.col("further").alias("node"))
-        front = cut(more.unionByName(back).distinct().join(found, ["ancestor", "node"], "left_anti"))
-        if front.isEmpty():
-            return found
-        found = cut(found.unionByName(front))
+        far = found.where(F.col("steps") == reach)
+        if far.isEmpty():
+            return found.select("ancestor", "node")
+        found, reach = cut(found.unionByName(beyond(far, found, reach)).groupBy("ancestor", "node").agg(F.min("steps").alias("steps"))), 2 * reach
     raise RuntimeError("the closure has not settled")
 
 
+def beyond(far: DataFrame, found: DataFrame, reach: int) -> DataFrame:
+    """Rows (ancestor, node, steps): the ways of far, all of `reach` steps, and then one of found.
+
+    The first `reach` steps of a shortest way are a shortest way themselves, as
+    of a longest one in an acyclic graph, so these ways are all that is new up
+    to twice the length, and each is found by few joins.
+    """
+    onward = found.select(F.col("ancestor").alias("node"), F.col("node").alias("further"), "steps")
+    return far.select("ancestor", "node").join(onward, "node").select("ancestor", F.col("further").alias("node"), (F.col("steps") + reach).alias("steps"))
+
+
 def rounds(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """Rows (node, place, round) in the order of a file: a node goes in the first pass over the file in which all that it needs has gone before it.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.operators.graph import closure
+from sluice.operators.graph import beyond
 from sluice.sources.tables import cut
 
 
@@ -66,25 +66,60 @@ def totals(items: DataFrame, chosen: DataFrame, group: str, weights: int) -> Dat
     return picked.groupBy(group).agg(F.count("*").alias("n"), F.sum("value").alias("value"), *[F.sum(F.get("weights", F.lit(k))).alias(f"weight{k}") for k in range(weights)])
 
 
+def within(links: DataFrame, sizes: DataFrame, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Rows (ancestor, node) of all others that a node builds on, without the nodes that can never fit; and those (node).
+
+    links: (ancestor, node); sizes: (node, w0, ..., r0, ...), what a node takes
+    and what there is room for.  A node goes as soon as what is known of its
+    bundle exceeds the room, or one that it builds on has gone, so no node
+    gathers much more than fits.
+    """
+    ws, rooms = [c for c in sizes.columns if c[0] == "w"], [c for c in sizes.columns if c[0] == "r"]
+    taken = sizes.select(F.col("node").alias("ancestor"), *ws)
+    gone = cut(sizes.where(reduce(Column.__or__, [F.col(w) > F.col(r) for w, r in zip(ws, rooms, strict=True)], F.lit(False))).select("node"))
+    left, of_node = sizes.select("node", *[(F.col(r) - F.col(w)).alias(r) for w, r in zip(ws, rooms, strict=True)]), Window.partitionBy("node")
+    found, reach, more = links.distinct().withColumn("steps", F.lit(1).cast("long")).join(taken, "ancestor"), 1, True
+    for _ in range(most):
+        lost = found.join(gone.select(F.col("node").alias("ancestor"), F.lit(True).alias("lost")), "ancestor", "left").join(left, "node")
+        over = reduce(Column.__or__, [F.sum(w).over(of_node) > F.col(r) for w, r in zip(ws, rooms, strict=True)], F.max(F.coalesce("lost", F.lit(False))).over(of_node))
+        judged = cut(lost.select("ancestor", "node", "steps", *ws, F.coalesce(over, F.lit(False)).alias("over")))
+        going = judged.where("over").select("node").distinct()
+        found, far = judged.where("not over").drop("over"), judged.where(~F.col("over") & (F.col("steps") == reach))
+        none_new, more = going.isEmpty(), more and not far.isEmpty()
+        if none_new and not more:
+            return found.select("ancestor", "node"), gone
+        gone = cut(gone.unionByName(going))
+        if more:
+            onward = beyond(far, found.select("ancestor", "node", "steps"), reach).where("ancestor <> node").join(taken, "ancestor")
+            found, reach = found.unionByName(onward).groupBy("ancestor", "node").agg(F.min("steps").alias("steps"), *[F.first(w).alias(w) for w in ws]), 2 * reach
+    raise RuntimeError("the bundles have not settled")
+
+
 def greedy_with_precedence(items: DataFrame, group: str, capacities: tuple[float, ...]) -> DataFrame:
     """Rows (group, item, place) taken of items (group, item, value, weights, before), each with all that it builds on, together or not at all.
 
     By falling priority, ties by item; what an item builds on goes in the same
     order.  Items that build on one another stand or fall together, and unknown
-    ones are taken as done.  What each item builds on is found by joins; one
-    group, the waiting tasks of one program, is then folded in order.
+    ones are taken as done.  What each item builds on is found by joins, without
+    the items whose bundles exceed a capacity: all that has been taken stays, so
+    those never fit.  The others of one group, the waiting tasks of one program,
+    are then folded in order.
     """
-    known = items.select(group, "item")
-    edges = items.select(group, F.col("item").alias("node"), F.explode("before").alias("b")).where("b is not null and b <> node")
-    edges = edges.join(known.select(group, F.col("item").alias("b")), [group, "b"]).select(F.struct(group, "b").alias("ancestor"), F.struct(group, "node").alias("n")).withColumnRenamed("n", "node")
-    named = edges.select(F.struct(F.col(f"ancestor.{group}").alias("g"), F.col("ancestor.b").alias("x")).alias("ancestor"), F.struct(F.col(f"node.{group}").alias("g"), F.col("node.node").alias("x")).alias("node"))
-    paths = closure(named).select(F.col("node.g").alias(group), F.col("node.x").alias("item"), F.col("ancestor.x").alias("needs"))
-    order = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("priority"), "item"))
-    ranked = cut(items.join(priorities(items, group, capacities), [group, "item"]).select(group, "item", "weights", order.alias("rank")))
-    own = ranked.select(group, "item", F.col("item").alias("needs")).unionByName(paths)
-    bundles = own.distinct().join(ranked.select(group, F.col("item").alias("needs"), F.struct("rank", F.col("item").alias("id"), "weights").alias("x")), [group, "needs"])
-    each = bundles.groupBy(group, "item").agg(F.array_sort(F.collect_set("x")).alias("bundle"))
-    listed = each.join(ranked.select(group, "item", "rank"), [group, "item"]).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "bundle"))).alias("all"))
+    of_group = Window.partitionBy(group)
+    weight = [F.get("weights", F.lit(k)) for k in range(len(capacities))]
+    spare = [F.sum(F.least(w, F.lit(0.0))).over(of_group) for w in weight]  # what weights below 0 may give back
+    room = [F.lit(float(c)) - s + (abs(c) - s) * 1e-6 for c, s in zip(capacities, spare, strict=True)]  # the fold decides what rounding might
+    order = F.row_number().over(of_group.orderBy(F.desc("priority"), "item"))
+    numbered = items.join(priorities(items, group, capacities), [group, "item"]).select(group, "item", "weights", order.alias("rank"), *[r.alias(f"r{k}") for k, r in enumerate(room)])
+    ranked = cut(numbered.withColumn("node", F.monotonically_increasing_id()))
+    edges = items.select(group, "item", F.explode("before").alias("b")).where("b is not null and b <> item")
+    edges = edges.join(ranked.select(group, F.col("item").alias("b"), F.col("node").alias("ancestor")), [group, "b"]).join(ranked.select(group, "item", "node"), [group, "item"])
+    paths, gone = within(edges.select("ancestor", "node"), ranked.select("node", *[w.alias(f"w{k}") for k, w in enumerate(weight)], *[f"r{k}" for k in range(len(capacities))]))
+    able = ranked.join(gone, "node", "left_anti")
+    own = able.select(F.col("node").alias("ancestor"), "node").unionByName(paths)
+    bundles = own.join(ranked.select(F.col("node").alias("ancestor"), F.struct("rank", F.col("item").alias("id"), "weights").alias("x")), "ancestor")
+    each = bundles.groupBy("node").agg(F.array_sort(F.collect_list("x")).alias("bundle"))
+    listed = each.join(able.select("node", group, "rank"), "node").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "bundle"))).alias("all"))
     start = F.struct(F.array().cast("array<string>").alias("taken"), F.array(*[F.lit(0.0)] * len(capacities)).alias("used"))
 
     def adding(k: int) -> Callable[[Column, Column], Column]:

@@ -100,6 +100,10 @@ def test_paths_levels_and_cycles(spark):
     with pytest.raises(ValueError, match="cycle"):
         graph.longest_paths(spark.createDataFrame([("a", "b"), ("b", "a")], "ancestor string, node string"))
     assert graph.longest_paths(edges.limit(0)).isEmpty()
+    chain = spark.range(1, 21).select((F.col("id") - 1).alias("ancestor"), F.col("id").alias("node"))
+    short = chain.unionByName(spark.createDataFrame([(0, 9), (4, 20)], "ancestor long, node long"))
+    assert {tuple(r) for r in graph.longest_paths(short).collect()} == {(a, b, b - a) for b in range(21) for a in range(b)}
+    assert {tuple(r) for r in graph.closure(short).collect()} == {(a, b) for b in range(21) for a in range(b)}
     mutual = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "ancestor string, node string")
     assert {tuple(r) for r in graph.closure(mutual).collect()} == {("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"), ("a", "c"), ("b", "c")}
     with pytest.raises(ValueError, match="cycle"):
@@ -161,6 +165,21 @@ def test_knapsack_with_precedence(spark):
         selection.fitting(rows, (8.0, None)).collect()
 
 
+def test_bundles_that_can_never_fit_are_not_gathered(spark):
+    n = 200
+    links = spark.createDataFrame([(k - 1, k) for k in range(1, n)] + [(n, n + 1), (n + 1, n)], "ancestor long, node long")
+    sizes = spark.createDataFrame([(k, 1.0, 10.0) for k in range(n + 2)], "node long, w0 double, r0 double")
+    paths, gone = selection.within(links, sizes)
+    assert {tuple(r) for r in paths.collect()} == {(a, b) for b in range(10) for a in range(b)} | {(n, n + 1), (n + 1, n)}
+    assert {r["node"] for r in gone.collect()} == set(range(10, n))
+
+
+def test_what_builds_on_one_another_counts_once(spark):
+    rows = [(0, "x", 9.0, [1.0], ["a"]), (0, "a", 5.0, [1.0], ["x"]), (0, "y", 1.0, [2.0], ["x"])]
+    chosen = selection.greedy_with_precedence(spark.createDataFrame(rows, "g int, item string, value double, weights array<double>, before array<string>"), "g", (2.0,))
+    assert [r["item"] for r in chosen.sort("place").collect()] == ["x", "a"]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(1, 40)), min_size=1, max_size=80), st.integers(1, 30))
 def test_greedy_knapsack_prunes_nothing_it_would_take(spark, items, capacity):

@@ -122,16 +122,14 @@ def longest_paths(edges: DataFrame, most: int = 40) -> DataFrame:
     are as many joins as the longest path has binary digits.  A cycle never
     settles and raises an error.
     """
-    paths = cut(edges.select("ancestor", "node", F.lit(1).cast("long").alias("steps")).distinct())
+    paths, reach = cut(edges.select("ancestor", "node", F.lit(1).cast("long").alias("steps")).distinct()), 1
     for _ in range(most):
-        onward = paths.select(F.col("ancestor").alias("node"), F.col("node").alias("further"), F.col("steps").alias("more"))
-        joined = paths.join(onward, "node").select("ancestor", F.col("further").alias("node"), (F.col("steps") + F.col("more")).alias("steps"))
-        following = cut(paths.unionByName(joined).groupBy("ancestor", "node").agg(F.max("steps").alias("steps")))
-        if not following.where("ancestor = node").isEmpty():
+        if not paths.where("ancestor = node").isEmpty():
             raise ValueError("the graph has a cycle")
-        if following.join(paths, ["ancestor", "node", "steps"], "left_anti").isEmpty():
-            return following
-        paths = following
+        far = paths.where(F.col("steps") == reach)
+        if far.isEmpty():
+            return paths
+        paths, reach = cut(paths.unionByName(beyond(far, paths, reach)).groupBy("ancestor", "node").agg(F.max("steps").alias("steps"))), 2 * reach
     raise ValueError("the graph has a cycle")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def two_process_cycle(rows: DataFrame, key: str, limit: Column) -> DataFrame:
@@ -22,20 +23,24 @@ def state_cycles(rows: DataFrame, key: str, start: Column, limit: Column, thresh
     function of the value.  At most `most` rounds, which a greater need for
     raises an error.
     """
-    each = rows.select(key, start.cast("long").alias("v"), limit.cast("long").alias("limit"), threshold.alias("threshold"))
-    bound = (lambda i: F.get("threshold", i)) if str(each.schema["threshold"].dataType).startswith("ArrayType") else (lambda i: F.col("threshold"))
-    blank = F.array().cast("array<struct<step:bigint,sent:bigint,received:bigint,total:bigint>>")
+    spread = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)  # few files may hold many rows, each of which is a run of its own
+    bound = (lambda s, i: F.get(s["threshold"], i)) if isinstance(rows.select(threshold.alias("t")).schema["t"].dataType, ArrayType) else (lambda s, i: s["threshold"])
+    kind = "array<struct<step:bigint,sent:bigint,received:bigint,total:bigint>>"
+    over = lambda s: s["v"] > s["limit"]
 
     def round_(state: Column, i: Column) -> Column:
         v, total = state["v"], state["total"]
-        out = F.when(total <= bound(i), steps[0](v)).otherwise(steps[1](v)).cast("long")
+        out = F.when(total <= bound(state, i), steps[0](v)).otherwise(steps[1](v)).cast("long")
         row = F.struct(i.cast("long").alias("step"), v.alias("sent"), out.alias("received"), (total + out).alias("total"))
-        return F.when(v > F.col("limit"), state).otherwise(F.struct(out.alias("v"), (total + out).alias("total"), F.concat(state["rows"], F.array(row)).alias("rows")))
+        following = F.struct(out.alias("v"), (total + out).alias("total"), state["limit"].alias("limit"), state["threshold"].alias("threshold"), F.concat(state["rows"], F.array(row)).alias("rows"))
+        return F.when(over(state), state).otherwise(following)
 
-    state = F.struct(F.col("v").alias("v"), F.lit(0).cast("long").alias("total"), blank.alias("rows"))
-    done = each.withColumn("s", F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), state, round_))
-    ended = done.where(F.when(F.col("s.v") > F.col("limit"), True).otherwise(F.raise_error(F.lit(f"a cycle goes on after {most} rounds")).cast("boolean")))
-    return ended.select(key, F.explode("s.rows").alias("r")).select(key, "r.*")
+    def ended(state: Column) -> Column:
+        return F.when(over(state), state["rows"]).otherwise(F.raise_error(F.lit(f"a cycle goes on after {most} rounds")).cast(kind))
+
+    first = F.struct(start.cast("long").alias("v"), F.lit(0).cast("long").alias("total"), limit.cast("long").alias("limit"), threshold.alias("threshold"), F.array().cast(kind).alias("rows"))
+    runs = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), first, round_, ended)  # the limit and the thresholds ride along, so that they are computed once a run
+    return spread.select(key, F.explode(runs).alias("r")).select(key, "r.*")
 
 
 def triggered(triggers: DataFrame, pos: str, is_end: Column) -> DataFrame:

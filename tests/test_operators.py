@@ -283,6 +283,11 @@ def test_cycles(spark):
     assert [tuple(r) for r in got.sort("step").collect()] == [(1, 0, 1, 2, 2), (1, 1, 2, 3, 5), (1, 2, 3, 5, 10), (1, 3, 5, 7, 17)]
     with pytest.raises(Exception, match="goes on after 3 rounds"):
         cycles.state_cycles(rows, "k", F.col("v"), F.col("n"), F.lit(4).cast("long"), [lambda v: v + 1, lambda v: v + 2], 3).collect()
+    one_file = spark.range(200).select(F.col("id").alias("k"), F.lit(1).alias("v")).coalesce(1)
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lit(3).cast("long") + i)
+    runs = cycles.state_cycles(one_file, "k", F.col("v"), F.lit(4), bounds, [lambda v: v + 1, lambda v: v + 3], 10)
+    assert sum(1 for rows in runs.rdd.glom().collect() if rows) > 1
+    assert {tuple(r) for r in runs.where("k = 7").collect()} == {(7, 0, 1, 2, 2), (7, 1, 2, 3, 5), (7, 2, 3, 4, 9), (7, 3, 4, 7, 16)}
 
 
 def test_paths_and_arguments(spark, tmp_path):

@@ -37,15 +37,15 @@ def with_arguments(rows: DataFrame, args: str, values: DataFrame, *options: str)
     A path that stands for a passed value is replaced by the value, of values
     (path, value), but for output options; an unknown path stays.
     """
-    out = rows
-    for option in options:
-        name = option.lstrip("-")
-        out = out.withColumn(name, argument(F.col(args), option))
-        if not option.lstrip("-").startswith("out"):
-            known = values.select(F.col("path").alias("_path"), F.col("value").alias("_value"))
-            joined = out.join(known, is_value_reference(F.col(name)) & (F.col(name) == F.col("_path")), "left")
-            out = joined.withColumn(name, F.coalesce("_value", name)).drop("_path", "_value")
-    return out
+    names = {option: option.lstrip("-") for option in options}
+    known = values.where(is_value_reference(F.col("path"))).select(F.col("path").alias("_path"), F.col("value").alias("_value"))
+    other = F.concat(F.lit("no path "), F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]).cast("string"))  # spreads the values that are no path, which may all be alike
+    out = rows.withColumns({name: argument(F.col(args), option) for option, name in names.items()} | {"_other": other})
+    for name in names.values():
+        if not name.startswith("out"):
+            joined = out.withColumn("_wanted", F.when(is_value_reference(F.col(name)), F.col(name)).otherwise(F.col("_other"))).join(known, F.col("_wanted") == F.col("_path"), "left")
+            out = joined.withColumn(name, F.coalesce("_value", name)).drop("_wanted", "_path", "_value")
+    return out.drop("_other")
 
 
 def written_values(rows: DataFrame, path: Column, value: Column) -> DataFrame:

@@ -91,6 +91,24 @@ def test_edges(spark):
     assert [tuple(r) for r in graph.stream_edges(streams).collect()] == [("a", "c", "none")]
 
 
+def test_arguments_that_are_no_path_are_spread(spark):
+    rows = spark.range(200).select("id", F.array(F.lit("-n"), F.lit("-s"), F.concat(F.lit("/o/"), F.col("id").cast("string"), F.lit("/.__VAL_DESCRIPTOR__x"))).alias("args"))
+    values = spark.createDataFrame([("/o/7/.__VAL_DESCRIPTOR__x", "seven"), ("_VOID_VALUE_", "never")], "path string, value string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = ports.with_arguments(rows, "args", values, "-s", "-n")
+        sizes = [len(part) for part in got.rdd.glom().collect()]
+        found = {r["id"]: (r["s"], r["n"]) for r in got.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 150
+    assert found[7] == ("seven", "_VOID_VALUE_") and found[8] == ("/o/8/.__VAL_DESCRIPTOR__x", "_VOID_VALUE_") and len(found) == 200
+
+
 def test_paths_levels_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "ancestor string, node string")
     paths = graph.longest_paths(edges)

@@ -104,10 +104,10 @@ def rounds(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
         if front.isEmpty():
             break
         done = front if done is None else done.unionByName(front)
-        told = links.join(front.select(F.col("node").alias("ancestor"), F.col("round").alias("_round")), "ancestor")
+        told = links.join(front.select(F.col("node").alias("ancestor"), F.col("round").alias("_round")).hint("merge"), "ancestor")
         got = told.groupBy("node").agg(F.count("*").alias("_met"), F.array_agg(F.struct("_round", "_place")).alias("_from"))
         latest = lambda: F.array_max(F.transform("_from", lambda x: x["_round"] + F.when(x["_place"] > F.col("place"), 1).otherwise(0)))
-        rest = left.where("needs > 0").join(got, "node", "left")
+        rest = left.where("needs > 0").join(got.hint("merge"), "node", "left")
         left = cut(rest.select("node", "place", (F.col("needs") - F.coalesce("_met", F.lit(0))).alias("needs"), F.greatest("round", F.coalesce(latest().cast("long"), F.lit(0))).alias("round")))
     if not left.where("needs > 0").isEmpty():
         raise ValueError("the graph has a cycle")
@@ -137,10 +137,11 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """Rows (node, level): 0 for a node without ancestors, else the longest way to it; sorted by level it is a topological order.
 
     edges: (ancestor, node).  Nodes whose ancestors have all gone are peeled
-    off, level by level; a cycle raises an error.
+    off, level by level; a cycle raises an error.  The fronts are all nodes
+    together, so none is broadcast.
     """
     needs = edges.distinct().groupBy("node").agg(F.count("*").alias("needs"))
-    left = cut(nodes.select("node").distinct().join(needs, "node", "left").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
+    left = cut(nodes.select("node").distinct().join(needs.hint("merge"), "node", "left").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
     links, done = cut(edges.select("ancestor", "node").distinct()), None
     for level in range(most):
         front = cut(left.where("needs = 0").select("node"))
@@ -148,8 +149,8 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
             break
         own = front.select("node", F.lit(level).cast("long").alias("level"))
         done = own if done is None else done.unionByName(own)
-        met = links.join(front.select(F.col("node").alias("ancestor")), "ancestor").groupBy("node").agg(F.count("*").alias("met"))
-        left = cut(left.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs")))
+        met = links.join(front.select(F.col("node").alias("ancestor")).hint("merge"), "ancestor").groupBy("node").agg(F.count("*").alias("met"))
+        left = cut(left.where("needs > 0").join(met.hint("merge"), "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs")))
     if not left.isEmpty():
         raise ValueError("the graph has a cycle")
     return nodes.select("node", F.lit(0).cast("long").alias("level")).limit(0) if done is None else done

@@ -91,6 +91,19 @@ def test_edges(spark):
     assert [tuple(r) for r in graph.stream_edges(streams).collect()] == [("a", "c", "none")]
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_broadcast_no_front(spark, monkeypatch):
+    plans, kept = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (kept(df), plans.append(plan_of(df)))[0])
+    nodes = spark.range(8).select(F.col("id").alias("node"))
+    chain = spark.range(1, 8).select((F.col("id") - 1).alias("ancestor"), F.col("id").alias("node"))
+    assert dict(graph.levels(nodes, chain).collect()) == {k: k for k in range(8)}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_arguments_that_are_no_path_are_spread(spark):
     rows = spark.range(200).select("id", F.array(F.lit("-n"), F.lit("-s"), F.concat(F.lit("/o/"), F.col("id").cast("string"), F.lit("/.__VAL_DESCRIPTOR__x"))).alias("args"))
     values = spark.createDataFrame([("/o/7/.__VAL_DESCRIPTOR__x", "seven"), ("_VOID_VALUE_", "never")], "path string, value string")

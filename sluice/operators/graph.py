@@ -22,17 +22,28 @@ def infer_edges(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame) -> Data
     Edges between tasks of one index of a consumer of several tasks are
     aftercorr, others afterok; of several to one producer the strongest stays.
     """
-    takes = inputs.distinct().join(tasks, "process").select(F.col("process").alias("consumer"), F.col("task_idx").alias("i"), "value", "num_tasks")
-    puts = outputs.distinct().select(F.col("process").alias("producer"), F.col("task_idx").alias("j"), "value")
-    met = in_slices(takes, puts, "value").where("consumer <> producer")
+    met = meetings(inputs.join(tasks, "process").withColumnRenamed("task_idx", "i"), outputs.withColumnRenamed("task_idx", "j"))
     kind = F.when((F.col("num_tasks") > 1) & (F.col("i") == F.col("j")), "aftercorr").otherwise("afterok")
     each = met.select("consumer", "producer", kind.alias("deptype"))
     return each.groupBy("consumer", "producer").agg(strongest(F.col("deptype"), F.lit(0)).alias("deptype"))
 
 
+def meetings(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Rows (consumer, producer, value, ...): each time that a process takes a value which another one puts out, with the further columns of both.
+
+    inputs, outputs: (process, value, ...), each row counted once; an edge may
+    come several times.
+    """
+    takes, puts = inputs.distinct().withColumnRenamed("process", "consumer"), outputs.distinct().withColumnRenamed("process", "producer")
+    return in_slices(takes, puts, "value").where("consumer <> producer")
+
+
 def in_slices(left: DataFrame, right: DataFrame, key: str, size: int = 10_000) -> DataFrame:
-    """left joined with right on key, where the right rows of a frequent key are cut into slices of about `size`, each joined by itself."""
-    often = right.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_slices")).where("_slices > 1")
+    """left joined with right on key, where the right rows of a frequent key are cut into slices of about `size`, each joined by itself.
+
+    The frequent keys, one for `size` rows at most, are broadcast.
+    """
+    often = F.broadcast(right.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_slices")).where("_slices > 1"))
     slices = lambda df: df.join(often, key, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
     dealt = slices(right).withColumn("_slice", F.pmod(F.xxhash64(*right.columns), F.col("_slices")).cast("int")).drop("_slices")
     each = slices(left).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")

@@ -97,6 +97,10 @@ def holds(kind: Column, state: Column) -> Column:
 
 def dependency_check(deps: DataFrame, statuses: DataFrame) -> DataFrame:
     """Rows (consumer, conj, ready) of dependencies (consumer, producer, deptype, conj): AND wants all met, OR any; unknown producers are not met."""
-    known = statuses.select(F.col("process").alias("producer"), "status")
-    met = deps.join(known, "producer", "left").withColumn("met", F.coalesce(holds(F.col("deptype"), F.col("status")), F.lit(False)))
+    return ready(deps.join(statuses.select(F.col("process").alias("producer"), "status"), "producer", "left"))
+
+
+def ready(deps: DataFrame) -> DataFrame:
+    """Rows (consumer, conj, ready) of dependencies (consumer, deptype, conj, status) with the producer's status, null if it is unknown; repeated ones change nothing."""
+    met = deps.withColumn("met", F.coalesce(holds(F.col("deptype"), F.col("status")), F.lit(False)))
     return met.groupBy("consumer", "conj").agg(F.bool_or("met").alias("any_met"), F.bool_and("met").alias("all_met")).select("consumer", "conj", F.when(F.col("conj") == "OR", F.col("any_met")).otherwise(F.col("all_met")).alias("ready"))

@@ -122,6 +122,15 @@ def test_arguments_that_are_no_path_are_spread(spark):
     assert found[7] == ("seven", "_VOID_VALUE_") and found[8] == ("/o/8/.__VAL_DESCRIPTOR__x", "_VOID_VALUE_") and len(found) == 200
 
 
+def test_readiness_of_repeated_meetings(spark):
+    ins = spark.createDataFrame([("c", "/x"), ("c", "/y"), ("c", "/x"), ("a", "/x")], "process string, value string")
+    outs = spark.createDataFrame([("a", "/x", "FINISHED"), ("a", "/y", "FINISHED"), ("b", "/y", None)], "process string, value string, status string")
+    met = graph.meetings(ins, outs)
+    assert sorted((r["consumer"], r["producer"], r["status"] or "") for r in met.collect()) == [("c", "a", "FINISHED"), ("c", "a", "FINISHED"), ("c", "b", "")]
+    both = met.select("consumer", F.lit("afterok").alias("deptype"), F.explode(F.array(F.lit("AND"), F.lit("OR"))).alias("conj"), "status")
+    assert {(r["conj"], r["ready"]) for r in status.ready(both).collect()} == {("AND", False), ("OR", True)}
+
+
 def test_paths_levels_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "ancestor string, node string")
     paths = graph.longest_paths(edges)

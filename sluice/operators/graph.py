@@ -22,10 +22,11 @@ def infer_edges(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame) -> Data
     Edges between tasks of one index of a consumer of several tasks are
     aftercorr, others afterok; of several to one producer the strongest stays.
     """
+    n = max(inputs.sparkSession.sparkContext.defaultParallelism, -(-(inputs.count() + outputs.count()) // 100_000))  # tasks grow in number, not in size
     met = meetings(inputs.join(tasks, "process").withColumnRenamed("task_idx", "i"), outputs.withColumnRenamed("task_idx", "j"))
-    kind = F.when((F.col("num_tasks") > 1) & (F.col("i") == F.col("j")), "aftercorr").otherwise("afterok")
-    each = met.select("consumer", "producer", kind.alias("deptype"))
-    return each.groupBy("consumer", "producer").agg(strongest(F.col("deptype"), F.lit(0)).alias("deptype"))
+    ok = F.coalesce((F.col("num_tasks") <= 1) | (F.col("i") != F.col("j")), F.lit(True))
+    each = met.select("consumer", "producer", ok.alias("ok")).repartition(n, "consumer", "producer")
+    return each.groupBy("consumer", "producer").agg(F.bool_or("ok").alias("ok")).select("consumer", "producer", F.when(F.col("ok"), "afterok").otherwise("aftercorr").alias("deptype"))
 
 
 def meetings(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

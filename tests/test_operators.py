@@ -87,6 +87,7 @@ def test_edges(spark):
     tasks = spark.createDataFrame([("c", 2), ("d", 1), ("a", 2)], "process string, num_tasks int")
     got = {tuple(r) for r in graph.infer_edges(ins, outs, tasks).collect()}
     assert got == {("c", "a", "aftercorr"), ("c", "b", "afterok"), ("d", "a", "afterok")}
+    assert "SortAggregate" not in plan_of(graph.infer_edges(ins, outs, tasks))
     streams = spark.createDataFrame([("f", "a", "b", 1), ("f", "a", "c", 2)], "fifo string, owner string, user string, seq int")
     assert [tuple(r) for r in graph.stream_edges(streams).collect()] == [("a", "c", "none")]
 

@@ -23,31 +23,34 @@ def infer_edges(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame) -> Data
     aftercorr, others afterok; of several to one producer the strongest stays.
     """
     n = max(inputs.sparkSession.sparkContext.defaultParallelism, -(-(inputs.count() + outputs.count()) // 100_000))  # tasks grow in number, not in size
-    met = meetings(inputs.join(tasks, "process").withColumnRenamed("task_idx", "i"), outputs.withColumnRenamed("task_idx", "j"))
+    met = meetings(inputs.join(tasks, "process").withColumnRenamed("task_idx", "i"), outputs.withColumnRenamed("task_idx", "j"), n)
     ok = F.coalesce((F.col("num_tasks") <= 1) | (F.col("i") != F.col("j")), F.lit(True))
     each = met.select("consumer", "producer", ok.alias("ok")).repartition(n, "consumer", "producer")
     return each.groupBy("consumer", "producer").agg(F.bool_or("ok").alias("ok")).select("consumer", "producer", F.when(F.col("ok"), "afterok").otherwise("aftercorr").alias("deptype"))
 
 
-def meetings(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+def meetings(inputs: DataFrame, outputs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (consumer, producer, value, ...): each time that a process takes a value which another one puts out, with the further columns of both.
 
     inputs, outputs: (process, value, ...), each row counted once; an edge may
     come several times.
     """
     takes, puts = inputs.distinct().withColumnRenamed("process", "consumer"), outputs.distinct().withColumnRenamed("process", "producer")
-    return in_slices(takes, puts, "value").where("consumer <> producer")
+    return in_slices(takes, puts, "value", parts=parts).where("consumer <> producer")
 
 
-def in_slices(left: DataFrame, right: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+def in_slices(left: DataFrame, right: DataFrame, key: str, size: int = 10_000, parts: int | None = None) -> DataFrame:
     """left joined with right on key, where the right rows of a frequent key are cut into slices of about `size`, each joined by itself.
 
-    The frequent keys, one for `size` rows at most, are broadcast.
+    The frequent keys, one for `size` rows at most, are broadcast.  The join is
+    made in so many parts, if they are given.
     """
     often = F.broadcast(right.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_slices")).where("_slices > 1"))
     slices = lambda df: df.join(often, key, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
     dealt = slices(right).withColumn("_slice", F.pmod(F.xxhash64(*right.columns), F.col("_slices")).cast("int")).drop("_slices")
     each = slices(left).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    if parts is not None:
+        each, dealt = each.repartition(parts, key, "_slice"), dealt.repartition(parts, key, "_slice")
     return each.join(dealt, [key, "_slice"]).drop("_slice")
 
 

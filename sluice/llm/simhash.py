@@ -8,7 +8,8 @@ bands meet; they are compared in blocks, with their bits stored as planes.
 Texts of a given likeness of their shingles may differ in many more bits than
 bands allow.  They meet where they share one of the shingles of least hash of
 each; the same bit-sliced comparison, with a radius that such texts keep to,
-leaves the pairs whose sets of shingles are then compared.
+leaves pairs, and parities of the sets of shingles, a few bits a shingle, leave
+of these the ones whose sets may be alike at all and are then compared.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ REACH = 22
 LISTED = 2048
 #: Nearest texts, of each list and block, that each text is compared with before all others.
 NEAREST = 1
+#: Bits of a parity at most, 16 kB, whatever the text.
+PARITY = 1 << 17
+#: Words of 64 bits of parities that are compared at once.
+WORDS = 1 << 18
 #: Texts of which shingles are held at once in a worker.
 AT_ONCE = 64
 
@@ -304,10 +309,44 @@ def fingerprint_of_set(own: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0]) if len(own) else 0
 
 
+def parity_of(own: np.ndarray) -> bytes:
+    """Bits of a set of hashes, one to two for each: a bit is set if an odd number of them fall on it.
+
+    Two sets have at least as many members that are not common as their parities
+    have different bits, so sets that differ in more are told apart for certain.
+    """
+    width = min(PARITY, max(64, 1 << (len(own) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(parities: list[bytes], words: int) -> np.ndarray:
+    """A row for each parity, none of fewer words of 64 bits, folded to that length."""
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0) for x in parities])
+
+
+def may_be_alike(first: pd.DataFrame, second: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair (first[i], second[j]) whether sizes and parities allow a likeness of 0.8: at most a ninth of all members not common."""
+    m, n = first["n"].to_numpy(np.int64)[i], second["n"].to_numpy(np.int64)[j]
+    good = 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
+    one, two = first["parity"].to_numpy(), second["parity"].to_numpy()
+    words = np.minimum(np.array([len(x) // 8 for x in one], np.int64)[i], np.array([len(x) // 8 for x in two], np.int64)[j])
+    for width in np.unique(words[good]).tolist():
+        these = np.flatnonzero(good & (words == width))
+        (rows, x), (others, y) = np.unique(i[these], return_inverse=True), np.unique(j[these], return_inverse=True)
+        left, right = folded(one[rows], width), folded(two[others], width)
+        step = max(1, WORDS // width)
+        for at in range(0, len(these), step):
+            k = these[at : at + step]
+            apart = np.bitwise_count(left[x[at : at + step]] ^ right[y[at : at + step]]).sum(axis=1, dtype=np.int64)
+            good[k] = 9 * apart <= m[k] + n[k]
+    return good
+
+
 def with_sets(docs: DataFrame, words: int, column: str) -> DataFrame:
-    """Rows (doc_id, h, set, n, fp, keys) of docs: a hash of its set of shingles, the set's size and fingerprint, and its KEYS least members."""
+    """Rows (doc_id, h, set, n, fp, keys, parity) of docs: a hash of its set of shingles, the set's size, fingerprint and parity, and its KEYS least members."""
 
-    @F.arrow_udf("set long, n int, fp long, keys array<long>")
+    @F.arrow_udf("set long, n int, fp long, keys array<long>, parity binary")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
@@ -315,8 +354,8 @@ def with_sets(docs: DataFrame, words: int, column: str) -> DataFrame:
                 for text in batch.slice(at, AT_ONCE).to_pylist():
                     own = shingle_set(text, words)
                     name = np.array([xxhash.xxh64_intdigest(own.tobytes()), fingerprint_of_set(own)], np.uint64).view(np.int64)
-                    rows.append({"set": int(name[0]), "n": len(own), "fp": int(name[1]), "keys": own[:KEYS].view(np.int64).tolist()})
-            yield pa.array(rows, pa.struct([("set", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+                    rows.append({"set": int(name[0]), "n": len(own), "fp": int(name[1]), "keys": own[:KEYS].view(np.int64).tolist(), "parity": parity_of(own)})
+            yield pa.array(rows, pa.struct([("set", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("parity", pa.binary())]))
 
     each = docs.select("doc_id", F.xxhash64(column).alias("h"), found(column).alias("found"))
     return each.select("doc_id", "h", "found.*")
@@ -360,14 +399,15 @@ def lists_of(sets: DataFrame, tables: Tables) -> DataFrame:
     return tables.put("lists", short.select("token", "set", "n", "fp").unionByName(pairs))
 
 
-def likely_pairs(left: DataFrame, block: int, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of sets that share a token, have different labels and are near by bit-sliced comparison.
+def likely_pairs(left: DataFrame, sets: DataFrame, block: int, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of sets that share a token, have different labels, are near by bit-sliced comparison and may be alike by their parities.
 
-    left: (token, set, n, fp, label).  most: for each set of a block only so many
-    of the nearest; None for all.
+    left: (token, set, n, fp, label); sets: (set, parity), each once.  most: for
+    each set of a block only so many of the nearest; None for all.
     """
     lists = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("times")).where("low < high")
-    dealt = in_chunks(left.join(lists.select("token", "times"), "token"), ["token"], "set", F.col("times")).drop("times")
+    listed = left.join(lists.select("token", "times"), "token").join(sets.select("set", "parity"), "set")
+    dealt = in_chunks(listed, ["token"], "set", F.col("times")).drop("times")
 
     def found(first: pd.DataFrame, second: pd.DataFrame | None) -> pd.DataFrame:
         first = first.drop_duplicates("set")
@@ -376,17 +416,18 @@ def likely_pairs(left: DataFrame, block: int, most: int | None = None) -> DataFr
         for at in range(0, len(first), 256):
             asked = first.iloc[at : at + 256]
             i, j = near_pairs(asked["fp"].to_numpy().view(np.uint64), second["fp"].to_numpy().view(np.uint64), REACH)
-            x, y = asked.iloc[i], second.iloc[j]
-            m, n = x["n"].to_numpy(np.int64), y["n"].to_numpy(np.int64)
-            good = np.flatnonzero((x["label"].to_numpy() != y["label"].to_numpy()) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)))
+            other = asked["label"].to_numpy()[i] != second["label"].to_numpy()[j]
+            i, j = i[other], j[other]
+            good = may_be_alike(asked, second, i, j)
+            i, j = i[good], j[good]
             if most is not None:
-                far = np.bitwise_count(x["fp"].to_numpy()[good].view(np.uint64) ^ y["fp"].to_numpy()[good].view(np.uint64))
-                order = np.lexsort((far, i[good]))
-                starts = np.flatnonzero(np.diff(i[good][order], prepend=-1))
+                far = np.bitwise_count(asked["fp"].to_numpy()[i].view(np.uint64) ^ second["fp"].to_numpy()[j].view(np.uint64))
+                order = np.lexsort((far, i))
+                starts = np.flatnonzero(np.diff(i[order], prepend=-1))
                 nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-                good = good[order[nth < most]]
-            a.append(x["set"].to_numpy()[good])
-            b.append(y["set"].to_numpy()[good])
+                i, j = i[order[nth < most]], j[order[nth < most]]
+            a.append(asked["set"].to_numpy()[i])
+            b.append(second["set"].to_numpy()[j])
         one, two = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates()
 
@@ -394,7 +435,7 @@ def likely_pairs(left: DataFrame, block: int, most: int | None = None) -> DataFr
 
 
 def alike_links(sets: DataFrame, texts: DataFrame, words: int, tables: Tables, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of sets, whose components are those of all pairs that are alike and share a key.  sets: (set, n, fp, keys, h), each once; texts: (h, text).
+    """Links (a, b) of sets, whose components are those of all pairs that are alike and share a key.  sets: (set, n, fp, keys, parity, h), each once; texts: (h, text).
 
     First each set meets one of its list, twice, then the nearest in each block;
     only sets that those have not linked to one and the same meet all others.
@@ -409,10 +450,10 @@ def alike_links(sets: DataFrame, texts: DataFrame, words: int, tables: Tables, b
         links = own if links is None else links.unionByName(own)
         labels = links.groupBy(F.col("b").alias("set")).agg(F.min("a").alias("label"))
         left = tables.put(f"after_{turn}", lists.join(labels, "set", "left").select("token", "set", "n", "fp", F.coalesce("label", "set").alias("label")))
-    links = links.unionByName(alike_sets(likely_pairs(left, block, NEAREST), sets, texts, words, tables, "nearest"))
+    links = links.unionByName(alike_sets(likely_pairs(left, sets, block, NEAREST), sets, texts, words, tables, "nearest"))
     labels = labels_of(links, tables)
     left = tables.put("after_nearest", lists.join(labels, "set", "left").select("token", "set", "n", "fp", F.coalesce("label", "set").alias("label")))
-    return links.unionByName(alike_sets(likely_pairs(left, block), sets, texts, words, tables, "last"))
+    return links.unionByName(alike_sets(likely_pairs(left, sets, block), sets, texts, words, tables, "last"))
 
 
 def labels_of(links: DataFrame, tables: Tables, hops: int = 3) -> DataFrame:
@@ -431,8 +472,8 @@ def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", tex
 
     Near copies are rows of which the different shingles of `words` words have a
     Jaccard similarity of 0.8 or more, and a group is all that such pairs reach.
-    Pairs are found by KEYS and REACH, whose losses are stated there, and each
-    is verified.  All texts without words, null ones too, are one group.  Of
+    Pairs are found by KEYS and REACH, whose losses are stated there; parities
+    lose none, and each pair that they leave is verified.  All texts without words, null ones too, are one group.  Of
     rows of one id and one group the text of least hash stays, of equal rows
     one.  Columns, whatever their names, are passed on as they are; an empty
     table gives an empty one.
@@ -440,7 +481,7 @@ def one_of_alike(docs: DataFrame, words: int = 5, id_column: str = "doc_id", tex
     tables = Tables(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
     rows = tables.put("rows", with_sets(texts, words, "text"))
-    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("h").alias("h"))
+    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("parity").alias("parity"), F.min("h").alias("h"))
     sets = tables.put("sets", sets)
     hashed = texts.select(F.xxhash64("text").alias("h"), "text")
     roots = connected_components(alike_links(sets, hashed, words, tables, block)).withColumnRenamed("node", "set")

@@ -8,6 +8,7 @@ import itertools
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -256,6 +257,35 @@ def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents,
     assert simhash.one_of_alike(no_documents).count() == 0
 
 
+def test_parities_part_no_sets_that_are_alike():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 63, 64, 65, 300, 3000, 200_000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = [base, base[: -(-9 * len(base) // 10)], base[len(base) // 10 :], np.unique(np.append(base[n // 9 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64))), base[: len(base) // 2]]
+        rows = pd.DataFrame({"n": [len(x) for x in sets], "parity": [simhash.parity_of(x) for x in sets]})
+        i, j = np.divmod(np.arange(25), 5)
+        alike = np.array([5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+        assert simhash.may_be_alike(rows, rows, i, j)[alike].all()
+
+
+def test_texts_that_share_passages_make_few_pairs(spark, monkeypatch):
+    rng, made, likely = np.random.default_rng(4), [], simhash.likely_pairs
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = [(k, f"{passage} " + " ".join(f"t{k}w{x}" for x in range(int(rng.integers(25, 35))))) for k in range(80)]
+    rows += [(80 + k, f"{rows[k][1]} end{k}") for k in range(5)]
+
+    def counted(*args):
+        pairs = likely(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "likely_pairs", counted)
+    got = simhash.one_of_alike(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_alike(rows) == [*range(80)]
+    # 80 texts have 3160 pairs, of a likeness of about 0.67 each.
+    assert sum(made) < 100
+
+
 def test_pipeline_drops_scattered_edits(spark, small):
     import corpus_pipeline
 

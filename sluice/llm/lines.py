@@ -49,10 +49,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.rlike("line", F.lit(INK))).withColumn("class", F.xxhash64("line"))
 
 
+def plain(text: Column) -> Column:
+    """The text with a space for every blank; a text without some kind of blank is not copied for it."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def tokens_of(line: Column) -> Column:
     """The hashes of the different words of a line."""
-    plain = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]")), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
-    return F.array_distinct(F.transform(F.array_remove(F.split(plain, " ", -1), ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(plain(line), " ", -1), ""), lambda w: F.xxhash64(w)))
 
 
 @dataclass
@@ -98,7 +104,7 @@ def surveyed(docs: DataFrame) -> Corpus:
     packed = packed and low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
     packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 9))
-    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ", -1)).alias("w"))
+    words = docs.select(F.explode(F.split(plain(F.col("text")), " ", -1)).alias("w"))
     entries = words.select(F.xxhash64("w").bitwiseAND((1 << fine) - 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
     least = max(FREQUENT, (size or 0) >> 23)
     frequent = entries.where(F.col("n") >= least).toPandas()
@@ -269,15 +275,19 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class")).alias("gone"))
 
 
+def numbers_of(gone: str, class_of) -> Column:
+    """The numbers of a row's own lines to remove, from 0 and ascending: rows of one id have the lines of all of them among the gone.  class_of: the class of its line of a number."""
+    own = F.filter(F.coalesce(gone, F.array().cast("array<struct<line_no:int,class:bigint>>")), lambda x: class_of(x["line_no"]) == x["class"])
+    return F.array_sort(F.transform(own, lambda x: x["line_no"]))
+
+
 def with_removed(docs: DataFrame, threshold: float, id_column: str, text_column: str, lines: str, numbers: str) -> DataFrame:
-    """docs with its lines in an array and the numbers of those to remove, from 0 and ascending."""
+    """docs with its lines in an array and the numbers of those to remove."""
     texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
     gone = removed_lines(texts, threshold)
     both = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_column}").eqNullSafe(F.col("g.doc_id")), "left")
     split = both.select("d.*", F.col("g.gone").alias(numbers), once(F.split(whole_text(f"d.{text_column}"), "\n", -1)).alias(lines))
-    # Rows of one id have the lines of all of them among the gone.
-    own = F.filter(F.coalesce(numbers, F.array().cast("array<struct<line_no:int,class:bigint>>")), lambda x: F.xxhash64(F.get(lines, x["line_no"])) == x["class"])
-    return split.withColumn(numbers, F.array_sort(F.transform(own, lambda x: x["line_no"])))
+    return split.withColumn(numbers, numbers_of(numbers, lambda k: F.xxhash64(F.get(lines, k))))
 
 
 def without_repeats(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -306,9 +316,12 @@ def line_report(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_i
     give rows like any other; further columns are not read; an empty table
     gives an empty one.
     """
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    marked = with_removed(texts, threshold, "doc_id", "text", "lines", "numbers")
-    n = F.size("lines").cast("long")
+    texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    # Of the texts only the classes of their lines move.
+    classes = texts.select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("classes"))
+    both = classes.alias("d").join(removed_lines(texts, threshold).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    marked = both.select("d.doc_id", F.size("classes").cast("long").alias("n"), once(numbers_of("g.gone", lambda k: F.get("classes", k))).alias("numbers"))
+    n = F.col("n")
     return marked.select("doc_id", n.alias("n_lines"), (n - F.size("numbers")).cast("long").alias("n_kept"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("removed"))
 
 

@@ -257,6 +257,20 @@ def test_near_copies_are_exact(spark, monkeypatch, odd_documents, no_documents,
     assert simhash.one_of_alike(no_documents).count() == 0
 
 
+def test_line_report_moves_no_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\nx\ta b c\r"), (3, None), (3, "a\x0bb\x0cc")], "doc_id long, text string")
+    report = lines.line_report(docs)
+
+    def strings_joined(node) -> set[str]:
+        parts = [node.children().apply(k) for k in range(node.children().size())]
+        out = [part.output() for part in parts] if node.nodeName() == "Join" else []
+        own = {o.apply(k).name() for o in out for k in range(o.size()) if o.apply(k).dataType().typeName() == "string"}
+        return own.union(*map(strings_joined, parts))
+
+    assert strings_joined(report._jdf.queryExecution().optimizedPlan()) == set()
+    assert sorted(tuple(r) for r in report.collect()) == [(1, 2, 2, ""), (2, 2, 1, "0"), (3, 1, 0, "0"), (3, 1, 1, "")]
+
+
 def test_parities_part_no_sets_that_are_alike():
     rng = np.random.default_rng(5)
     for n in (1, 5, 63, 64, 65, 300, 3000, 200_000):

@@ -1,24 +1,25 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
-The tokens of a line (its different words) are ordered by rarity.  Lines of
-Jaccard similarity t or more share at least one of their first
-n - ceil(t n) + 1 tokens, so only lines that meet in the postings of those
-prefixes are compared: by their sizes, by the places of the shared token, and by
-bitmaps that bound how many tokens they can share; the full token sets verify.
-Of matching lines the later ones go.  Equal lines are one class, compared once.
-Where the postings of a token are long, lines meet in those of two tokens: the
-first two that two similar lines share are among the first
-n - ceil(t n) + 2 of each.  Where even those are long, as in large groups of
-near copies, each line is first compared with a few early ones, which settles
-most of the group, and what is left with all, in chunks.
+The tokens of a line (its different words) are ordered by length, longest first,
+then by hash: long words are rare, and no word has to be counted for it.  Of two
+lines of Jaccard similarity t, each of the tokens that only one has parts at most
+one of the tokens that both have from the next, so a pair of neighbours in this
+order is shared among the first 2 n (1 - t) + 1 of each; of a threshold of one
+half or less, a token among the first n - ceil(t n) + 1.  Only lines that meet in
+these postings are compared: by their sizes and by bitmaps that bound how many
+tokens they can share; the full token sets verify.  Of matching lines the later
+ones go.  Equal lines are one class, compared once.  Postings that no other line
+has, by far the most, go first.  Where the postings of a pair of neighbours are
+long, lines meet in those of two such pairs: similar lines share two among the
+first 2 n (1 - t) + 2.  Where even those are long, as in large groups of near
+copies, each line is first compared with a few early ones, which settles most of
+the group, and what is left with all, in chunks.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,14 +29,10 @@ from sluice.llm.common import Tables, free, once, sifted, whole_text
 INK = r"[^\x20\x09-\x0D]"
 #: Postings of one token that are all compared with one another, and how many early ones the lines of longer lists are compared with first.
 LISTED, LEADERS = 256, 8
-#: Bits of a number that hold a line's place in its document, where ids and texts allow to keep both in one.
-LINE_BITS, ID_BITS = 22, 40
-#: Occurrences from which a word is frequent.
-FREQUENT = 64
-#: Bits of the table of frequent words: 256 kB, whatever the input.
-TABLE_BITS = 18
-#: Frequencies are kept as classes of their logarithm.
-CLASSES = 126
+#: Bits of a number that hold a line's place in its document, where ids allow to keep both in one: no text has more lines.
+LINE_BITS, ID_BITS = 31, 32
+#: Bits of what a posting is found by.
+TOKEN_BITS = 40
 #: Lines of more tokens have two bitmaps.
 LONG_LINE = 64
 BITMAPS = ["bitmap", "half"]
@@ -57,61 +54,34 @@ def plain(text: Column) -> Column:
 
 
 def tokens_of(line: Column) -> Column:
-    """The hashes of the different words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(plain(line), " ", -1), ""), lambda w: F.xxhash64(w)))
+    """The different words of a line as numbers that sort longer words first: their length, of one byte, negated, and 56 bits of their hash."""
+    number = lambda w: F.shiftleft((-F.octet_length(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.array_distinct(F.transform(F.array_remove(F.split(plain(line), " ", -1), ""), number))
 
 
 @dataclass
 class Corpus:
-    """What is known of a table of texts: its documents, a table of classes of frequency by hashed word, from which class lists may be long, and how lines are named."""
+    """What is known of a table of texts: its documents, and whether a number names a line."""
 
     docs: DataFrame
-    table: np.ndarray
-    long_from: int
     packed: bool
 
     def place(self) -> Column:
-        """A line's place in the order of all lines, which names it: one number where ids and line numbers allow, else all that tells lines apart."""
+        """A line's place in the order of all lines, which names it: one number where ids allow, else all that tells lines apart."""
         return F.shiftleft("doc_id", LINE_BITS).bitwiseOR(F.col("line_no")) if self.packed else F.struct("doc_id", "line_no", "class")
 
     def lines(self) -> DataFrame:
         """Rows (doc_id, line_no, line, class, place)."""
         return lines_of(self.docs).withColumn("place", self.place())
 
-    def by_rarity(self, tokens: Column) -> Column:
-        """Tokens with the class of their frequency in front, rarest first.
-
-        The table is a constant of the plan: an array of numbers of eight
-        classes each, written as text.
-        """
-        packed = self.table.astype(np.uint8).view("<i8").tolist()
-        table = F.split(F.lit(",".join(map(str, packed))), ",", -1).cast("array<bigint>")
-        row = lambda t: F.shiftright(t.bitwiseAND((1 << TABLE_BITS) - 1), 3).cast("int")
-        entry = lambda t: F.call_function("shiftright", F.get(table, row(t)), F.shiftleft(t.bitwiseAND(7), 3).cast("int")).bitwiseAND(127)
-        return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(entry(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
-
 
 def surveyed(docs: DataFrame) -> Corpus:
-    """Counts hashed words over all documents, and tabulates the frequent ones.
-
-    Words that share an entry of the table share its class: the order of tokens
-    stays one for all lines, which is all that a prefix needs to be exact.  Only
-    entries of FREQUENT occurrences or more come to the driver, and of a large
-    corpus those of about a millionth of all words or more.
-    """
-    size, longest, low, high, nulls = docs.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text")), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    packed = docs.schema["doc_id"].dataType == T.LongType() and (longest or 0) < 1 << LINE_BITS
-    packed = packed and low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
-    packed = packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    fine = min(40, max(TABLE_BITS, (size or 0).bit_length() - 9))
-    words = docs.select(F.explode(F.split(plain(F.col("text")), " ", -1)).alias("w"))
-    entries = words.select(F.xxhash64("w").bitwiseAND((1 << fine) - 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
-    least = max(FREQUENT, (size or 0) >> 23)
-    frequent = entries.where(F.col("n") >= least).toPandas()
-    table = np.zeros(1 << TABLE_BITS)
-    np.maximum.at(table, frequent["at"].to_numpy(np.int64) & ((1 << TABLE_BITS) - 1), np.log(frequent["n"].to_numpy(float)))
-    scale = CLASSES / max(table.max(), 1e-9)
-    return Corpus(docs, table * scale, min(CLASSES + 1, int(math.log(LISTED) * scale)) if least <= LISTED else 0, packed)
+    """Looks at the ids alone: a number names a line where they are numbers, different and not too large."""
+    if docs.schema["doc_id"].dataType != T.LongType():
+        return Corpus(docs, False)
+    low, high, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    packed = low is not None and not nulls and low >= 0 and high < 1 << ID_BITS
+    return Corpus(docs, packed and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty())
 
 
 def overlap(n: Column, other: Column, threshold: float) -> Column:
@@ -119,10 +89,30 @@ def overlap(n: Column, other: Column, threshold: float) -> Column:
     return F.ceil((n + other) * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
+def by_neighbours(threshold: float) -> bool:
+    """Whether lines that reach the threshold share at least two pairs of neighbours."""
+    return threshold > 0.5
+
+
 def prefix_length(n: Column, threshold: float) -> Column:
+    """How many pairs of neighbours, or tokens, of a line of n tokens hold one that any line that reaches the threshold shares."""
+    if by_neighbours(threshold):
+        return F.least(n + 1, F.floor(n * (2 * (1 - threshold)) + 1e-9).cast("int") + 1)
     return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
 
 
+def first_tokens(tokens: Column, threshold: float) -> Column:
+    """The tokens that a line is found by and one more, or a zero for the end of the line; their upper halves keep the length of the word and 24 bits of its hash."""
+    count = prefix_length(F.size(tokens), threshold) + 1
+    ended = F.when(F.size(tokens) < count, F.concat(tokens, F.array(F.lit(0).cast("long")))).otherwise(tokens) if by_neighbours(threshold) else tokens
+    return F.transform(F.slice(ended, F.lit(1), count), lambda t: F.shiftright(t, 32).cast("int"))
+
+
+def gram(prefix: Column, i: Column, threshold: float) -> Column:
+    """What the posting of a place in a prefix is found by: the token there, and the one before it where neighbours count; none is before the first."""
+    return F.xxhash64(*[F.get(prefix, i - k) for k in range(2 if by_neighbours(threshold) else 1)]).bitwiseAND((1 << TOKEN_BITS) - 1)
+
+
 def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
     """Rows (class, place, times, n, the bitmaps, prefix) of the different lines.
 
@@ -130,64 +120,62 @@ def classes_of(corpus: Corpus, threshold: float) -> DataFrame:
     tokens.  bitmap: bit b is set if an odd number of its tokens hash to b; as
     many tokens at least tell two lines apart as their bitmaps have different
     bits.  half: 0 but for long lines, where it is the same for half of the
-    tokens, so that two bitmaps count apart.  prefix: half hashes of the tokens it is found by and of one more;
-    the lowest bit tells whether a token's postings may be long.
+    tokens, so that two bitmaps count apart.  prefix: its first_tokens().
     """
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    may_be_long = lambda t: (t >= F.lit(corpus.long_from << 56)).cast("int")
 
     def head(tokens: Column) -> Column:
         none, n = F.lit(0).cast("long"), F.size(tokens)
         whole = F.aggregate(tokens, none, lambda a, t: a.bitwiseXOR(bit(t)))
         half = F.aggregate(tokens, none, lambda a, t: F.when(t.bitwiseAND(64) != 0, a.bitwiseXOR(bit(t))).otherwise(a))
-        prefix = F.transform(F.slice(tokens, F.lit(1), prefix_length(n, threshold) + 1), lambda t: F.hash(t).bitwiseAND(-2).bitwiseOR(may_be_long(t)))
-        return F.struct(n.alias("n"), whole.alias("bitmap"), F.when(n > LONG_LINE, half).otherwise(none).alias("half"), prefix.alias("prefix"))
+        return F.struct(n.alias("n"), whole.alias("bitmap"), F.when(n > LONG_LINE, half).otherwise(none).alias("half"), first_tokens(tokens, threshold).alias("prefix"))
 
     # The one element of an array is computed once, however often the function of it reads it.
-    heads = corpus.lines().select("class", "place", F.inline(F.transform(F.array(corpus.by_rarity(tokens_of(F.col("line")))), head)))
+    heads = corpus.lines().select("class", "place", F.inline(F.transform(F.array(F.sort_array(tokens_of(F.col("line")))), head)))
     return heads.groupBy("class", "n", *BITMAPS, "prefix").agg(F.min("place").alias("place"), F.count("*").alias("times"))
 
 
 def postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (token, place, size, the bitmaps): the prefix tokens of each class.  size: how many tokens it has, and in the lower half the token's place among them."""
-    each = classes.select("n", *BITMAPS, "place", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), threshold))).alias("i", "token"))
-    return each.select("token", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1).alias("size"), *BITMAPS)
-
-
-def pair_postings(classes: DataFrame, posts: DataFrame) -> DataFrame:
-    """Postings of two tokens, one of posts and each that follows it in the line's prefix; a line of one token has that alone."""
-    i = F.col("size").bitwiseAND((1 << 32) - 1).cast("int")
-    both = posts.join(classes.select("place", "prefix"), "place")
-    each = both.select("token", "place", "size", *BITMAPS, F.explode_outer(F.slice("prefix", i + 1, F.size("prefix"))).alias("other"))
-    return each.select(F.xxhash64("token", "other").alias("token"), "place", "size", *BITMAPS)
+    """Rows (token, place, n, the bitmaps, long): the prefix of each class, without what no other class has.  long: whether over LISTED postings have the token."""
+    each = classes.select("place", "prefix", F.explode(F.sequence(F.lit(0), prefix_length(F.col("n"), threshold) - 1)).alias("i"))
+    each = each.select("place", gram(F.col("prefix"), F.col("i"), threshold).alias("token"))
+    # Both sides of the join read one shuffle: the filter is what Spark would add to one of them.
+    each = each.where("token is not null and place is not null").repartition("token")
+    lists = each.groupBy("token").agg(F.count("*").alias("count"), F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+    met = each.join(lists.select("token", (F.col("count") > LISTED).alias("long")).hint("shuffle_hash"), "token")
+    return met.join(classes.select("place", "n", *BITMAPS), "place").select("token", "place", "n", *BITMAPS, "long")
+
+
+def pair_postings(classes: DataFrame, posts: DataFrame, threshold: float) -> DataFrame:
+    """Postings of two tokens, one of posts and each that follows it in the line's prefix."""
+    # The sieve keeps most prefixes where they are while few postings are long.
+    both = posts.join(sifted(classes.select("place", "prefix"), posts, "place"), "place")
+    grams = F.transform(F.sequence(F.lit(0), F.size("prefix") - 1), lambda i: gram(F.col("prefix"), i, threshold))
+    all_of = both.select("token", "place", "n", *BITMAPS, once(grams).alias("grams"))
+    each = all_of.select("token", "place", "n", *BITMAPS, F.explode(F.slice("grams", F.array_position("grams", F.col("token")).cast("int") + 1, F.size("grams"))).alias("other"))
+    return each.select(F.xxhash64("token", "other").alias("token"), "place", "n", *BITMAPS)
 
 
 def long_lists(posts: DataFrame) -> DataFrame:
-    """The tokens of over LISTED postings: at most one for every LISTED of them, counted where they stand first."""
+    """The tokens of over LISTED postings: at most one for every LISTED of them."""
     return posts.groupBy("token").agg(F.count("*").alias("count")).where(F.col("count") > LISTED).select("token")
 
 
 def passes(a: str, b: str, threshold: float) -> Column:
-    """Whether posting b is earlier than posting a of one token, and their lines may reach the threshold: by sizes, places in the lines, and bitmaps."""
-    n, n2 = size_of(a), size_of(b)
-    i, i2 = (F.col(f"{x}.size").bitwiseAND((1 << 32) - 1).cast("int") for x in (a, b))
+    """Whether posting b is earlier than posting a of one token, and their lines may reach the threshold: by sizes and bitmaps."""
+    n, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = overlap(n, n2, threshold)
     sized = (n2 >= n * threshold - 1e-9) & (n >= n2 * threshold - 1e-9)
-    reach = F.least(i, i2) + F.least(n - i, n2 - i2) >= need
     whole, half = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in BITMAPS)
     apart = F.when((n > LONG_LINE) & (n2 > LONG_LINE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    return (F.col(f"{b}.place") < F.col(f"{a}.place")) & sized & reach & (n + n2 - apart >= 2 * need)
-
-
-def size_of(side: str) -> Column:
-    return F.shiftright(f"{side}.size", 32).cast("int")
+    return (F.col(f"{b}.place") < F.col(f"{a}.place")) & sized & (n + n2 - apart >= 2 * need)
 
 
 def met(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Rows (place, n, place2, n2): pairs of classes whose postings in a and b meet and pass all filters, the later one first."""
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     pairs = a.alias("a").join(b.alias("b"), [*on, passes("a", "b", threshold)])
-    return pairs.select(F.col("a.place").alias("place"), size_of("a").alias("n"), F.col("b.place").alias("place2"), size_of("b").alias("n2")).distinct()
+    return pairs.select(F.col("a.place").alias("place"), F.col("a.n").alias("n"), F.col("b.place").alias("place2"), F.col("b.n").alias("n2")).distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -216,7 +204,7 @@ class Search:
         pairs = self.tables.put(at("pairs"), pairs)
         sets = self.sets_of(pairs, at("sets"))
         few = pairs.groupBy("place", F.pmod(F.xxhash64("place2"), F.lit(FIRST))).agg(F.min("place2").alias("place2"))
-        settled = self.compared(pairs.join(few.select("place", "place2"), ["place", "place2"], "left_semi"), sets, at("first"))
+        settled = self.tables.put(at("first"), alike(pairs.join(few.select("place", "place2"), ["place", "place2"], "left_semi"), sets, self.threshold).select("place").distinct())
         settled = settled.unionByName(self.compared(pairs.join(settled, "place", "left_anti"), sets, at("rest")))
         self.tables.drop(*map(at, ("pairs", "sets", "sets_wanted")))
         return settled
@@ -238,12 +226,13 @@ class Search:
 
     def matched(self) -> DataFrame:
         """The places of the first lines of their classes that an earlier line is like."""
-        posts, threshold = postings(self.classes, self.threshold), self.threshold
-        hot = self.tables.put("hot", long_lists(posts.where("token & 1 = 1")))
-        if hot.isEmpty():
-            return self.verified(met(posts, posts, ["token"], threshold))
-        found = met(rest := posts.join(hot, "token", "left_anti"), rest, ["token"], threshold)
-        pairs = self.tables.put("two_tokens", pair_postings(self.classes, posts.join(hot, "token", "left_semi")))
+        threshold, posts = self.threshold, self.tables.put("posts", postings(self.classes, self.threshold))
+        long, rest = posts.where("long"), posts.where("not long")
+        found = met(rest, rest, ["token"], threshold)
+        if long.isEmpty():
+            return self.verified(found)
+        # Below the threshold of neighbours lines may share a single token.
+        pairs = self.tables.put("two_tokens", pair_postings(self.classes, long, threshold)) if by_neighbours(threshold) else long
         hotter = self.tables.put("hotter", long_lists(pairs))
         found = found.unionByName(met(rest := pairs.join(hotter, "token", "left_anti"), rest, ["token"], threshold))
         if hotter.isEmpty():
@@ -260,17 +249,17 @@ class Search:
         return settled.unionByName(self.verified(met(left, right, ["token", "chunk"], threshold))).distinct()
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def removed_lines(corpus: Corpus, threshold: float = 0.8) -> DataFrame:
     """Rows (doc_id, gone): for each id with such lines, the (line_no, class) of the lines that an earlier line is like.
 
-    docs: doc_id and text, without null texts.  Lines are ordered by doc_id
-    (null first) and their number.
+    The corpus has doc_id and text, without null texts.  Lines are ordered by
+    doc_id (null first) and their number.
     """
-    search = Search(surveyed(docs), threshold, Tables(docs.sparkSession))
+    search = Search(corpus, threshold, Tables(corpus.docs.sparkSession))
     matched = search.matched().select(F.col("place").alias("first"), F.lit(True).alias("matched"))
     first = search.classes.select("class", F.col("place").alias("first"), "times")
     judged = first.join(matched, "first", "left").where("times > 1 or matched").drop("times")
-    lines = search.corpus.lines().select("doc_id", "line_no", "class", "place")
+    lines = corpus.lines().select("doc_id", "line_no", "class", "place")
     gone = lines.join(judged, "class").where(F.col("matched").isNotNull() | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class")).alias("gone"))
 
@@ -284,7 +273,7 @@ def numbers_of(gone: str, class_of) -> Column:
 def with_removed(docs: DataFrame, threshold: float, id_column: str, text_column: str, lines: str, numbers: str) -> DataFrame:
     """docs with its lines in an array and the numbers of those to remove."""
     texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
-    gone = removed_lines(texts, threshold)
+    gone = removed_lines(surveyed(texts), threshold)
     both = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_column}").eqNullSafe(F.col("g.doc_id")), "left")
     split = both.select("d.*", F.col("g.gone").alias(numbers), once(F.split(whole_text(f"d.{text_column}"), "\n", -1)).alias(lines))
     return split.withColumn(numbers, numbers_of(numbers, lambda k: F.xxhash64(F.get(lines, k))))
@@ -317,10 +306,16 @@ def line_report(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_i
     gives an empty one.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
-    # Of the texts only the classes of their lines move.
-    classes = texts.select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("classes"))
-    both = classes.alias("d").join(removed_lines(texts, threshold).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    marked = both.select("d.doc_id", F.size("classes").cast("long").alias("n"), once(numbers_of("g.gone", lambda k: F.get("classes", k))).alias("numbers"))
+    corpus = surveyed(texts)
+    gone, lines = removed_lines(corpus, threshold), F.split("text", "\n", -1)
+    if corpus.packed:  # the lines of an id are those of its one row
+        both = texts.select("doc_id", F.size(lines).cast("long").alias("n")).join(gone, "doc_id", "left")
+        numbers = F.array_sort(F.transform(F.coalesce("gone", F.array().cast("array<struct<line_no:int,class:bigint>>")), lambda x: x["line_no"]))
+        marked = both.select("doc_id", "n", numbers.alias("numbers"))
+    else:  # of the texts only the classes of their lines move
+        classes = texts.select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("classes"))
+        both = classes.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+        marked = both.select("d.doc_id", F.size("classes").cast("long").alias("n"), once(numbers_of("g.gone", lambda k: F.get("classes", k))).alias("numbers"))
     n = F.col("n")
     return marked.select("doc_id", n.alias("n_lines"), (n - F.size("numbers")).cast("long").alias("n_kept"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("removed"))
 

@@ -271,6 +271,27 @@ def test_line_report_moves_no_texts(spark):
     assert sorted(tuple(r) for r in report.collect()) == [(1, 2, 2, ""), (2, 2, 1, "0"), (3, 1, 0, "0"), (3, 1, 1, "")]
 
 
+def test_lines_count_no_words_and_postings_of_one_line_go(spark):
+    """Lines are found without a table of word counts, and postings grow with the lines that meet, not with all lines."""
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(10))) for k in range(200)]
+    rows += [(200 + k, rows[k][1].replace(f"word{k}x9", "z")) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    corpus = lines.surveyed(docs)
+    classes = lines.classes_of(corpus, 0.8)
+    assert not hasattr(corpus, "table")
+    assert {r["place"] >> lines.LINE_BITS for r in lines.postings(classes, 0.8).select("place").distinct().collect()} == {*range(5), *range(200, 205)}
+    assert sorted(k for k, v in removed_of(lines.line_report(docs)).items() if v) == [*range(200, 205)]
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(line, min_size=1, max_size=6).map("\n".join), min_size=1, max_size=8), st.sampled_from([0.3, 0.5, 0.6, 1.0]))
+def test_lines_at_other_thresholds(spark, monkeypatch, texts, threshold):
+    monkeypatch.setattr(lines, "LISTED", 2)
+    rows = [*enumerate(texts)]
+    want = brute_lines(rows, threshold)
+    assert removed_of(lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"), threshold)) == {k: want.get(k, []) for k, _ in rows}
+
+
 def test_parities_part_no_sets_that_are_alike():
     rng = np.random.default_rng(5)
     for n in (1, 5, 63, 64, 65, 300, 3000, 200_000):
